@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import near_dedup, quality, substring_dedup
 
 QUERIES = {
+    "op9_quality_rules": quality.op9_quality_rules,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
