@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup, quality, substring_dedup
+from . import bpe, near_dedup, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op6_bpe": bpe.op6_bpe,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
