@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, quality, substring_dedup, token_counts
+from . import bpe, near_dedup, packing, quality, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_bpe": bpe.op6_bpe,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
