@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, packing, quality, substring_dedup, token_counts, warc
+from . import ann, bpe, near_dedup, packing, quality, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_nearest": ann.op3_nearest,
     "op4_warc": warc.op4_warc,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_bpe": bpe.op6_bpe,
