@@ -119,7 +119,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("total")).select("a", "b", "both", (F.col("total") - F.col("both")).alias("total"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
+def strays(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(odd, rest): the members but the least of buckets of more than two, with the components of both; odd are in another than it."""
+    label = labels.select(F.col("node").alias("id"), "label")
+    rest = buckets.where("members > 2 and id <> pivot").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = rest.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
+    return rest.where("label <> pivot_label"), rest
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 3) -> DataFrame:
     """Classes of documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
     Returns a row for each input row: the id, n_shingles (size of the set), component_id (least id reachable
@@ -133,9 +141,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies with equal sets are one representative from the start. Representatives that agree on all ``rows``
     coordinates of one of ``bands`` bands are candidates; at the default sizes a pair at exactly 80 % is missed
     with probability 5e-6. Candidates are not expanded into all pairs. Each bucket first compares its members
-    with its least one, on full sets. Members that end up in another component than the least one are then
-    compared with the others of the bucket that are in a component other than their own, unless the triangle
-    inequality of the Jaccard distance rules a link out; so every link between components is found.
+    with its least one, on full sets. In ``rounds`` rounds, members that are in another component than the least
+    one are compared with one more member of that component. Those left are compared with all others of the
+    bucket that are in a component other than their own, unless the triangle inequality of the Jaccard distance
+    rules a link out; so every link between components is found.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near-dedup")
@@ -149,21 +158,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = ws.table(keys.join(shared, "key"), "buckets")
     stars = ws.table(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     needed = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = ws.table(base.join(needed, "id").mapInArrow(set_batches(words), "id long, grams array<long>"), "sets")
+    sets = ws.table(base.join(needed.hint("merge"), "id").mapInArrow(set_batches(words), "id long, grams array<long>"), "sets")
     tried = ws.table(verified(stars, sets), "tried")
     link = F.expr(f"100 * both >= {percent} * total")
     labels = connected_components(ws, tried.where(link).select("a", "b"), "stars")
 
     far = F.expr("1 - both / total")
-    label = labels.select(F.col("node").alias("id"), "label")
-    rest = buckets.where("members > 2 and id <> pivot").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = rest.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    rest = rest.join(tried.select(F.col("a").alias("id"), F.col("b").alias("pivot"), far.alias("far")), ["id", "pivot"])
-    odd = rest.where("label <> pivot_label").select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
-    hot = odd.select("key").distinct()
-    others = rest.join(hot, "key", "left_semi").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
+    for k in range(rounds):
+        odd, rest = strays(buckets, labels)
+        mask = F.lit(int(splitmix(np.array([k + 1], U64))[0]) >> 2)
+        another = rest.where("label = pivot_label").groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("b"))
+        again = odd.select("key", F.col("id").alias("a")).join(another, "key").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = tried.unionByName(ws.table(verified(again, sets), f"tried{k}"))
+        labels = connected_components(ws, tried.where(link).select("a", "b"), f"round{k}")
+
+    odd, rest = strays(buckets, labels)
+    distance = tried.select(F.col("a").alias("id"), F.col("b").alias("pivot"), far.alias("far"))
+    odd = odd.join(distance, ["id", "pivot"]).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
+    others = rest.join(odd.select("key").distinct(), "key", "left_semi").join(distance, ["id", "pivot"]).select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
     more = odd.join(others, "key").where(f"la <> lb and abs(fa - fb) <= {1 - percent / 100 + 1e-9}")
-    more = ws.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = ws.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "more")
     edges = tried.where(link).select("a", "b").unionByName(verified(more, sets).where(link).select("a", "b"))
     labels = connected_components(ws, edges, "all")
 
@@ -173,6 +188,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps, with all their columns."""
+    gone = near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents`` on two-word shingles at 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)

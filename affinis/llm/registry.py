@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, near_dedup, packing, quality, secrets, substring_dedup, token_counts, warc
+from . import ann, bpe, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op7_pii": pii.op7_pii,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_nearest": ann.op3_nearest,
     "op4_warc": warc.op4_warc,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkernel import U64, WORDS, Words, chunks, gram_hashes, long_lists, sliding_min, splitmix
-from .workspace import Workspace
+from .workspace import Workspace, with_id
 
 #: Words of the short runs that stand for the windows which contain them.
 GRAM = 8
@@ -211,8 +211,7 @@ class FingerprintIndex:
         asked = docs if batch is None else self.batches[batch][0]
         none = F.array().cast("array<struct<first:int,count:int>>")
         rows = asked.join(spans, ["k1", "k2"], "left").select("id", "text", F.coalesce("sure", none).alias("sure"), F.coalesce("single", F.array().cast("array<int>")).alias("single"))
-        id_type = asked.schema["id"].dataType.simpleString()
-        return rows.mapInArrow(kept_batches(window), f"id {id_type}, n_words long, n_removed long, spans array<long>, kept string")
+        return rows.mapInArrow(kept_batches(window), with_id(rows, "n_words long, n_removed long, spans array<long>, kept string"))
 
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
@@ -237,6 +236,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return index.judge().withColumnRenamed("id", id_col)
 
 
+def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35) -> DataFrame:
+    """docs with ``remove_repeats`` applied to their texts; rows of which nothing is left go, other columns stay.
+
+    A text without a repeated window is left exactly as it is, white space included.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.col(text_col).alias("text_before")).alias("row"), F.col(text_col).alias("text"))
+    out = remove_repeats(rows, "row", "text", window)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text_before"))
+    return out.where("n_removed = 0 or n_removed < n_words").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ``documents`` left when every repeated window of 35 words is removed."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

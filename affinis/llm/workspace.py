@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -68,3 +69,8 @@ class Workspace:
 
 def split_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_id(df: DataFrame, rest: str) -> T.StructType:
+    """A schema of df's column id, whatever its type, and the columns of a DDL string."""
+    return T.StructType([T.StructField("id", df.schema["id"].dataType), *T.StructType.fromDDL(rest).fields])
