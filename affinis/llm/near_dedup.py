@@ -119,15 +119,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("total")).select("a", "b", "both", (F.col("total") - F.col("both")).alias("total"))
 
 
-def strays(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(odd, rest): the members but the least of buckets of more than two, with the components of both; odd are in another than it."""
+def strays(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members but the least of buckets of more than two, with their components and the least one's."""
     label = labels.select(F.col("node").alias("id"), "label")
-    rest = buckets.where("members > 2 and id <> pivot").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = rest.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    return rest.where("label <> pivot_label"), rest
+    pivot_label = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    return buckets.where("members > 2 and id <> pivot").join(label, "id").join(pivot_label, "pivot")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 2) -> DataFrame:
     """Classes of documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
     Returns a row for each input row: the id, n_shingles (size of the set), component_id (least id reachable
@@ -161,26 +160,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = ws.table(base.join(needed.hint("merge"), "id").mapInArrow(set_batches(words), "id long, grams array<long>"), "sets")
     tried = ws.table(verified(stars, sets), "tried")
     link = F.expr(f"100 * both >= {percent} * total")
-    labels = connected_components(ws, tried.where(link).select("a", "b"), "stars")
+    nodes = buckets.select(F.col("id").alias("node")).distinct()
+    labels = ws.table(nodes.join(connected_components(ws, tried.where(link).select("a", "b"), "stars"), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
     far = F.expr("1 - both / total")
-    for k in range(rounds):
-        odd, rest = strays(buckets, labels)
-        mask = F.lit(int(splitmix(np.array([k + 1], U64))[0]) >> 2)
-        another = rest.where("label = pivot_label").groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("b"))
-        again = odd.select("key", F.col("id").alias("a")).join(another, "key").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = tried.unionByName(ws.table(verified(again, sets), f"tried{k}"))
-        labels = connected_components(ws, tried.where(link).select("a", "b"), f"round{k}")
-
-    odd, rest = strays(buckets, labels)
-    distance = tried.select(F.col("a").alias("id"), F.col("b").alias("pivot"), far.alias("far"))
-    odd = odd.join(distance, ["id", "pivot"]).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
-    others = rest.join(odd.select("key").distinct(), "key", "left_semi").join(distance, ["id", "pivot"]).select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
-    more = odd.join(others, "key").where(f"la <> lb and abs(fa - fb) <= {1 - percent / 100 + 1e-9}")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = ws.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "more")
-    edges = tried.where(link).select("a", "b").unionByName(verified(more, sets).where(link).select("a", "b"))
-    labels = connected_components(ws, edges, "all")
+    for k in range(rounds + 1):
+        rest = strays(buckets, labels)
+        odd = ws.table(rest.where("label <> pivot_label"), f"odd{k}")
+        if odd.isEmpty():
+            break
+        if k < rounds:
+            mask = F.lit(int(splitmix(np.array([k + 1], U64))[0]) >> 2)
+            another = rest.where("label = pivot_label").groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("b"))
+            again = odd.select("key", F.col("id").alias("a")).join(another, "key").select("a", "b").distinct()
+        else:
+            distance = tried.select(F.col("a").alias("id"), F.col("b").alias("pivot"), far.alias("far"))
+            strange = odd.join(distance, ["id", "pivot"]).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
+            others = rest.join(odd.select("key").distinct(), "key", "left_semi").join(distance, ["id", "pivot"]).select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
+            again = strange.join(others, "key").where(f"la <> lb and abs(fa - fb) <= {1 - percent / 100 + 1e-9}").select("a", "b")
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        new = ws.table(verified(again, sets), f"tried{k}")
+        la, lb = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        bridges = new.where(link).join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = connected_components(ws, bridges, f"bridges{k}").select(F.col("node").alias("label"), F.col("label").alias("lower"))
+        labels = ws.table(labels.join(merged, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), f"labels{k}")
+        tried = tried.unionByName(new)
 
     classes = copies.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
     out = sigs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(classes.withColumnRenamed("id", id_col), id_col, "left")
