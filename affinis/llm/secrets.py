@@ -142,6 +142,14 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, id_col: str = "doc
     return judged.select(F.col("id").alias(id_col), "secret", "start", vector_to_array("probability")[1].alias("probability")).withColumn("is_secret", F.col("probability") >= threshold)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, longer if docs has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def redact(docs: DataFrame, model: PipelineModel | None = None, text_col: str = "text", path_col: str | None = "source", mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with every occurrence of each secret in its text replaced by ``mark``; all columns and rows stay.
 
@@ -150,13 +158,13 @@ def redact(docs: DataFrame, model: PipelineModel | None = None, text_col: str =
     model = train(docs.sparkSession) if model is None else model
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    one, two = "redact_key_1", "redact_key_2"
+    one, two, gone_list = (unused(docs, x) for x in ("redact_key_1", "redact_key_2", "redact_list"))
     keyed = docs.withColumns({one: F.xxhash64(text, path), two: F.xxhash64(F.lit(2), text, path)})
     found = scan(keyed.select(F.struct(one, two).alias("id"), text.alias("text"), path.alias("path")), model, "id", "text", "path", threshold).where("is_secret")
-    gone = found.groupBy(F.col(f"id.{one}").alias(one), F.col(f"id.{two}").alias(two)).agg(F.sort_array(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias("redact_list"))
+    gone = found.groupBy(F.col(f"id.{one}").alias(one), F.col(f"id.{two}").alias(two)).agg(F.sort_array(F.collect_set(F.struct((-F.length("secret")).alias("n"), "secret"))).alias(gone_list))
     out = keyed.join(gone, [one, two], "left")
-    cleared = F.aggregate("redact_list", F.col(text_col), lambda acc, x: F.replace(acc, x["secret"], F.lit(mark)))
-    return out.withColumn(text_col, F.when(F.col("redact_list").isNull(), F.col(text_col)).otherwise(cleared)).select(*docs.columns)
+    cleared = F.aggregate(gone_list, F.col(text_col), lambda acc, x: F.replace(acc, x["secret"], F.lit(mark)))
+    return out.withColumn(text_col, F.when(F.col(gone_list).isNull(), F.col(text_col)).otherwise(cleared)).select(*docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ class FingerprintIndex:
         self.ws, self.window, self.gram, self.most_runs = ws, window, gram, most_runs
         self.runs: dict[str, DataFrame] = {}
         self.batches: list[tuple[DataFrame, DataFrame]] = []
-        self.made = 0
+        self.made = self.judged = 0
 
     def _run(self, rows: DataFrame) -> None:
         self.made += 1
@@ -192,7 +192,8 @@ class FingerprintIndex:
         read alike are settled there. For the others the texts are read again and the windows compared by
         hashes of all their words, beside that of their anchor: 128 bits in all.
         """
-        ws, window, tag = self.ws, self.window, f"{'all' if batch is None else batch}-{self.made}"
+        self.judged += 1
+        ws, window, tag = self.ws, self.window, self.judged
         repeated = self.merged().where("n > 1").select("h", "mixed")
         postings = self._union([p for _, p in self.batches])
         each = postings.select("k1", "k2", F.explode(F.arrays_zip("h", "first", "count")).alias("x")).select("k1", "k2", "x.h", "x.first", "x.count")
