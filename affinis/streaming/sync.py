@@ -120,3 +120,27 @@ def stream_gate(stream: DataFrame, theta: float = SURPRISE, half_life: float = L
 
     rows = stream.withColumn("node", F.col("node").cast("string"))
     return rows.groupBy("session").applyInPandasWithState(fold, VERDICT, "names array<string>, masses array<double>, times array<double>, armed boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def channel(reasons: Column) -> Column:
+    """Prior of an impact by the best of its reasons (an array); 0.5 without any that is known."""
+    from affinis.functions.scores import CHANNELS
+
+    weights = F.create_map(*(F.lit(x) for kv in CHANNELS.items() for x in kv))
+    known = F.filter(F.transform(reasons, lambda r: F.try_element_at(weights, r)), lambda w: w.isNotNull())
+    return F.coalesce(F.array_max(known), F.lit(0.5))
+
+
+def structural(deltas: DataFrame, degraded: bool = False) -> DataFrame:
+    """(red): anchors (change, implicit, evidential) or files without tests that came or went on evidence."""
+    added = (F.col("change") == "added") & ~F.col("implicit")
+    removed = (F.col("change") == "removed") & F.lit(not degraded)
+    return deltas.agg(F.coalesce(F.bool_or(F.col("evidential") & (added | removed)), F.lit(False)).alias("red"))
+
+
+def assembled(lines: list[str], budget: int) -> str:
+    """A message of first, last and as many lines between as fit the budget, dropped from before the last."""
+    out = list(lines)
+    while len(out) > 2 and -(-len("\n".join(out)) // 4) > budget:
+        del out[-2]
+    return "\n".join(out)

@@ -217,3 +217,35 @@ def test_sources_and_engine(spark, tmp_path):
     assert more.tokens <= 300 and engine.t == 4.0
     assert engine.focus("nothing like it").details["seeds"] == 0
     assert engine.sketch(300).tokens <= 300
+
+
+def test_anchors(spark, tmp_path):
+    rows = [
+        ("main.go", 10, '  r.GET("/api/users/:id", GetUser)', "Go"), ("mux.go", 7, '  mux.HandleFunc("GET /healthz", h)', "Go"), ("mux.go", 9, '  r.Method("GET", "/x/y", h)', "Go"), ("App.kt", 5, '  get("/health") {', "Kotlin"),
+        ("U.java", 3, '@RequestMapping("/api/users")', "Java"), ("U.java", 6, '  @GetMapping("/{id}")', "Java"), ("a.ts", 4, "@Controller('airports')", "TypeScript"), ("a.ts", 8, "  @Get(':code')", "TypeScript"), ("urls.py", 12, '    path("jobs/", view),', "Python"),
+        ("routes.rb", 2, '  get "/rails/x", to: "a#b"', "Ruby"), ("web.ts", 2, "fetch(`/api/users/${id}`)", "TypeScript"), ("x.py", 1, 'd.get("not a path")', "Python"),
+    ]
+    lines = spark.createDataFrame(rows, "file string, line int, text string, lang string")
+    from affinis.operators import anchors
+
+    got = {(r.file, r.verb, r.route) for r in anchors.matches(lines).collect()}
+    assert got == {
+        ("main.go", "GET", "/api/users/{*}"), ("mux.go", "GET", "/healthz"), ("mux.go", "GET", "/x/y"), ("App.kt", "GET", "/health"), ("U.java", "GET", "/api/users/{*}"), ("a.ts", "GET", "/airports/{*}"), ("urls.py", "ANY", "/jobs"), ("routes.rb", "GET", "/rails/x"), ("web.ts", "GET", "/api/users/{*}"),
+    }
+    assert anchors.collapse(anchors.matches(lines)).where("label = 'GET /api/users/{*}'").collect()[0].files == 3
+    calls = spark.createDataFrame([("print",), ("LoadUser",), ("x",), ("toString",)], "callee string")
+    assert [r.callee for r in anchors.telling_calls(calls).collect()] == ["LoadUser"]
+    (tmp_path / "rules.json").write_text('{"rules": [{"id": "own", "langs": ["Python"], "form": "recv", "methods": "schedule"}, {"id": 3}]}')
+    assert [r.id for r in anchors.user_rules(str(tmp_path / "rules.json"))] == ["own"] and anchors.user_rules("/nowhere") == []
+    jobs = spark.createDataFrame([(f"f{k % 2}.py", k, f'jobm.schedule(x, "/jobs/{k}")', "Python") for k in range(6)], "file string, line int, text string, lang string")
+    hist = discover.histogram(anchors.call_signatures(jobs))
+    assert [r.key for r in discover.promoted(hist).collect()] == ["Python|recv|schedule|1"]
+    r = one(spark, sync.channel(F.array(F.lit("literal"), F.lit("call"))).alias("a"), sync.channel(F.array(F.lit("?"))).alias("b"))
+    assert (r.a, r.b) == (1.0, 0.5) and sync.assembled(["a" * 40, "b" * 400, "c"], 20) == "a" * 40 + "\nc"
+
+
+def test_read_windows():
+    from affinis.plans.engine import read_windows
+
+    got = read_windows([("a", 10, "x"), ("a", 30, "y"), ("b", 2, "z"), ("b", 0, "none"), ("a", 200, "w")])
+    assert [(w["path"], w["offset"], w["limit"]) for w in got] == [("a", 5, 45), ("b", 1, 25), ("a", 195, 25)]
