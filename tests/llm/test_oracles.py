@@ -1,0 +1,19 @@
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+from affinis.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.execute(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, DATA).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
