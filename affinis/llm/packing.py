@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import PATTERN, Codec
 from .textkernel import chunks
 from .tokens import UnitCache, library, splits_at_spaces, units
 from .workspace import Workspace
@@ -20,12 +22,34 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, by the library of the file."""
+    """Ids of texts as little-endian 32-bit integers, as the library of the file gives them.
+
+    Pieces of a byte-level file whose merges are numbered in their order go through tiktoken's merge loop with that
+    file's own ranks, which gives the same ids in a fraction of the time; pieces with special strings do not.
+    """
 
     def __init__(self, path: str):
-        encode = library(path)
-        self.make = lambda texts: [np.array(x, "<u4").tobytes() for x in encode(texts)]
+        self.encode_texts = library(path)
+        self.fast, self.special = None, ()
         self.cache = UnitCache(self.make, b"".join, 80) if splits_at_spaces(path) else None
+        if self.cache is not None:
+            codec = Codec(path)
+            if (np.diff(codec.joined) > 0).all():
+                import tiktoken
+
+                ends, held = codec.piece_at, codec.pieces.tobytes()
+                ranks = {held[ends[i] : ends[i + 1]]: i for i in range(len(ends) - 1) if ends[i] < ends[i + 1] and i not in codec.special.values()}
+                self.fast, self.special = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), tuple(codec.special)
+
+    def make(self, texts: list[str]) -> list[bytes]:
+        if self.fast is None:
+            return [struct.pack(f"<{len(x)}I", *x) for x in self.encode_texts(texts)]
+        one, special = self.fast.encode_ordinary, self.special
+        odd = [k for k, t in enumerate(texts) if any(x in t for x in special)]
+        ids = list(map(one, texts))
+        for k, x in zip(odd, self.encode_texts([texts[k] for k in odd]) if odd else (), strict=True):
+            ids[k] = x
+        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cache is None:

@@ -13,9 +13,11 @@ from collections.abc import Callable
 
 #: A space beside white space or at an end of the text; any other space begins a token of its own.
 _ODD_SPACE = re.compile(r"(?<!\S) | (?!\S)")
+#: White space other than space and line feed.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes that a cache of one Python worker may hold before it starts anew.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 112 << 20
 
 
 def units(text: str) -> list[str]:
@@ -24,7 +26,8 @@ def units(text: str) -> list[str]:
     Byte-level pre-tokenizers start a new piece at such a space whatever stands before it, so the pieces, each
     but the first with its space in front, have the same tokens one by one as the whole text.
     """
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or (_RARE.search(text) and _ODD_SPACE.search(text))
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -63,9 +66,9 @@ def parts(unit: str) -> list[str]:
 
     A line feed alone between other characters is a piece of its own, and so is a mark after Latin letters.
     """
-    if "\n" in unit[1:-1]:
+    if "\n" in unit:
         lines = unit.split("\n")
-        if all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].removeprefix(" "), *lines[1:]]):
+        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].removeprefix(" "), *lines[1:]]):
             return [part for k, x in enumerate(lines) for part in (["\n"] * (k > 0) + parts(x))]
     if len(unit) > 1 and unit[-1] in _MARKS and (core := unit[:-1].removeprefix(" ")).isalpha() and core[-1] < "\u0250":
         return [unit[:-1], unit[-1]]
@@ -73,27 +76,43 @@ def parts(unit: str) -> list[str]:
 
 
 class UnitCache:
-    """Values of units, kept up to a number of bytes; the parts that are new in a batch are made all at once."""
+    """Values of units and of their parts, kept up to a number of bytes; what is new in a batch is made all at once."""
 
     def __init__(self, make: Callable[[list[str]], list], join: Callable[[list], object], value_bytes: int = 40):
         self.make, self.join, self.value_bytes = make, join, value_bytes
         self.plain: dict[str, object] = {}
         self.spaced: dict[str, object] = {}
-        self.parts: dict[str, object] = {}
-        self.bytes = self.part_bytes = 0
+        self.bytes = 0
 
     def fill(self, texts: list[list[str]]) -> None:
         if self.bytes > CACHE_BYTES:
             self.plain, self.spaced, self.bytes = {}, {}, 0
-        if self.part_bytes > CACHE_BYTES:
-            self.parts, self.part_bytes = {}, 0
+        plain, spaced = self.plain, self.spaced
         first, later = {t[0] for t in texts}, set()
         for t in texts:
             later.update(t[1:])
-        new = [(self.plain, x, parts(x)) for x in sorted(first - self.plain.keys())] + [(self.spaced, x, parts(" " + x)) for x in sorted(later - self.spaced.keys())]
-        wanted = sorted({y for _, _, p in new for y in p} - self.parts.keys())
-        self.parts.update(zip(wanted, self.make(wanted), strict=True))
-        self.part_bytes += sum(map(len, wanted)) + len(wanted) * (120 + self.value_bytes)
-        for cache, x, p in new:
-            cache[x] = self.parts[p[0]] if len(p) == 1 else self.join([self.parts[y] for y in p])
-            self.bytes += len(x) + 120 + self.value_bytes
+        whole, begun = set(), set()
+        pending: list[tuple] = []
+        for x in first - plain.keys():
+            p = parts(x)
+            whole.update(p)
+            if len(p) > 1:
+                pending.append((plain, x, None, p))
+        for x in later - spaced.keys():
+            if x.isalpha():
+                begun.add(x)
+                continue
+            p = parts(" " + x)
+            if len(p) == 1:
+                begun.add(x)
+            else:
+                begun.add(p[0][1:])
+                whole.update(p[1:])
+                pending.append((spaced, x, p[0][1:], p[1:]))
+        wanted, after = list(whole - plain.keys()), list(begun - spaced.keys())
+        made = self.make(wanted + [" " + x for x in after])
+        plain.update(zip(wanted, made, strict=False))
+        spaced.update(zip(after, made[len(wanted) :], strict=True))
+        for cache, x, head, rest in pending:
+            cache[x] = self.join([*([spaced[head]] if head is not None else ()), *map(plain.__getitem__, rest)])
+        self.bytes += sum(map(len, wanted)) + sum(map(len, after)) + sum(len(x) for _, x, _, _ in pending) + (len(made) + len(pending)) * (120 + self.value_bytes)
