@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -132,73 +134,130 @@ def _without(b: Bin, gone: tuple[int, ...]) -> Bin:
     return tuple(rest)
 
 
-def _exchange(donor: Bin, other: Bin, size: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The exchange that fills ``other`` most: (gain, what the donor gives, what it gets), or None.
+class Receivers:
+    """Underfull bins by what they can give back, no length, one or two, and by the room that they have.
 
-    One document moves, is exchanged for one or for two shorter ones, or two are for one shorter than both.
+    ``held[k][s]`` maps a room to the bins with that room and k lengths of sum s; ``rooms[k][s]`` has a bit for each
+    such room, so the most room up to a bound is found at once.
     """
-    room = size - sum(other)
-    give, get = sorted(set(donor), reverse=True), sorted(set(other))
-    best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
-
-    def consider(x: tuple[int, ...], y: tuple[int, ...]) -> None:
-        nonlocal best
-        gain = sum(x) - sum(y)
-        if 0 < gain <= room and (best is None or gain > best[0]):
-            best = (gain, x, y)
-
-    many, held = Counter(donor), Counter(other)
-    for x in give:
-        consider((x,), ())
-        for y in get:
-            consider((x,), (y,))
-            for z in get:
-                if z >= y and y + z < x and (y != z or held[y] > 1):
-                    consider((x,), (y, z))
-        for x2 in give:
-            if x2 <= x and (x != x2 or many[x] > 1):
-                for y in get:
-                    consider((x, x2), (y,))
-        if best and best[0] == room:
-            break
-    return best
-
-
-def local_search(bins: Counter[Bin], size: int, steps: int = 400, receivers: int = 256) -> Counter[Bin]:
-    """Exchanges documents between underfull bins while the sum of squared fills grows and bins can empty.
-
-    The donor is the emptiest bin; it gives to bins at least as full, so each step adds to the sum of squares.
-    Bins of one pattern are changed together, as many as both patterns have. A step looks at ``receivers``
-    patterns at most and there are ``steps`` at most, so the work does not depend on how many documents there are.
+
+    def __init__(self, size: int):
+        self.size = size
+        self.held: tuple[dict, ...] = ({}, {}, {})
+        self.rooms: tuple[dict[int, int], ...] = ({}, {}, {})
+
+    def options(self, b: Bin) -> Iterator[tuple[int, int]]:
+        yield 0, 0
+        kinds = sorted(set(b))
+        for x in kinds:
+            yield 1, x
+        yield from {(2, y + z) for i, y in enumerate(kinds) for z in kinds[i:] if y != z or b.count(y) > 1}
+
+    def add(self, b: Bin) -> None:
+        room = self.size - sum(b)
+        for k, s in self.options(b):
+            self.held[k].setdefault(s, {}).setdefault(room, {})[b] = None
+            self.rooms[k][s] = self.rooms[k].get(s, 0) | 1 << room
+
+    def drop(self, b: Bin) -> None:
+        room = self.size - sum(b)
+        for k, s in self.options(b):
+            there = self.held[k][s]
+            del there[room][b]
+            if not there[room]:
+                del there[room]
+                self.rooms[k][s] ^= 1 << room
+                if not there:
+                    del self.held[k][s], self.rooms[k][s]
+
+    def reach(self, k: int, most: int) -> tuple[list[int], list[int], list[int]]:
+        """Sums s in order of which each takes a larger s + room than all smaller ones, that reach, and the room."""
+        mask, far, out = (2 << most) - 1, 0, ([], [], [])
+        for s in sorted(self.rooms[k]):
+            room = (self.rooms[k][s] & mask).bit_length() - 1
+            if room > 0 and s + room > far:
+                far = s + room
+                for column, value in zip(out, (s, far, room), strict=True):
+                    column.append(value)
+        return out
+
+
+def _exchange(donor: Bin, receivers: Receivers) -> tuple[Bin, tuple[int, ...], tuple[int, ...]] | None:
+    """Of all exchanges with all bins at least as full, one that fills its bin most: (bin, what it gets, what it gives).
+
+    One document moves, is exchanged for one or for two shorter ones, or two are for one shorter than both. The least
+    sum given back that leaves room for what comes is the largest gain, so each receiver need not be looked at.
+    """
+    give = sorted(set(donor), reverse=True)
+    twos = [(x, y) for i, x in enumerate(give) for y in give[i:] if x != y or donor.count(x) > 1]
+    best: tuple[int, tuple[int, ...], int, int, int] | None = None
+    for k, options in ((0, [(x,) for x in give]), (1, [(x,) for x in give] + twos), (2, [(x,) for x in give])):
+        sums, far, rooms = receivers.reach(k, receivers.size - sum(donor))
+        for x in options:
+            at = bisect_left(far, sum(x))
+            if at < len(far) and sums[at] < sum(x) and (best is None or sum(x) - sums[at] > best[0]):
+                best = (sum(x) - sums[at], x, k, sums[at], rooms[at])
+    if best is None:
+        return None
+    _, x, k, s, room = best
+    other = next(iter(receivers.held[k][s][room]))
+    back = () if k == 0 else (s,) if k == 1 else next((y, s - y) for y in sorted(set(other)) if s - y in other and (2 * y != s or other.count(y) > 1))
+    return other, x, back
+
+
+def local_search(bins: Counter[Bin], size: int) -> Counter[Bin]:
+    """Exchanges documents between underfull bins until no bin has an exchange left or no bin can empty.
+
+    The donor is the emptiest bin; it gives to bins at least as full, so each step adds to the sum of squared fills
+    and the search ends. Bins of one pattern are changed together, as many as both patterns have, so the work depends
+    on the number of patterns. Donors without an exchange are tried again after other bins have changed.
     """
     bins = Counter(bins)
-    total = sum(sum(b) * n for b, n in bins.items())
-    least = -(-total // size)
-    stuck: set[Bin] = set()
-    for _ in range(steps):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((b for b in bins if sum(b) < size), key=lambda b: (sum(b), b))
-        donor = next((b for b in under if b not in stuck), None)
-        if donor is None:
-            break
-        best = None
-        for other in [b for b in under if sum(b) >= sum(donor) and (b != donor or bins[b] > 1)][-receivers:]:
-            found = _exchange(donor, other, size)
-            if found and (best is None or found[0] > best[0][0]):
-                best = (found, other)
-        if best is None:
+    number, least = sum(bins.values()), -(-sum(sum(b) * n for b, n in bins.items()) // size)
+    receivers = Receivers(size)
+    todo: list[tuple[int, Bin]] = []
+    for b in bins:
+        if sum(b) < size:
+            receivers.add(b)
+            todo.append((sum(b), b))
+    heapify(todo)
+    changed, stuck = False, set()
+    while number > least:
+        if not todo:
+            if not changed:
+                break
+            todo, changed, stuck = [(sum(b), b) for b in bins if sum(b) < size], False, set()
+            heapify(todo)
+            continue
+        _, donor = heappop(todo)
+        if donor not in bins or donor in stuck:
+            continue
+        if bins[donor] == 1:
+            receivers.drop(donor)
+        found = _exchange(donor, receivers)
+        if bins[donor] == 1:
+            receivers.add(donor)
+        if found is None:
             stuck.add(donor)
             continue
-        (_, x, y), other = best
+        other, x, y = found
+        changed = True
         times = bins[donor] // 2 if other == donor else min(bins[donor], bins[other])
         for old in (donor, other):
             bins[old] -= times
             if not bins[old]:
                 del bins[old]
+                receivers.drop(old)
+            elif old == donor:
+                heappush(todo, (sum(old), old))
         for new in (tuple(sorted(_without(donor, x) + y, reverse=True)), tuple(sorted(_without(other, y) + x, reverse=True))):
-            if new:
-                bins[new] += times
+            if not new:
+                number -= times
+                continue
+            if new not in bins and sum(new) < size:
+                receivers.add(new)
+                heappush(todo, (sum(new), new))
+            bins[new] += times
     return bins
 
 

@@ -110,6 +110,23 @@ def test_local_search_empties_bins():
     assert sum(packing.local_search(swap, 1024).values()) <= 3
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(200, 520, 30_000), (200, 520, 300), (150, 550, 200)])
+def test_local_search_goes_on_while_there_are_exchanges(low, high, n):
+    counts = Counter(int(x) for x in np.random.default_rng(1).integers(low, high + 1, n))
+    first = packing.best_fit(counts, 1024)
+    second = packing.local_search(first, 1024)
+    assert sum(second.values()) < sum(first.values()) and sum((Counter({x: b.count(x) * k for x in b}) for b, k in second.items()), Counter()) == counts
+    if n > 1000 or sum(second.values()) == -(-sum(x * k for x, k in counts.items()) // 1024):
+        return
+    under = [b for b in second if sum(b) < 1024]
+    sums = lambda b, most: {0} | set(b) | {x + y for i, x in enumerate(b) for y in b[i + 1 :] if most > 1}
+    for a in under:
+        for b in under:
+            if sum(a) <= sum(b) and (a != b or second[a] > 1):
+                room = 1024 - sum(b)
+                assert not any(0 < x - y <= room for x in set(a) for y in sums(b, 2)) and not any(0 < x - y <= room for x in sums(a, 2) - {0} for y in set(b))
+
+
 def test_query(spark, library):
     d = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
