@@ -49,6 +49,23 @@ def test_quality_query_keeps_good_documents(spark):
     assert rate[1].passed > 0.99 and rate[0].kept < 0.6
 
 
+def test_quality_forest_catches_held_out_bad_rows_that_pass_the_base_rule(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 1
+    got = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~held_out)).join(labels.where(held_out), "doc_id").where("not base_failed")
+    rate = {r.quality: r for r in got.groupBy("quality").agg(F.count("*").alias("n"), F.avg(F.col("kept").cast("double")).alias("kept"), F.avg(F.when(F.col("n_symbols") < F.col("n_words"), F.col("kept").cast("double"))).alias("kept_under_one")).collect()}
+    assert rate[0].n > 100 and rate[0].kept < 0.1 and rate[0].kept_under_one < 0.15 and rate[1].kept > 0.99
+
+
+def test_forest_splits_beyond_what_is_alike():
+    rng = np.random.default_rng(4)
+    x, far = np.c_[rng.normal(0, 1, 400), np.zeros(400)], np.c_[rng.normal(0, 1, 40), rng.uniform(0.3, 3, 40)]
+    f = quality.IsolationForest.fit(x[:200], far=far[:20])
+    assert f.scores(far[20:]).min() > f.scores(x[200:]).max()
+    assert quality.threshold(np.array([0.1, 0.2, 0.7]), np.array([0.6, 0.8, 0.9])) == pytest.approx(0.75) and quality.threshold(np.array([0.5]), np.array([0.5])) >= 0.5
+
+
 def test_isolation_forest_finds_what_is_far():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (500, 4)), [[9, 9, 9, 9], [-9, 0, 9, 0]]])
