@@ -30,19 +30,36 @@ FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers",
 CONTEXT = 48
 
 
+def places(pattern: str, group: int) -> Column:
+    """Where the group, which ends the match, stands in each match in ``text``: start * 2**31 + length, in code points."""
+    gaps, whole = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0)
+    found = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), *([F.regexp_extract_all("text", F.lit(pattern), group).alias("value")] if group else []))
+
+    def step(acc: Column, x: Column) -> Column:
+        end, length = acc["at"] + F.length(x["gap"]) + F.length(x["whole"]), F.length(x["value" if group else "whole"])
+        code = F.shiftleft(end - length, 31) + length
+        return F.when(x["whole"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], code).alias("out")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(id, path, secret, before, after): each distinct candidate of a text, where it first stands."""
+    """(id, path, secret, start, before, after): each candidate of a text at each place where a pattern finds it.
+
+    The text's gaps between a pattern's matches give the places. The same stretch found by several patterns is one.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), text.alias("text"))
-    found = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(ISSUED), 0), F.regexp_extract_all("text", F.lit(ASSIGNED), 1), F.regexp_extract_all("text", F.lit(OPAQUE), 0)))
-    rows = rows.withColumn("found", found).where(F.size("found") > 0)
+    rows = rows.where(F.col("text").rlike(ISSUED) | F.col("text").rlike(ASSIGNED) | F.col("text").rlike(OPAQUE))
+    found = F.array_distinct(F.concat(places(ISSUED, 0), places(ASSIGNED, 1), places(OPAQUE, 0)))
 
-    def around(secret: Column) -> Column:
-        at = F.instr("text", secret)
-        return F.struct(secret.alias("secret"), (at - 1).alias("start"), F.substring("text", F.greatest(at - CONTEXT, F.lit(1)), F.least(at - 1, F.lit(CONTEXT))).alias("before"), F.substring("text", at + F.length(secret), F.lit(CONTEXT)).alias("after"))
+    def around(place: Column) -> Column:
+        at, length = F.shiftright(place, 31).cast("int") + 1, place.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        return F.struct(F.substring("text", at, length).alias("secret"), (at - 1).alias("start"), F.substring("text", F.greatest(at - CONTEXT, F.lit(1)), F.least(at - 1, F.lit(CONTEXT))).alias("before"), F.substring("text", at + length, F.lit(CONTEXT)).alias("after"))
 
-    return rows.select("id", "path", F.explode(F.transform("found", around)).alias("x")).select("id", "path", "x.*")
+    return rows.select("id", "path", F.explode(F.transform(found, around)).alias("x")).select("id", "path", "x.*")
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -130,8 +147,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 3
 def scan(docs: DataFrame, model: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """Findings of every whole text and the forest's verdict on each.
 
-    Returns a row for each distinct candidate of each input row: the id, secret, start (code points before its
-    first occurrence), probability and is_secret. Candidates are published key formats, values given to names that
+    Returns a row for each candidate of each input row, at each place where it is found: the id, secret, start (code
+    points before it), probability and is_secret, judged by the words around that place. Candidates are published key formats, values given to names that
     speak of secrets, and runs of at least 20 key characters with a digit. The forest looks at length, character
     transitions, dictionary coverage, path and neighbouring words. Null and empty texts have no candidates; equal
     rows have equal findings each. Other columns are ignored, whatever their names.
@@ -153,6 +170,8 @@ def unused(docs: DataFrame, name: str) -> str:
 def redact(docs: DataFrame, model: PipelineModel | None = None, text_col: str = "text", path_col: str | None = "source", mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:
     """docs with every occurrence of each secret in its text replaced by ``mark``; all columns and rows stay.
 
+    A value that is confirmed at one place is replaced at all.
+
     A text's secrets are joined to it by a 128-bit key of text and path, so ids may be null or repeat.
     """
     model = train(docs.sparkSession) if model is None else model
