@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,10 +152,13 @@ class SemiMarkovCRF:
         self.weights = np.zeros((0, len(KINDS) + 1))
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def lattice(self, toks: list[Token], learn: bool = False) -> list[tuple[int, int, tuple[int, ...], np.ndarray]]:
+    def lattice(self, toks: list[Token], learn: bool = False, taken: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int, tuple[int, ...], np.ndarray]]:
+        """All spans and their features; no entity touches what is ``taken``."""
         out = []
         plain = [(i, i + 1, (0,)) for i in range(len(toks))]
         for i, j, kinds in plain + segments(toks):
+            if kinds != (0,) and any(a < toks[j - 1].end and toks[i].start < b for a, b in taken):
+                continue
             names = segment_features(toks, i, j) if kinds != (0,) else ["out", "out=" + shape(toks[i].text)]
             if learn:
                 for x in names:
@@ -166,13 +169,13 @@ class SemiMarkovCRF:
     def scores(self, lattice: list) -> list[np.ndarray]:
         return [self.weights[f].sum(axis=0) for _, _, _, f in lattice]
 
-    def decode(self, toks: list[Token]) -> list[tuple[int, int, int]]:
+    def decode(self, toks: list[Token], taken: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
         """(i, j, kind) of the entities of the best segmentation."""
         n, labels = len(toks), len(KINDS) + 1
         best = np.full((n + 1, labels), -np.inf)
         best[0, 0] = 0.0
         back: dict[tuple[int, int], tuple[int, int]] = {}
-        lattice = self.lattice(toks)
+        lattice = self.lattice(toks, taken=taken)
         for (i, j, kinds, _), score in zip(lattice, self.scores(lattice), strict=True):
             for y in kinds:
                 come = best[i] + self.moves[:, y]
@@ -279,18 +282,32 @@ def trained(n: int = 320) -> SemiMarkovCRF:
     return SemiMarkovCRF().fit(examples(n))
 
 
+def free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What ``taken``, in order of starts, leaves of a stretch."""
+    for a, b in taken:
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def added_spans(text: str, base: list[Span], model: SemiMarkovCRF) -> list[Span]:
-    """Spans that the field finds around triggers and that touch no base span."""
+    """Spans that the field finds around triggers and that touch no base span.
+
+    Base spans are cut out of a trigger, and what they leave on either side is decoded if it is a trigger still.
+    """
     taken = [(a, b) for a, b, _ in base]
     areas: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if areas and a <= areas[-1][1]:
-            areas[-1][1] = b
-        else:
-            areas.append([a, b])
+        whole = not any(a < m.end() and m.start() < b for a, b in taken)
+        for start, end in [m.span()] if whole else [t.span() for lo, hi in free(*m.span(), taken) for t in TRIGGER.finditer(text, lo, hi)]:
+            a, b = max(0, start - AROUND), min(len(text), end + AROUND)
+            if areas and a <= areas[-1][1]:
+                areas[-1][1] = max(b, areas[-1][1])
+            else:
+                areas.append([a, b])
     out: list[Span] = []
     for a, b in areas:
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
@@ -298,7 +315,7 @@ def added_spans(text: str, base: list[Span], model: SemiMarkovCRF) -> list[Span]
         while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
             b += 1
         toks = tokens(text, a, b)
-        for i, j, y in model.decode(toks):
+        for i, j, y in model.decode(toks, [t for t in taken if t[0] < b and a < t[1]]):
             start, end = toks[i].start, toks[j - 1].end
             if not any(s < end and start < e for s, e in taken) and not (out and start < out[-1][1]):
                 out.append((start, end, KINDS[y - 1]))

@@ -163,6 +163,13 @@ def test_pii_query(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("text", "phone"), [("host 10.0.0.1 555-123-4567", "555-123-4567"), ("card 4111 1111 1111 1111 (555) 123-4567", "(555) 123-4567"), ("call 555-123-4567 10.0.0.1 or not", "555-123-4567")])
+def test_pii_beside_base_spans_is_found(text, phone):
+    base = pii.base_spans(text)
+    found = pii.added_spans(text, base, pii.trained())
+    assert len(base) == 1 and [(text[a:b], k) for a, b, k in found] == [(phone, "phone")]
+
+
 def test_pii_held_out_and_decoding():
     model = pii.trained()
     right = total = wrong = 0
