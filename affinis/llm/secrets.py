@@ -20,7 +20,7 @@ ISSUED = (
 #: A value given to a name that speaks of secrets; the value is the candidate.
 ASSIGNED = r"(?i)(?:passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,2}(?:=|:|=>|:=)\s{0,2}[\"'`]?([^\s\"'`<>,;]{8,})"
 #: Long runs of key characters with a digit among them.
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,}+"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 #: Words and parts of words that made-up keys hardly contain.
 DICTIONARY = "(?:password|passwd|secret|token|example|sample|change|default|placeholder|your|here|user|name|admin|test|key|api|value|config|service|client|server|index|file|path|data|http|www|com|org|html|image|class|function|return|import|module|version|number|string|the|and|ing|tion|ment|able|ness)"
 NAMES = r"(?i)(?:passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,2}(?:=|:|=>|:=)\s{0,2}[\"'`]?$"
@@ -77,7 +77,7 @@ def features(found: DataFrame) -> DataFrame:
             "length": F.least(F.length(s), F.lit(256)).cast("double"),
             "transitions": (F.size(F.split(s, classes)) - 1) / n,
             "coverage": share(F.lower(s), DICTIONARY),
-            "distinct": F.size(F.array_distinct(F.split(F.left(s, F.lit(256)), ""))) / F.least(n, F.lit(256)),
+            "distinct": F.size(F.array_distinct(F.split(s, ""))) / n,
             "digits": share(s, "[0-9]"),
             "uppers": share(s, "[A-Z]"),
             "hex": flag(s.rlike("^[0-9a-f]+$")),

@@ -232,6 +232,13 @@ def test_secrets_are_judged_at_each_place(spark, forest):
     assert value not in clean[0] and key not in clean[1]
 
 
+def test_secrets_look_at_whole_runs(spark):
+    run = "abcDEFghij" * 8 + "7" + "k" * 250_000 + "z"
+    docs = spark.createDataFrame([(1, f"x {run} y"), (2, "q" * 300_000)], "doc_id long, text string")
+    got = secrets.features(secrets.candidates(docs, "doc_id", "text", None)).select("id", "secret", "distinct").collect()
+    assert [(r.id, r.secret) for r in got] == [(1, run)] and got[0].distinct == len(set(run)) / len(run)
+
+
 def test_secrets_held_out(spark, forest):
     labelled = secrets.labelled_findings(spark, 1500).withColumn("id", F.col("id") + 10_000_000)
     found = secrets.scan(secrets.labelled_findings(spark, 6000).where("id >= 4000"), forest, "id", "text", "path").join(secrets.labelled_findings(spark, 6000).select("id", "label"), "id")
