@@ -120,12 +120,60 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def strays(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members but the least of buckets of more than two, with their components and the least one's."""
+    """The members but the pivot of buckets of more than two, with their components and the pivot's."""
     label = labels.select(F.col("node").alias("id"), "label")
     pivot_label = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
     return buckets.where("members > 2 and id <> pivot").join(label, "id").join(pivot_label, "pivot")
 
 
+def with_pivots(ws: Workspace, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, members, pivot) of the buckets of two members or more, and (id, mass), the members of its buckets.
+
+    A bucket's pivot is its member with the most mass. What a family of documents was made from agrees with the most
+    of them on a band, so its buckets are the largest.
+    """
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    held = ws.table(keys.join(shared, "key"), "held")
+    mass = ws.table(held.groupBy("id").agg(F.sum("members").alias("mass")), "mass")
+    pivots = held.join(mass, "id").groupBy("key").agg(F.max_by("id", F.struct("mass", -F.col("id"))).alias("pivot"))
+    return ws.table(held.join(pivots, "key"), "buckets"), mass
+
+
+def far_pairs(ws: Workspace, rest: DataFrame, labels: DataFrame, mass: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of one bucket and two components that may be linked, a being apart from the pivot's component.
+
+    With P the set of the pivot's component that has the most mass, a set A that is not linked with P and a set B have
+    at most the similarity of A and P if they share nothing outside P and B is at least as large as P. So linked ones
+    share a shingle that P has not, which is what the first join is on; or B is smaller than P, and of P's shingles
+    that B has not, fewer than percent / (100 + percent) of the difference in size are in A. So one of any that many of
+    them is missing in A too, which is what the second join is on. As linked sets share percent % of each, those that
+    share something outside P share one of the rarest such shingles of each, of which (100 - percent) % of its size and
+    one more are looked at. In a group that was made from P, or around it, neither join grows with the square, since
+    what its members add is their own or stands behind what is.
+    """
+    groups = rest.select(F.col("pivot_label").alias("whole"), "id", "label").distinct()
+    groups = groups.join(groups.where("label <> whole").select("whole").distinct(), "whole", "left_semi")
+    heavy = labels.join(mass.withColumnRenamed("id", "node"), "node").groupBy(F.col("label").alias("whole")).agg(F.max_by("node", F.struct("mass", -F.col("node"))).alias("pivot"))
+    p, g = sets.select(F.col("id").alias("pivot"), F.col("grams").alias("gp")), sets.select("id", "grams")
+    deltas = groups.join(heavy, "whole").where("id <> pivot").join(p, "pivot").join(g, "id").select(
+        "pivot", "id", "label", (F.col("label") != F.col("whole")).alias("odd"), F.size("grams").alias("n"), F.size("gp").alias("np"), F.array_except("grams", "gp").alias("added"), F.array_except("gp", "grams").alias("removed")
+    )
+    deltas = ws.table(deltas, "deltas")
+    one, two = (deltas.select("pivot", F.col("id").alias(c), F.col("label").alias(f"l{c}"), F.col("odd").alias(f"o{c}"), F.col("n").alias(f"n{c}"), F.size("removed").alias(f"r{c}"), "np", "removed") for c in "ab")
+    one = one.where("oa")
+    each = deltas.select("pivot", "id", F.explode("added").alias("g"))
+    shared = each.groupBy("pivot", "g").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = each.join(shared, ["pivot", "g"]).groupBy("pivot", "id").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("shared"))
+    least = F.least(F.size("added"), F.floor(F.lit(100 - percent) * F.col("n") / 100) + 1) - F.size("added") + F.size("shared")
+    front = ws.table(deltas.join(ordered, ["pivot", "id"]).select("pivot", "id", "label", "odd", F.explode(F.slice("shared", F.lit(1), F.greatest(least, F.lit(0)).cast("int"))).alias("x")).select("pivot", "id", "label", "odd", "x.g"), "front")
+    x, y = (front.select("pivot", "g", F.col("id").alias(c), F.col("label").alias(f"l{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+    by_added = x.where("oa").join(y, ["pivot", "g"]).where("la <> lb and (not ob or a < b)")
+    few = F.slice("removed", 1, F.ceil(F.lit(percent) * (F.col("np") - F.col("nb")) / F.lit(100 + percent)).cast("int"))
+    less = two.where("nb < np").select("pivot", "b", "lb", "ob", "nb", "rb", "np", F.explode(few).alias("g"))
+    by_removed = one.select("pivot", "a", "la", "na", "ra", F.explode("removed").alias("g")).join(less, ["pivot", "g"]).where(f"la <> lb and {100 + percent} * (np - greatest(ra, rb)) >= {percent} * (na + nb)")
+    return by_added.select("a", "b").unionByName(by_removed.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, rounds: int = 2) -> DataFrame:
     """Classes of documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
@@ -140,10 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies with equal sets are one representative from the start. Representatives that agree on all ``rows``
     coordinates of one of ``bands`` bands are candidates; at the default sizes a pair at exactly 80 % is missed
     with probability 5e-6. Candidates are not expanded into all pairs. Each bucket first compares its members
-    with its least one, on full sets. In ``rounds`` rounds, members that are in another component than the least
-    one are compared with one more member of that component. Those left are compared with all others of the
-    bucket that are in a component other than their own, unless the triangle inequality of the Jaccard distance
-    rules a link out; so every link between components is found.
+    with its pivot, on full sets. In ``rounds`` rounds, members that are in another component than the pivot are
+    compared with one more member of that component. Those left are compared with the members of the bucket that
+    are in a component other than their own and that ``far_pairs`` does not rule out by what they share outside the
+    pivot's set; so every link between components is found.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near-dedup")
@@ -152,9 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = sigs.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     copies = ws.table(sigs.where("n > 0").select("id", "f1", "f2", "n").join(groups, ["f1", "f2", "n"]).select("id", "rep").where("id is not null").distinct(), "copies")
     heads = copies.where("id = rep").select("id")
-    keys = sigs.where("n > 0").join(heads, "id").select("id", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    buckets = ws.table(keys.join(shared, "key"), "buckets")
+    buckets, mass = with_pivots(ws, sigs.where("n > 0").join(heads, "id").select("id", F.explode("keys").alias("key")).distinct())
     stars = ws.table(buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     needed = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = ws.table(base.join(needed.hint("merge"), "id").mapInArrow(set_batches(words), "id long, grams array<long>"), "sets")
@@ -163,7 +209,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = buckets.select(F.col("id").alias("node")).distinct()
     labels = ws.table(nodes.join(connected_components(ws, tried.where(link).select("a", "b"), "stars"), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
-    far = F.expr("1 - both / total")
     for k in range(rounds + 1):
         rest = strays(buckets, labels)
         odd = ws.table(rest.where("label <> pivot_label"), f"odd{k}")
@@ -174,10 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             another = rest.where("label = pivot_label").groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).bitwiseXOR(mask).alias("b"))
             again = odd.select("key", F.col("id").alias("a")).join(another, "key").select("a", "b").distinct()
         else:
-            distance = tried.select(F.col("a").alias("id"), F.col("b").alias("pivot"), far.alias("far"))
-            strange = odd.join(distance, ["id", "pivot"]).select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("far").alias("fa"))
-            others = rest.join(odd.select("key").distinct(), "key", "left_semi").join(distance, ["id", "pivot"]).select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("far").alias("fb"))
-            again = strange.join(others, "key").where(f"la <> lb and abs(fa - fb) <= {1 - percent / 100 + 1e-9}").select("a", "b")
+            again = far_pairs(ws, rest, labels, mass, sets, percent)
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         new = ws.table(verified(again, sets), f"tried{k}")

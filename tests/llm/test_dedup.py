@@ -127,6 +127,50 @@ def test_near_duplicates(spark, words):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def dense_components(texts, words, percent=80):
+    """Components by all pairs at once, for groups too large for sets: the least number of each."""
+    names: dict = {}
+    rows = [sorted({names.setdefault(tuple(w[k : k + words]), len(names)) for k in range(len(w) - words + 1)}) for w in map(WORD.findall, texts)]
+    has = np.zeros((len(rows), len(names)), np.float32)
+    for i, r in enumerate(rows):
+        has[i, r] = 1
+    n = has.sum(axis=1)
+    both = has @ has.T
+    links = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(rows))
+    while True:
+        lower = np.where(links, label[None, :], len(rows)).min(axis=1)
+        if (lower == label).all():
+            return label.tolist()
+        label = lower
+
+
+@pytest.mark.parametrize("kind", ["made from one", "without it", "cut", "around a passage"])
+def test_near_duplicates_of_a_large_group(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    base = draw(150)
+    rows = [list(base)] if kind == "made from one" else []
+    for _ in range(1500):
+        w = list(base)
+        if kind == "cut":
+            at = int(rng.integers(0, 60))
+            w = w[at : len(w) - int(rng.integers(0, 60))]
+            for k in rng.integers(0, len(w), rng.integers(0, 5)):
+                w[k] = f"x{rng.integers(0, 999)}"
+        elif kind == "around a passage":
+            w = draw(int(rng.integers(5, 60))) + base[:80] + draw(int(rng.integers(0, 30)))
+        else:
+            for k in rng.integers(0, len(w), rng.integers(4, 26)):
+                w[k] = f"x{rng.integers(0, 9999)}"
+        rows.append(w)
+    order = rng.permutation(len(rows))
+    texts = [" ".join(rows[i]) for i in order]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, words=2).collect()}
+    assert [got[i] for i in range(len(texts))] == dense_components(texts, 2)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d"), (None, None), (7, "a b c d"), (7, "a b c d"), (7, "q r s t"), (3, "q r s t")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
