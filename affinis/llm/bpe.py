@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkernel import chunks, long_lists
-from .tokens import UnitCache, splits_at_spaces, units
+from .tokens import ENCODED_BYTES, UnitCache, splits_at_spaces
 
 #: The pre-tokenizer of byte-level files (its published pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A leaf without a mergeable pair.
 NONE = np.iinfo(np.int64).max
-#: Leaves of all trees that are worked on together.
-TREE_LEAVES = 1 << 19
+#: Leaves of all trees that are worked on together, and the height of those that are; higher ones are worked on alone.
+TREE_LEAVES, SIDE_BY_SIDE = 1 << 19, 8
 
 _codecs: dict[str, Codec] = {}
 
@@ -49,6 +49,9 @@ class Codec:
         keys = left << self.shift | right
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks, self.joined = keys[order], order, joined
+        made = np.full(1 << self.shift, -1)
+        made[joined[::-1]] = np.arange(len(joined))[::-1]
+        self.in_order = bool((np.maximum(made[left], made[right]) < np.arange(len(joined))).all())
         self.special = {t["content"]: t["id"] for t in top.get("added_tokens") or []}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
@@ -57,7 +60,7 @@ class Codec:
         pieces = [words.get(i, b"") for i in range(max(words) + 1)]
         self.piece_at = np.cumsum([0, *map(len, pieces)])
         self.pieces = np.frombuffer(b"".join(pieces), np.uint8)
-        self.cache = UnitCache(self._encode_units, b"".join, 80)
+        self.cache = UnitCache(self.make)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it does not merge."""
@@ -72,6 +75,10 @@ class Codec:
         sizes = np.array([max(1, int(n - 1).bit_length()) for n in lengths.tolist()])
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
+            if self.in_order and size > SIDE_BY_SIDE:
+                for r in rows.tolist():
+                    out[r] = self._merge_long(words[r])
+                continue
             step = max(1, TREE_LEAVES >> int(size))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -122,6 +129,52 @@ class Codec:
             rows = rows[tree[rows, 1] != NONE]
         return np.split(symbols[alive], np.cumsum(alive.sum(axis=1))[:-1])
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of a long piece: all merges of the lowest rank at once, found from the root of its tree downwards.
+
+        A merge makes pairs of higher ranks only, because parts come before what they are joined to; so those of one
+        rank are all made before any other, from left to right. Of pairs that overlap every other one is made.
+        """
+        n = len(word)
+        leaves = 1 << max(1, (n - 1).bit_length())
+        symbols = np.zeros(leaves + 1, np.int64)
+        symbols[:n] = self.byte_ids[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, leaves + 2), np.arange(-1, leaves)
+        alive = np.arange(leaves + 1) < n
+        tree = np.full(2 * leaves, NONE, np.int64)
+        tree[leaves : leaves + n - 1] = self.ranks(symbols[: n - 1], symbols[1:n])
+        width = leaves
+        while width > 1:
+            tree[width // 2 : width] = np.minimum(tree[width : 2 * width : 2], tree[width + 1 : 2 * width : 2])
+            width //= 2
+        while (rank := tree[1]) != NONE:
+            nodes = np.ones(1, np.int64)
+            while nodes[0] < leaves:
+                nodes = np.repeat(2 * nodes, 2)
+                nodes[1::2] += 1
+                nodes = nodes[tree[nodes] == rank]
+            at = nodes - leaves
+            follows = np.concatenate([[False], at[1:] == after[at[:-1]]])
+            if follows.any():
+                number = np.arange(len(at))
+                at = at[(number - np.maximum.accumulate(np.where(follows, 0, number))) % 2 == 0]
+            gone = after[at]
+            then = after[gone]
+            symbols[at] = self.joined[rank]
+            after[at], before[then], alive[gone] = then, at, False
+            lead = before[at]
+            changed = np.unique(np.concatenate([at, lead[lead >= 0]]))
+            value = np.full(len(changed), NONE)
+            inside = after[changed] < n
+            value[inside] = self.ranks(symbols[changed[inside]], symbols[after[changed[inside]]])
+            tree[leaves + changed], tree[leaves + gone] = value, NONE
+            nodes = np.unique(np.concatenate([changed, gone]) + leaves) >> 1
+            while nodes[0]:
+                nodes = nodes[np.diff(nodes, prepend=-1) > 0]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+                nodes = nodes >> 1
+        return symbols[alive]
+
     @staticmethod
     def _set(tree: np.ndarray, leaves: int, rows: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
         """Sets one leaf of each row's tree and the minima above it."""
@@ -133,11 +186,12 @@ class Codec:
             node = node >> 1
             leaves >>= 1
 
-    def _encode_units(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        plans: list[list] = []
-        words: dict[str, int] = {}
-        for text in texts:
+    def make(self, units: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, all ids, number of ids) of units, in the order given."""
+        names: dict[str | int, int] = {}
+        pieces: list[int] = []
+        numbers = np.zeros(len(units), np.int64)
+        for u, text in enumerate(units):
             plan: list = []
             at = 0
             for m in self.special_pattern.finditer(text) if self.special_pattern else ():
@@ -145,18 +199,16 @@ class Codec:
                 plan.append(self.special[m[0]])
                 at = m.end()
             plan += self.pattern.findall(text[at:] if at else text)
-            for x in plan:
-                if isinstance(x, str):
-                    words.setdefault(x, len(words))
-            plans.append(plan)
-        ids = [x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in words])]
-        return [b"".join([ids[words[x]] if isinstance(x, str) else int(x).to_bytes(4, "little") for x in plan]) for plan in plans]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [units(t) for t in texts]
-        self.cache.fill(cut)
-        first, later = self.cache.plain, self.cache.spaced.__getitem__
-        return [first[t[0]] + b"".join(map(later, t[1:])) for t in cut]
+            numbers[u] = len(plan)
+            pieces += [names.setdefault(x, len(names)) for x in plan]
+        words = [x for x in names if isinstance(x, str)]
+        merged = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        ids = [merged[x] if isinstance(x, str) else np.array([x]) for x in names]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths[pieces])])
+        last = np.cumsum(numbers)
+        flat = np.concatenate([ids[k] for k in pieces]) if pieces else np.empty(0)
+        return list(range(len(units))), flat.astype(np.int32), ends[last] - ends[last - numbers]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a run of ids; ids outside the vocabulary have none."""
@@ -176,13 +228,11 @@ def encode_batches(path: str):
     """mapInArrow function: (id, text) to (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path).encode
+        encode = codec(path).cache.encode
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            for i, j, _, _ in chunks(texts):
-                found = encode(texts.slice(i, j - i).to_pylist())
-                ids = np.frombuffer(b"".join(found), "<i4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), long_lists(ids, np.array([len(x) // 4 for x in found]), pa.int32())], ["id", "ids"])
+            for i, j, data, offsets in chunks(batch.column(1), ENCODED_BYTES):
+                ids, lengths = encode(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), long_lists(ids, lengths, pa.int32())], ["id", "ids"])
 
     return run
 
@@ -205,8 +255,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids): the token ids of every whole text, as the tokenizers library gives them without added tokens.
 
     The root of a segment tree over the ranks of adjacent pairs is the leftmost pair of lowest rank; merging it
-    updates three leaves and what is above them, until no pair merges. A worker merges each distinct piece between
-    single spaces once as long as it remembers it. Special strings inside a text are special tokens. Null is empty
+    updates three leaves and what is above them, until no pair merges. Pieces of over 256 bytes make all merges of the
+    lowest rank at once. A worker merges each distinct piece once as long as it remembers it. Special strings inside a text are special tokens. Null is empty
     and has no ids. A row for each input row; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

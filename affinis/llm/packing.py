@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -15,59 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, Codec
 from .textkernel import chunks
-from .tokens import UnitCache, library, splits_at_spaces, units
+from .tokens import ENCODED_BYTES, encoder
 from .workspace import Workspace
 
-_encoders: dict[str, Encoder] = {}
-
-
-class Encoder:
-    """Ids of texts as little-endian 32-bit integers, as the library of the file gives them.
-
-    Pieces of a byte-level file whose merges are numbered in their order go through tiktoken's merge loop with that
-    file's own ranks, which gives the same ids in a fraction of the time; pieces with special strings do not.
-    """
-
-    def __init__(self, path: str):
-        self.encode_texts = library(path)
-        self.fast, self.special = None, ()
-        self.cache = UnitCache(self.make, b"".join, 80) if splits_at_spaces(path) else None
-        if self.cache is not None:
-            codec = Codec(path)
-            if (np.diff(codec.joined) > 0).all():
-                import tiktoken
-
-                ends, held = codec.piece_at, codec.pieces.tobytes()
-                ranks = {held[ends[i] : ends[i + 1]]: i for i in range(len(ends) - 1) if ends[i] < ends[i + 1] and i not in codec.special.values()}
-                self.fast, self.special = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), tuple(codec.special)
-
-    def make(self, texts: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return [struct.pack(f"<{len(x)}I", *x) for x in self.encode_texts(texts)]
-        one, special = self.fast.encode_ordinary, self.special
-        odd = [k for k, t in enumerate(texts) if any(x in t for x in special)]
-        ids = list(map(one, texts))
-        for k, x in zip(odd, self.encode_texts([texts[k] for k in odd]) if odd else (), strict=True):
-            ids[k] = x
-        return [struct.pack(f"<{len(x)}I", *x) for x in ids]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cache is None:
-            return self.make(texts)
-        cut = [units(t) for t in texts]
-        self.cache.fill(cut)
-        first, later = self.cache.plain, self.cache.spaced.__getitem__
-        return [first[t[0]] + b"".join(map(later, t[1:])) for t in cut]
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pieces(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: whole sequences, after what is left over."""
     rest = n % size
@@ -84,11 +34,12 @@ def piece_batches(path: str, size: int, end_id: int):
         encode, seen, part = encoder(path).encode, np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            for i, j, _, _ in chunks(texts):
+            for i, j, data, offsets in chunks(batch.column(1), ENCODED_BYTES):
                 rows: list[tuple] = []
-                for r, ids in enumerate(encode(texts.slice(i, j - i).to_pylist())):
-                    ids += end
+                found, lengths = encode(data, offsets)
+                held, at = found.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(lengths) * 4]).tolist()
+                for r in range(j - i):
+                    ids = held[at[r] : at[r + 1]] + end
                     for k, (start, length) in enumerate(pieces(len(ids) // 4, size)):
                         rows.append((r, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length]))
                         seen[length] += 1

@@ -47,7 +47,7 @@ class Powers:
         if n > self.n:
             size = max(n, CHUNK_BYTES)
             up, down = self._table(self.base, size), self._table(self.inverse, size)
-            if size > 8 * CHUNK_BYTES:
+            if size > 2 * CHUNK_BYTES:
                 return up[:n], down[:n]
             self.n, self.up, self.down = size, up, down
         return self.up[:n], self.down[:n]

@@ -10,55 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkernel import chunks
-from .tokens import UnitCache, library, splits_at_spaces, units
-
-#: Counters of this Python worker, by path; they outlive a task.
-_counters: dict[str, Counter] = {}
-
-
-class Counter:
-    """Counts tokens of texts; long texts cost no more memory than their cut pieces."""
-
-    def __init__(self, path: str):
-        self.encode = library(path)
-        self.cache = UnitCache(lambda x: [len(i) for i in self.encode(x)], sum) if splits_at_spaces(path) else None
-
-    def count(self, texts: list[str]) -> list[int]:
-        if self.cache is None:
-            return [len(i) for i in self.encode(texts)]
-        cut = [units(t) for t in texts]
-        self.cache.fill(cut)
-        first, later = self.cache.plain, self.cache.spaced.__getitem__
-        return [first[t[0]] + sum(map(later, t[1:])) for t in cut]
-
-
-def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
-
+from .tokens import ENCODED_BYTES, encoder
 
 def count_batches(path: str, batch_bytes: int):
     """mapInArrow function: (id, text) to (id, n_bytes, n_tokens), in batches of about ``batch_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        counts = encoder(path).counts
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            for i, j, _, offsets in chunks(texts, batch_bytes):
-                n = count(texts.slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for i, j, data, offsets in chunks(batch.column(1), batch_bytes):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets)), pa.array(counts(data, offsets), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = 1 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, batch_bytes: int = ENCODED_BYTES) -> DataFrame:
     """n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every text, by the library of ``path``.
 
     A text is encoded without added special tokens, truncation or padding; special strings inside it are what the
-    library takes them for. Texts for byte-level files are cut at single spaces, where tokens cannot cross, and a
-    worker encodes each distinct piece once as long as it remembers it; other files encode whole texts. Batches
-    hold texts of about ``batch_bytes`` together, or one longer text. Null is empty and has no tokens. A row for
+    library takes them for. Texts for byte-level files are cut where white space follows something else, which tokens
+    cannot cross, and a worker encodes each distinct piece once as long as it remembers it; other files encode whole
+    texts. Batches hold texts of about ``batch_bytes`` together, or one longer text. Null is empty and has no tokens. A row for
     each input row; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

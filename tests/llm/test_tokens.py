@@ -1,16 +1,21 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from affinis.llm import bpe, packing, token_counts, tokens
+from affinis.llm.textkernel import chunks
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", " a", "a ", "hello  world", "x<|endoftext|> y <|endoftext|>z", "it's we'll  don't \n\n  x", "日本語 テキスト 𝒳 é", "a" * 3000, "ab" * 777 + " " + "1234567890" * 30, "\t\ttab\r\n x\x1cy z", "one.\nTwo, three", "\x00 \x85 q", "....!!!  ?? 's 't", "the same", "the same"]
@@ -26,12 +31,45 @@ def docs(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumns({"ids": F.lit("clash"), "n_tokens": F.lit(1), "id": F.lit("x")})
 
 
-def test_units_join_to_the_text():
-    for t in TEXTS:
-        u = tokens.units(t or "")
-        assert " ".join(u) == (t or "")
-        for x in [u[0], *(" " + y for y in u[1:])]:
-            assert "".join(tokens.parts(x)) == x
+def flat(texts):
+    (_, _, data, offsets), = chunks(pa.array(texts, pa.string()), 1 << 30)
+    return data, offsets
+
+
+ODD = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u180e", "\u200b", "\ufeff", "1", ".", "'s", "'", "é", "日", "<|endoftext|>", "<|", "\x00"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=14).map("".join), min_size=1, max_size=6))
+def test_units_have_the_tokens_of_the_text(texts):
+    want = tokens.library(PATH)(texts)
+    for encode in (tokens.encoder(PATH).encode, bpe.codec(PATH).cache.encode):
+        ids, lengths = encode(*flat(texts))
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert tokens.encoder(PATH).counts(*flat(texts)).tolist() == [len(x) for x in want]
+
+
+def test_rarer_units_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_UNITS", 50)
+    made = tokens.Encoder(PATH)
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 30)) for _ in range(3)]
+        assert made.encode(*flat(texts))[0].tolist() == [i for x in tokens.library(PATH)(texts) for i in x]
+        assert len(made.cache.known) <= 50 + 90
+
+
+@pytest.mark.parametrize("kind", ["letters", "same", "japanese", "words", "lines"])
+def test_a_megabyte(kind, spark):
+    rng = np.random.default_rng(3)
+    pick = lambda x, n, sep="": sep.join(rng.choice(x, n))
+    text = {"letters": lambda: pick(list("abcdefghij"), 1_000_000), "same": lambda: "a" * 1_000_000, "japanese": lambda: pick(list("日本語のテキストは長い文章"), 340_000), "words": lambda: pick(["foo", "barbaz"], 200_000, " "), "lines": lambda: pick(["foo", "x  y"], 250_000, "\n")}[kind]()
+    want = tokens.library(PATH)([text])[0]
+    began = time.monotonic()
+    ids, _ = bpe.codec(PATH).cache.encode(*flat([text]))
+    assert time.monotonic() - began < 20 and ids.tolist() == want
+    assert tokens.encoder(PATH).counts(*flat([text])).tolist() == [len(want)]
+    assert bpe.codec(PATH).decode(ids.astype(np.int64)).decode() == text
 
 
 def test_encoding_is_the_librarys(library, docs, spark):
