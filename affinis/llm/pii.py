@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,11 +19,14 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-#: Where a span may be that the base patterns do not see; only the text around it is decoded.
-TRIGGER = re.compile(r"[0-9][0-9 ()\[\]._/-]{5,200}[0-9]|(?i:[\[({<] ?(?:at|dot|@|\.) ?[\])}>]|\bat\b(?=.{1,40}?\bdot\b))")
+#: Where a span may be that the base patterns do not see: runs of digits and what is written between them, and an "at".
+NUMBER = re.compile(r"[0-9](?:[0-9 ()\[\]._/-]*[0-9])?")
+AT = re.compile(r"(?i:\bat\b|[\[({<] ?(?:at|@) ?[\])}>])")
+DOT = re.compile(r"(?i:\bdot\b)")
+DOT_OR_MARK = re.compile(r"(?i:\bdot\b|\.)")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-#: Characters around a trigger, and tokens of the longest entity.
-AROUND, LONGEST = 48, 18
+#: Tokens of the longest entity, which bounds the dynamic programming, and most digits and groups of digits of one.
+LONGEST, DIGITS, GROUPS = 18, 19, 8
 Span = tuple[int, int, str]
 
 
@@ -44,13 +48,26 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         out += [(m.start(), m.end(), "email") for m in _emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [(a, b, "ip") for a, b in _ips(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text[a:b].split("."))]
         out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """What IP.finditer gives: each four groups in turn of a longest chain of groups, found in one pass."""
+    for m in _CHAIN.finditer(text):
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            end = at + sum(map(len, parts[k : k + 4])) + 3
+            yield at, end
+            at = end + 1
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -86,8 +103,6 @@ def shape(token: str) -> str:
 
 def allowed(kind: str, toks: list[Token]) -> bool:
     """What a span of the kind has to hold, whatever the features say."""
-    text = "".join(t.text for t in toks)
-    digits = digits_of(text)
     groups = [t.text for t in toks if t.text.isdigit()]
     words = any(t.text.isalpha() for t in toks)
     if kind == "email":
@@ -96,13 +111,14 @@ def allowed(kind: str, toks: list[Token]) -> bool:
         closed = 0 < at < len(s) - 1 and s[at - 1] in "[({<" and s[at + 1] in "])}>"
         dots = ("dot", ".") if closed else ("dot",)
         return 0 < at and any(x in dots for x in s[at + 2 : -1]) and s[0] in "WD" and s[-1] == "W"
-    if words or not groups:
+    if words or not groups or len(groups) > GROUPS:
         return False
+    n = sum(map(len, groups))
     if kind == "ip":
-        return len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+        return len(groups) == 4 and len(toks) >= 7 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 7 <= len(digits) <= 15 and len(groups) > 1
+        return 13 <= n <= DIGITS and luhn("".join(groups))
+    return 7 <= n <= 15 and 1 < len(groups) <= 6
 
 
 def segment_features(toks: list[Token], i: int, j: int) -> list[str]:
@@ -125,16 +141,30 @@ def segment_features(toks: list[Token], i: int, j: int) -> list[str]:
 
 
 def segments(toks: list[Token]) -> list[tuple[int, int, tuple[int, ...]]]:
-    """(i, j, kinds) of the spans that may be an entity, at most LONGEST tokens long."""
+    """(i, j, kinds) of the spans that may be an entity, at most LONGEST tokens long.
+
+    A span of digits ends where it would hold a word, or more digits or groups than any kind has.
+    """
     n, out = len(toks), []
     shapes = [shape(t.text) for t in toks]
     for i in range(n):
         if shapes[i] not in ("W", "D", "("):
             continue
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
-            if shapes[j - 1] not in ("W", "D"):
+        digits = groups = 0
+        number, mail = True, False
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            x = shapes[j - 1]
+            if x == "D":
+                digits, groups = digits + len(toks[j - 1].text), groups + 1
+                number = number and digits <= DIGITS and groups <= GROUPS
+            elif x in ("W", "at", "dot"):
+                number = False
+            mail = mail or x in ("at", "@")
+            if j < i + 2 or (not mail and digits < 7 and groups != 4) or x not in ("W", "D") or not (number or mail):
+                if not (number or mail) and "at" not in shapes[j : i + LONGEST] and "@" not in shapes[j : i + LONGEST]:
+                    break
                 continue
-            kinds = tuple(k + 1 for k, kind in enumerate(KINDS) if allowed(kind, toks[i:j]))
+            kinds = tuple(k + 1 for k, kind in enumerate(KINDS) if (mail if kind == "email" else number) and allowed(kind, toks[i:j]))
             if kinds:
                 out.append((i, j, kinds))
     return out
@@ -156,8 +186,13 @@ class SemiMarkovCRF:
         """All spans and their features; no entity touches what is ``taken``."""
         out = []
         plain = [(i, i + 1, (0,)) for i in range(len(toks))]
+        blocked = np.zeros(len(toks) + 1, np.int64)
+        starts, ends = [t.start for t in toks], [t.end for t in toks]
+        for a, b in taken:
+            blocked[bisect_right(ends, a) + 1 : bisect_left(starts, b) + 1] = 1
+        blocked = np.cumsum(blocked).tolist()
         for i, j, kinds in plain + segments(toks):
-            if kinds != (0,) and any(a < toks[j - 1].end and toks[i].start < b for a, b in taken):
+            if kinds != (0,) and blocked[j] > blocked[i]:
                 continue
             names = segment_features(toks, i, j) if kinds != (0,) else ["out", "out=" + shape(toks[i].text)]
             if learn:
@@ -227,7 +262,7 @@ class SemiMarkovCRF:
         return self
 
 
-def examples(n: int = 320, seed: int = 17) -> list[tuple[list[Token], dict[tuple[int, int], int]]]:
+def examples(n: int = 1200, seed: int = 17) -> list[tuple[list[Token], dict[tuple[int, int], int]]]:
     """Made-up labelled texts: personal data as people write it to be overlooked, and numbers that are none."""
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
@@ -240,8 +275,8 @@ def examples(n: int = 320, seed: int = 17) -> list[tuple[list[Token], dict[tuple
         return one(".", "/", "_", " . ").join(digits[k : k + 4] for k in range(0, len(digits), 4))
 
     def email() -> str:
-        at, dot = one((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), ("(at)", "(dot)"), ("[@]", "[.]"), (" AT ", " DOT "), ("[at]", "."))
-        return f"{word()}{one('', '.' + word(), num(2))}{at}{word()}{dot}{one('com', 'org', 'net', 'de')}"
+        at, dot = one((" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), ("(at)", "(dot)"), ("[@]", "[.]"), (" AT ", " DOT "), ("[at]", "."))
+        return f"{word()}{one('', '.' + word(), num(2))}{at}{word()}{dot}{one('com', 'org', 'net', 'de', 'co' + dot + 'uk')}"
 
     def ip() -> str:
         return one("[.]", " . ", "(.)", "[.]").join(str(rng.integers(1, 256)) for _ in range(4))
@@ -254,11 +289,12 @@ def examples(n: int = 320, seed: int = 17) -> list[tuple[list[Token], dict[tuple
     none = (
         lambda: f"on {num(4)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", lambda: f"version {num(1)}.{num(2)}.{num(1)}.{num(3)}-{num(4)}", lambda: f"order {num(8)}", lambda: f"total {num(1)},{num(3)},{num(3)}.{num(2)}",
         lambda: f"isbn 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"pages {num(3)}-{num(3)} of {num(4)}", lambda: f"he looked at the {word()} dot on it", lambda: f"id {num(12)}", lambda: f"{num(4)}/{num(4)} and {num(3)}/{num(3)}",
-        lambda: f"from {num(4)}-{num(4)} to {num(4)}-{num(4)}", lambda: f"token {num(6)} {word()} {num(9)}", lambda: f"sizes {num(2)} {num(2)} {num(3)} {num(2)}", lambda: f"section {num(1)}.{num(1)}.{num(1)} {num(4)}",
+        lambda: f"on 20{num(2)}.{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(2)}.{num(2)}.20{num(2)} {num(2)}.{num(2)}", lambda: f"20{num(2)}/{num(2)}/{num(2)}-{num(4)}", lambda: f"we met at the {word()} and a dot was there", lambda: f"look at {word()} {word()} , not at the dot in {word()}",
+        lambda: f"rows {num(1)} {num(1)} {num(1)} {num(1)} {num(1)} {num(1)}", lambda: f"{num(3)}.{num(3)}.{num(3)} euro", lambda: f"{one('version', 'v', 'build', 'rev')} {num(1)}.{num(1)}.{num(1)}.{num(4)}-{num(4)}", lambda: f"{one('isbn', 'ISBN', 'issn')} {one('978-', '979-', '')}{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"release {num(1)}.{num(1)}.{num(2)}.{num(1)}", lambda: f"from {num(4)}-{num(4)} to {num(4)}-{num(4)}", lambda: f"token {num(6)} {word()} {num(9)}", lambda: f"sizes {num(2)} {num(2)} {num(3)} {num(2)}", lambda: f"section {num(1)}.{num(1)}.{num(1)} {num(4)}",
     )
     out = []
     for k in range(n):
-        text, gold = f"{word()} {word()} ", []
+        text, gold = one("", f"{word()} ", f"{word()} {word()} "), []
         for _ in range(rng.integers(1, 3)):
             if rng.random() < 0.5:
                 text += one(*none)() + f" {word()}{one('', ',', '.')} "
@@ -267,7 +303,9 @@ def examples(n: int = 320, seed: int = 17) -> list[tuple[list[Token], dict[tuple
             text += (one(*lead[kind]) + " ").lstrip()
             span = make[kind]()
             gold.append((len(text), len(text) + len(span), KINDS.index(kind) + 1))
-            text += f"{span}{one(' ', ', ', '. ')}{word()} "
+            text += span + one("", f" {word()} ", f", {word()} ", f". {word()} ")
+            if text[-1] != " ":
+                break
         toks = tokens(text, 0, len(text))
         starts, ends = {t.start: i for i, t in enumerate(toks)}, {t.end: i + 1 for i, t in enumerate(toks)}
         spans = {(starts[a], ends[b]): y for a, b, y in gold}
@@ -277,48 +315,72 @@ def examples(n: int = 320, seed: int = 17) -> list[tuple[list[Token], dict[tuple
 
 
 @functools.cache
-def trained(n: int = 320) -> SemiMarkovCRF:
+def trained(n: int = 1200) -> SemiMarkovCRF:
     """The field fitted on at most ``n`` made-up texts."""
     return SemiMarkovCRF().fit(examples(n))
 
 
-def free(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """What ``taken``, in order of starts, leaves of a stretch."""
-    for a, b in taken:
-        if a < end and start < b:
-            if start < a:
-                yield start, a
-            start = max(start, b)
-    if start < end:
-        yield start, end
+def areas(toks: list[Token], text: str, taken: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of tokens to decode: LONGEST on either side of where a span may be, those that overlap as one.
 
+    That is a run of seven digits or four groups at least that base spans do not cover whole, and an "at" with a "dot"
+    among the tokens after it.
+    """
+    starts = [t.start for t in toks]
+    cues = []
+    for m in NUMBER.finditer(text):
+        k = max(0, bisect_left(taken, (m.start(),)) - 1)
+        covered = any(a <= m.start() and m.end() <= b for a, b in taken[k : k + 2])
+        if not covered and (sum(c.isdigit() for c in m[0]) >= 7 or len(re.findall("[0-9]+", m[0])) >= 4):
+            cues.append((bisect_left(starts, m.start()), bisect_left(starts, m.end())))
+    for m in AT.finditer(text):
+        i = bisect_left(starts, m.start())
+        last = toks[min(len(toks), i + LONGEST) - 1].end
+        if (DOT if m[0].isalpha() else DOT_OR_MARK).search(text, m.end(), last):
+            cues.append((i, i + 1))
+    begin = end = 0
+    for i, j in sorted(cues):
+        i, j = max(0, i - LONGEST), min(len(toks), j + LONGEST)
+        if end and i <= end:
+            end = max(end, j)
+            continue
+        if end:
+            yield begin, end
+        begin, end = i, j
+    if end:
+        yield begin, end
+
+
+def clusters(toks: list[Token]) -> Iterator[tuple[int, int]]:
+    """Where spans that may be entities overlap, with two tokens on either side; all other tokens are outside for sure."""
+    begin = end = -1
+    for i, j, _ in segments(toks):
+        i, j = max(0, i - 2), min(len(toks), j + 2)
+        if i < end:
+            end = max(end, j)
+            continue
+        if end > 0:
+            yield begin, end
+        begin, end = i, j
+    if end > 0:
+        yield begin, end
 
-def added_spans(text: str, base: list[Span], model: SemiMarkovCRF) -> list[Span]:
-    """Spans that the field finds around triggers and that touch no base span.
 
-    Base spans are cut out of a trigger, and what they leave on either side is decoded if it is a trigger still.
-    """
-    taken = [(a, b) for a, b, _ in base]
-    areas: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        whole = not any(a < m.end() and m.start() < b for a, b in taken)
-        for start, end in [m.span()] if whole else [t.span() for lo, hi in free(*m.span(), taken) for t in TRIGGER.finditer(text, lo, hi)]:
-            a, b = max(0, start - AROUND), min(len(text), end + AROUND)
-            if areas and a <= areas[-1][1]:
-                areas[-1][1] = max(b, areas[-1][1])
-            else:
-                areas.append([a, b])
+def added_spans(text: str, base: list[Span], model: SemiMarkovCRF) -> list[Span]:
+    """Spans that the field finds in ``areas`` and that touch no base span."""
+    if not (NUMBER.search(text) or AT.search(text)):
+        return []
+    taken = sorted((a, b) for a, b, _ in base)
+    toks = tokens(text, 0, len(text))
     out: list[Span] = []
-    for a, b in areas:
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
-            b += 1
-        toks = tokens(text, a, b)
-        for i, j, y in model.decode(toks, [t for t in taken if t[0] < b and a < t[1]]):
-            start, end = toks[i].start, toks[j - 1].end
-            if not any(s < end and start < e for s, e in taken) and not (out and start < out[-1][1]):
-                out.append((start, end, KINDS[y - 1]))
+    for i0, j0 in areas(toks, text, taken):
+        for lo, hi in clusters(toks[i0:j0]):
+            part = toks[i0 + lo : i0 + hi]
+            near = taken[bisect_left(taken, (part[0].start,)) - 1 if taken and taken[0][0] < part[0].start else 0 : bisect_left(taken, (part[-1].end,))]
+            for i, j, y in model.decode(part, near):
+                start, end = part[i].start, part[j - 1].end
+                if not (out and start < out[-1][1]):
+                    out.append((start, end, KINDS[y - 1]))
     return out
 
 
@@ -344,8 +406,9 @@ def find(docs: DataFrame, model: SemiMarkovCRF | None = None, id_col: str = "doc
     """(id, spans): personal data in every whole text, as kind, start, end (code points, end exclusive) and base.
 
     Base spans are the exact patterns' matches. The field adds spans of the same kinds as people write them to be
-    overlooked; those never overlap a base span. Spans are sorted by start, then kind as in KINDS. Null and empty
-    texts have none. A row for each input row; other columns are ignored, whatever their names.
+    overlooked; those never overlap a base span, have at most LONGEST tokens, and stand where ``areas`` says: numbers
+    of seven digits or four groups, and an "at" with a "dot" after it. Spans are sorted by start, then kind as in KINDS.
+    Null and empty texts have none. A row for each input row; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

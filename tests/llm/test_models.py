@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,22 @@ def test_pii_beside_base_spans_is_found(text, phone):
     assert len(base) == 1 and [(text[a:b], k) for a, b, k in found] == [(phone, "phone")]
 
 
+@pytest.mark.parametrize(("text", "spans"), [
+    ("bob at mail dot com", ["email"]), ("jane.doe at web dot org please", ["email"]), ("we were at the shop, the dot is red", []), ("on 2023.01.15.2044 it began", []), ("see version 1.2.3.4567-8901", []),
+    ("ISBN 978-3-16-148410-0", []), ("10[.]0[.]0[.]1 is down", ["ip"]), ("1 2 3 4 5 6 7 8 9 10", []), ("order 12345678 of 2024-01-15 10:22:33", []), ("pay with 4111.1111.1111.1111 now", ["card"]), ("pay with 4111.1111.1111.1112 now", []),
+])
+def test_pii_forms_that_no_template_makes(text, spans):
+    assert [k for _, _, k in pii.added_spans(text, pii.base_spans(text), pii.trained())] == spans
+
+
+@pytest.mark.parametrize("text", ["7" * 300_000, "1 " * 150_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "the cat sat at the door. " * 20_000, "at . dot " * 5_000, "([" * 100_000])
+def test_pii_of_long_texts(text):
+    began = time.monotonic()
+    base = pii.base_spans(text)
+    pii.added_spans(text, base, pii.trained())
+    assert time.monotonic() - began < 40 and len(base) == (37_500 if text[:2] == "1." else 0)
+
+
 def test_pii_held_out_and_decoding():
     model = pii.trained()
     right = total = wrong = 0
