@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import chunks, long_lists
+from .textkernel import begin, chunks, long_lists
 from .tokens import ENCODED_BYTES, UnitCache, splits_at_spaces
 
 #: The pre-tokenizer of byte-level files (its published pattern).
@@ -228,6 +228,7 @@ def encode_batches(path: str):
     """mapInArrow function: (id, text) to (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", _codecs.clear)
         encode = codec(path).cache.encode
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1), ENCODED_BYTES):

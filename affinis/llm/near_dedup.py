@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .textkernel import LOWER, U64, Words, chunks, gram_hashes, long_lists, sequence_hash, splitmix
+from .textkernel import LOWER, U64, Words, begin, chunks, gram_hashes, long_lists, sequence_hash, splitmix
 from .workspace import Workspace
 
 #: Shingles whose signature is computed together, so that they stay in the processor's cache.
@@ -81,6 +81,7 @@ def signature_batches(words: int, bands: int, rows: int):
     """mapInArrow function: (id, text) to (id, n, f1, f2, keys); f1 and f2 identify the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near")
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
@@ -104,6 +105,7 @@ def set_batches(words: int):
     """mapInArrow function: (id, text) to (id, grams), the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near")
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)

@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textkernel import chunks
-from .tokens import ENCODED_BYTES, encoder
+from .textkernel import begin, chunks
+from .tokens import ENCODED_BYTES, encoder, forget
 from .workspace import Workspace
 
 def pieces(n: int, size: int) -> list[tuple[int, int]]:
@@ -31,6 +31,7 @@ def piece_batches(path: str, size: int, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens", forget)
         encode, seen, part = encoder(path).encode, np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:

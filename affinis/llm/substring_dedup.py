@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import U64, WORDS, Words, chunks, gram_hashes, long_lists, sliding_min, splitmix
+from .textkernel import U64, WORDS, Words, begin, chunks, gram_hashes, long_lists, sliding_min, splitmix
 from .workspace import Workspace, with_id
 
 #: Words of the short runs that stand for the windows which contain them.
@@ -43,6 +43,7 @@ def anchor_batches(window: int, gram: int):
     """mapInArrow function: (k1, k2, text) to (k1, k2, h, g, first, count), lists of its anchors' values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring")
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
                 found = Words(data, offsets)
@@ -66,6 +67,7 @@ def window_batches(window: int):
     """mapInArrow function: (k1, k2, text, parts) to (k1, k2, h, w, start) of each window in the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring")
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             parts = batch.column(3)
@@ -102,6 +104,7 @@ def kept_batches(window: int):
     """mapInArrow function: (id, text, sure, single) to (id, n_words, n_removed, spans, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("substring")
         for batch in batches:
             sure, single = batch.column(2), batch.column(3)
             sure_at, single_at = sure.offsets.to_numpy(), single.offsets.to_numpy()

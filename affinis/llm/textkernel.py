@@ -7,7 +7,7 @@ prefix sums, and mixed at the end; they depend on the words alone and are the sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,19 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+#: What operators keep in this worker between tasks, and how it is given back.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Says that a task of an operator begins: what other operators keep in this worker is given back."""
+    for name in [x for x in _kept if x != owner]:
+        _kept.pop(name)()
+    if release:
+        _kept[owner] = release
+    pa.default_memory_pool().release_unused()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that mixes all bits (the finalizer of splitmix64)."""
     x = x ^ (x >> U64(30))

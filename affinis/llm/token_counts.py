@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import chunks
-from .tokens import ENCODED_BYTES, encoder
+from .textkernel import begin, chunks
+from .tokens import ENCODED_BYTES, encoder, forget
 
 def count_batches(path: str, batch_bytes: int):
     """mapInArrow function: (id, text) to (id, n_bytes, n_tokens), in batches of about ``batch_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens", forget)
         counts = encoder(path).counts
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1), batch_bytes):

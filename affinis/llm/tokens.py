@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Units that a Python worker remembers before it forgets the rarer ones (about 300 bytes each), and bytes of them.
-MOST_UNITS, MOST_BYTES = 300_000, 24 << 20
+MOST_UNITS, MOST_BYTES = 450_000, 36 << 20
 #: Bytes of texts that are encoded together; a longer text is encoded alone.
 ENCODED_BYTES = 2 << 20
 #: Characters of new units that the library encodes as one text.
@@ -212,3 +212,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Gives back what this worker remembers of all files."""
+    _encoders.clear()
