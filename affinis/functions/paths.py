@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Folders and names that are never sources, the shapes of test files, extensions and verbs.
 JUNK_DIRS = [".git", "node_modules", "dist", "vendor", ".venv", "venv", "target", "coverage", ".next", "build", "__pycache__", "deps", "_build", ".tox", "Pods", ".cargo"]
-JUNK_NAMES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "go.sum", "poetry.lock"]
+JUNK_NAMES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "pipfile.lock", "poetry.lock", "cargo.lock", "composer.lock", "gemfile.lock", "go.sum"]
+BINARY = ["beam", "pyc", "o", "obj", "so", "a", "d"]
+FAMILIES = {"ts": ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"], "py": ["py"], "rs": ["rs"], "go": ["go"]}
 TEST_FILE = r"(^|/)(test_|conftest)|\.(test|spec)\.[tj]sx?$|_test\.go$"
 TEST_FOLDER = r"(?i)(^|/)(tests?|__tests__|fixtures?)(/|$)"
 LANGUAGES = {
@@ -37,12 +41,45 @@ def language(path: Column) -> Column:
 
 def is_junk(path: Column) -> Column:
     parts = F.split(path, "/")
-    name = F.element_at(parts, -1)
+    name = F.lower(F.element_at(parts, -1))
     return F.arrays_overlap(parts, F.array(*map(F.lit, JUNK_DIRS))) | name.isin(JUNK_NAMES) | name.endswith(".lock")
 
 
 def is_supported(path: Column) -> Column:
-    return language(path).isNotNull() | extension(path).isin(CONFIG)
+    """Sources and configurations by extension, and files that are routes by convention; never binary files."""
+    ends = extension(path)
+    return (~ends.isin(BINARY) & (language(path).isNotNull() | ends.isin(CONFIG))) | F.coalesce(*(F.when(path.rlike(r.pattern), True) for r in FILE_ROUTES), F.lit(False))
+
+
+def family(path: Column) -> Column:
+    """Languages that import from each other by one rule; the extension itself for all others."""
+    ends = extension(path)
+    return F.coalesce(*(F.when(ends.isin(members), F.lit(name)) for name, members in FAMILIES.items()), ends)
+
+
+@dataclass(frozen=True)
+class FileRoute:
+    """A file convention: group 1 is the route's stem; verbs are the handlers exported, or a suffix of the stem."""
+
+    id: str
+    pattern: str
+    exported: bool
+    prefix: str = ""
+    kind: str = "route"
+
+
+# File conventions that are routes, and how handlers are exported.
+FILE_ROUTES = [
+    FileRoute("next-app-route", r"(?:^|/)app/(.+)/route\.(?:ts|tsx|js|jsx|mjs)$", True),
+    FileRoute("next-app-page", r"(?:^|/)app/(?:(.+)/)?page\.(?:tsx|jsx|mdx)$", False, kind="page"),
+    FileRoute("next-pages-api", r"(?:^|/)pages/api/(.+)\.(?:ts|tsx|js|jsx)$", False, "/api"),
+    FileRoute("sveltekit-server", r"(?:^|/)src/routes/(?:(.+)/)?\+server\.(?:ts|js)$", True),
+    FileRoute("sveltekit-page", r"(?:^|/)src/routes/(?:(.+)/)?\+page\.(?:svelte|md)$", False, kind="page"),
+    FileRoute("nuxt-server-api", r"(?:^|/)server/api/(.+)\.(?:ts|js|mjs)$", False, "/api"),
+    FileRoute("astro-endpoint", r"(?:^|/)src/pages/(.+)\.(?:ts|js|mjs)$", True),
+]
+EXPORTED = r"\bexport\s+(?:(?:async\s+)?function\s+|const\s+)(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b"
+SUFFIX = r"(?i)\.(get|post|put|delete|patch|head|options)$"
 
 
 def is_test_file(path: Column) -> Column:
@@ -88,9 +125,25 @@ def join_route(prefix: Column, child: Column) -> Column:
 
 
 def file_route(path: Column) -> Column:
-    """Route of a file by convention: no groups in brackets, no index, [x] as a placeholder."""
-    parts = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^\(.*\)$") & (s != "index"))
-    return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(s.rlike(r"^\[.*\]$"), F.lit("{*}")).otherwise(s)), "/"))
+    """Route of a file by convention: no groups in brackets, no index, [x], [...x], [[...x]] and @[x] as a placeholder."""
+    parts = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^\(.+\)$") & (s != "index"))
+    return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(s.rlike(r"^@?\[+(?:\.\.\.)?[^\]]+\]+$"), F.lit("{*}")).otherwise(s)), "/"))
+
+
+def git_relative(path: Column, prefix: str) -> Column:
+    """A path that git tells, relative to a folder of the checkout; null outside of it."""
+    path = F.regexp_replace(path, r"\\\\", "/")
+    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20)) if prefix else path
+
+
+def within(path: Column, root: str) -> Column:
+    """The path relative to an absolute root, null if it lies outside; drives and UNC shares count as roots."""
+    plain = lambda c: F.regexp_replace(c, r"\\\\", "/")
+    base = root.replace("\\", "/").rstrip("/")
+    absolute = plain(path).rlike(r"^(?:/|[A-Za-z]:/|//)")
+    inner = F.when(absolute, F.when(F.lower(plain(path)).startswith(base.lower() + "/") if base[1:2] == ":" else plain(path).startswith(base + "/"), F.substring(plain(path), len(base) + 2, 1 << 20))).otherwise(plain(path))
+    depth = F.aggregate(F.split(inner, "/"), F.lit(0), lambda n, s: F.when(n < 0, n).when(s == "..", n - 1).when(s.isin("", "."), n).otherwise(n + 1))
+    return F.when(depth >= 0, resolve(inner))
 
 
 def unquote(text: Column) -> Column:

@@ -67,6 +67,7 @@ WARDS = [
     "slice", "type", "repr", "len", "append", "cap", "clear", "delete", "make", "new", "copy", "complex", "real", "imag", "recover", "min", "max",
     "unwrap", "clone", "into", "from", "collect", "iter", "eprintln", "vec", "assert", "asserteq", "assertne", "dbg",
 ]
+# Callees whose path arguments are files, not routes.
 DENIED = ["join", "resolve", "dirname", "basename", "expand_path", "readFile", "readFileSync", "existsSync", "open", "load", "loads", "import", "require", "startsWith", "endsWith", "contains", "includes", "equals", "equalsIgnoreCase", "matches", "matchesPattern", "useParams", "matchPath"]
 
 
@@ -107,21 +108,17 @@ def user_rules(path: str) -> list[Rule]:
 def matches(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """(file, line, rule, verb, route): anchors in lines (file, line, text, lang), with class prefixes joined on.
 
-    A route has to look like a path. Rules of languages that a line is not in are never tried. The first prefix of a
+    One pass over the lines: a route has to look like a path, and rules of languages that a line is not in are never tried. The first prefix of a
     file and rule counts.
     """
     rules = RULES if rules is None else rules
-    found = prefixes = None
-    for rank, r in enumerate(rules):
-        here = lines.where(F.col("lang").isin(*r.langs))
-        one = here.select("file", "line", F.lit(r.id).alias("rule"), F.lit(rank).alias("rank"), *(F.regexp_extract("text", r.pattern(), k).alias(n) for k, n in ((1, "method"), (2, "given"), (3, "path")))).where("method <> ''")
-        found = one if found is None else found.unionByName(one)
-        if r.prefix:
-            p = here.select("file", "line", F.lit(r.id).alias("rule"), F.regexp_extract("text", rf"@{r.prefix}\s*\(\s*{TEXT}", 1).alias("prefix"), F.col("text").contains("@" + r.prefix + "(").alias("is_prefix")).where("is_prefix").drop("is_prefix")
-            prefixes = p if prefixes is None else prefixes.unionByName(p)
-    if prefixes is None:
+    tried = [F.when(F.col("lang").isin(*r.langs), F.struct(F.lit(r.id).alias("rule"), F.lit(rank).alias("rank"), *(F.regexp_extract("text", r.pattern(), k).alias(n) for k, n in ((1, "method"), (2, "given"), (3, "path"))))) for rank, r in enumerate(rules)]
+    heads = [F.when(F.col("lang").isin(*r.langs) & F.col("text").contains(f"@{r.prefix}("), F.struct(F.lit(r.id).alias("rule"), F.regexp_extract("text", rf"@{r.prefix}\s*\(\s*{TEXT}", 1).alias("prefix"))) for r in rules if r.prefix]
+    found = lines.select("file", "line", F.explode(F.filter(F.array_compact(F.array(*tried)), lambda x: x["method"] != "")).alias("x")).select("file", "line", "x.*")
+    if not heads:
         found = found.withColumn("prefix", F.lit(None).cast("string"))
     else:
+        prefixes = lines.select("file", "line", F.explode(F.array_compact(F.array(*heads))).alias("x")).select("file", "line", "x.*")
         found = found.join(prefixes.groupBy("file", "rule").agg(F.min_by("prefix", "line").alias("prefix")), ["file", "rule"], "left")
     own = P.verb_in_path(F.col("path"))
     verb = F.coalesce(F.nullif(F.col("given"), F.lit("")), own["verb"], P.verb(F.col("method")))
@@ -133,5 +130,13 @@ def matches(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def collapse(sites: DataFrame) -> DataFrame:
-    """(label, file, line, sites, files): one anchor for each verb and route, at its first site."""
-    return sites.groupBy(F.concat_ws(" ", "verb", "route").alias("label")).agg(F.min(F.struct("file", "line")).alias("first"), F.count("*").alias("sites"), F.count_distinct("file").alias("files")).select("label", "first.file", "first.line", "sites", "files")
+    """(label, file, line, sites, files, implicit) over (label, file, line, implicit): one anchor at its first site.
+
+    It is implicit only if all its sites are.
+    """
+    return sites.groupBy("label").agg(F.min(F.struct("line", "file")).alias("first"), F.count("*").alias("sites"), F.count_distinct("file").alias("files"), F.bool_and("implicit").alias("implicit")).select("label", "first.file", "first.line", "sites", "files", "implicit")
+
+
+def labelled(found: DataFrame, implicit: bool = False) -> DataFrame:
+    """(label, file, line, implicit) of matches (file, line, verb, route)."""
+    return found.select(F.concat_ws(" ", "verb", "route").alias("label"), "file", "line", F.lit(implicit).alias("implicit"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import literals as L
@@ -39,5 +39,6 @@ def bridges(sites: DataFrame, most: int = L.MOST_FILES) -> DataFrame:
 def index(sites: DataFrame, most: int = L.MOST_OCCURRENCES) -> DataFrame:
     """(key, kind, df, spec, occ): the literal index, with the first ``most`` occurrences of each key in order of file and line."""
     keys = keyed(sites)
-    numbered = keys.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("file", "line", "node"))), 1, most).alias("occ"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("file", "line", "node"))
+    numbered = keys.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("file", "line", "node"))).alias("occ"))
     return document_frequency(keys).join(numbered, "key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,25 @@ def pairs(commits: DataFrame, largest: int = LARGEST, shared: int = SHARED) -> D
     return scored.withColumn("w", S.pair_score(F.col("n"), F.col("sa"), F.col("sb"))).where("w > 0").select("a", "b", "n", "w", "last_ts")
 
 
+def age_days(last_ts: Column, now: Column) -> Column:
+    return F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last_ts.cast("timestamp"))) / 86_400_000_000)
+
+
 def effective(w: Column, last_ts: Column, now: Column) -> Column:
     """Weight today; time that has not come yet does not warm it."""
-    days = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last_ts.cast("timestamp"))) / 86_400_000_000)
-    return w * S.recency(days)
+    return w * S.recency(age_days(last_ts, now))
 
 
 def kept(scored: DataFrame, now: Column, most: int = KEPT) -> DataFrame:
-    """Pairs among the ``most`` strongest of either end, by weight today; ties go to the smaller partner."""
-    eff = scored.withColumn("eff", effective(F.col("w"), F.col("last_ts"), now))
-    ends = eff.select("a", "b", "eff", F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("partner")), F.struct(F.col("b").alias("item"), F.col("a").alias("partner")))).alias("e"))
-    rank = F.row_number().over(Window.partitionBy("e.item").orderBy(F.desc(F.round("eff", 12)), "e.partner"))
-    top = ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
-    return eff.join(top, ["a", "b"])
+    """Pairs among the ``most`` strongest of either end, by weight today; ties go to the smaller partner.
+
+    Weights are compared as logarithms, so old history keeps its order when all of it has cooled to nothing.
+    """
+    log = F.ln("w") - age_days(F.col("last_ts"), now) * math.log(2) / S.HISTORY_DAYS
+    eff = scored.withColumns({"eff": effective(F.col("w"), F.col("last_ts"), now), "log": F.round(log, 9)})
+    ends = eff.select("*", F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("partner")), F.struct(F.col("b").alias("item"), F.col("a").alias("partner")))).alias("e"))
+    rank = F.row_number().over(Window.partitionBy("e.item").orderBy(F.desc("log"), "e.partner"))
+    return ends.withColumn("rank", rank).where(F.col("rank") <= most).drop("e", "log", "rank").dropDuplicates(["a", "b"])
 
 
 def reseed(seeds: DataFrame, history: DataFrame, now: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,12 +12,14 @@ from affinis.functions import identifiers as I
 from affinis.functions import literals as L
 from affinis.functions import paths as P
 from affinis.functions import scores as S
-from affinis.operators import basins, bridge, cochange, discover, graph, heat, resolve, reveal, seeds
-from affinis.streaming import provenance, sync
+from affinis.operators import anchors, basins, bridge, cochange, discover, facts, graph, heat, imports, resolve, reveal, seeds
+from affinis.sources import files
+from affinis.streaming import baseline, provenance, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NOW = "2024-01-01 00:00:00"
+#: Today, for events, and for orders, which end earlier.
+NOW, LAST = "2024-01-01 00:00:00", "2002-01-01 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -51,8 +54,7 @@ deg AS (SELECT src AS node, sum(w) AS d FROM both_ways GROUP BY src)"""
 
 
 def heat_sql(t: float, rounded: str) -> str:
-    order = S.order_for(t)
-    coefficients = ", ".join(f"({k}, {c!r}::DOUBLE)" for k, c in enumerate(S.heat_coefficients(t)))
+    order = min(90, math.ceil(2.2 * t) + 16)
     return f"""
 WITH RECURSIVE {EDGES_SQL},
 m AS (SELECT b.src, b.dst, -b.w / (sqrt(x.d) * sqrt(y.d)) AS m FROM both_ways b JOIN deg x ON x.node = b.src JOIN deg y ON y.node = b.dst),
@@ -63,7 +65,7 @@ r AS (
   SELECT r.k + 1, r.n, (CASE WHEN r.k = 0 THEN 1 ELSE 2 END) * coalesce(s.v, 0) - r.prev, r.cur
   FROM r LEFT JOIN (SELECT q.k, m.dst AS n, sum(m.m * q.cur) AS v FROM r q JOIN m ON m.src = q.n GROUP BY q.k, m.dst) s ON s.n = r.n AND s.k = r.k
   WHERE r.k < {order}),
-c(k, c) AS (VALUES {coefficients}),
+c AS (SELECT k, (CASE WHEN k = 0 THEN 1 ELSE 2 * pow(-1, k) END) * sum(exp((2 * m + k) * ln({t} / 2) - lgamma(m + 1) - lgamma(m + k + 1) - {t})) AS c FROM range({order} + 1) a(k), range(120) b(m) GROUP BY k),
 heat AS (SELECT r.n AS node, sum(c.c * r.cur) AS heat FROM r JOIN c USING (k) GROUP BY r.n)
 {rounded}"""
 
@@ -174,9 +176,9 @@ x AS (SELECT i.c, i.item, o.o_orderdate AS ts FROM i JOIN ok USING (c) JOIN orde
 solo AS (SELECT item, count(*) AS solo FROM x GROUP BY item),
 p AS (SELECT a.item AS a, b.item AS b, count(*) AS n, max(greatest(a.ts, b.ts)) AS last_ts FROM x a JOIN x b ON a.c = b.c AND a.item < b.item GROUP BY ALL HAVING count(*) >= 2),
 s AS (SELECT p.*, least(0.5, 0.08 + 0.55 * n / (sa.solo + sb.solo - n) + 0.10 * least(n / 10, 1.0)) AS w FROM p JOIN solo sa ON sa.item = p.a JOIN solo sb ON sb.item = p.b),
-eff AS (SELECT *, w * pow(0.5, greatest(0, date_diff('microsecond', last_ts, TIMESTAMP '{NOW}') / 86400000000.0) / 30) AS eff FROM s),
-ends AS (SELECT a, b, eff, a AS item, b AS partner FROM eff UNION ALL SELECT a, b, eff, b, a FROM eff),
-top AS (SELECT DISTINCT a, b FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(eff, 12) DESC, partner) AS k FROM ends) WHERE k <= 16)
+eff AS (SELECT *, w * pow(0.5, greatest(0, date_diff('microsecond', last_ts, TIMESTAMP '{LAST}') / 86400000000.0) / 30) AS eff FROM s),
+ends AS (SELECT a, b, w, last_ts, a AS item, b AS partner FROM eff UNION ALL SELECT a, b, w, last_ts, b, a FROM eff),
+top AS (SELECT DISTINCT a, b FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(ln(w) - greatest(0, date_diff('microsecond', last_ts, TIMESTAMP '{LAST}') / 86400000000.0) * ln(2) / 30, 9) DESC, partner) AS k FROM ends) WHERE k <= 16)
 {select}"""
 
 
@@ -187,7 +189,7 @@ def commit_rows(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
 
 @query(cochange_sql("l_suppkey", "SELECT a, b, n, round(w, 9) AS w, last_ts FROM eff JOIN top USING (a, b)"))
 def cochange_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit(NOW).cast("timestamp_ntz")
+    now = F.lit(LAST).cast("timestamp_ntz")
     return cochange.kept(cochange.pairs(commit_rows(spark, sf_dir, "l_suppkey")), now).select("a", "b", "n", F.round("w", 9).alias("w"), "last_ts")
 
 
@@ -201,7 +203,7 @@ b2 AS (SELECT a AS item, b AS partner, eff FROM eff UNION ALL SELECT b, a, eff F
 SELECT partner, round(max(eff), 12) AS w FROM b2 JOIN sd USING (item) WHERE partner NOT IN (SELECT item FROM sd) GROUP BY partner HAVING max(eff) > 1e-6""").replace("\n, sd", ", sd"))
 def history_reseed(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = table(spark, sf_dir, "supplier").where("s_nationkey = 0").select(F.col("s_suppkey").alias("item"))
-    out = cochange.reseed(start, cochange.pairs(commit_rows(spark, sf_dir, "l_suppkey")), F.lit(NOW).cast("timestamp_ntz"))
+    out = cochange.reseed(start, cochange.pairs(commit_rows(spark, sf_dir, "l_suppkey")), F.lit(LAST).cast("timestamp_ntz"))
     return out.select("partner", F.round("w", 12).alias("w"))
 
 
@@ -229,7 +231,8 @@ def triangle_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def supplier_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = supplier_edges(spark, sf_dir).cache()
+    near = literal_bridges(spark, sf_dir).where("w >= 0.3").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("join").alias("kind"), "w")
+    edges = graph.kept(near)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().select("node", F.lit(True).alias("eligible"), F.lit(True).alias("include"))
     return basins.detect(edges, nodes)
 
@@ -305,28 +308,36 @@ def seed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.resolve(q, nodes).select("node", "score")
 
 
-@query()
+@query("""
+WITH w AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: length(x) > 1), lambda x: CASE WHEN length(x) > 5 AND ends_with(x, 'ing') THEN left(x, length(x) - 3) WHEN length(x) > 4 AND ends_with(x, 'ies') THEN left(x, length(x) - 3) || 'y'
+  WHEN length(x) > 4 AND regexp_matches(x, '(ches|shes|sses|xes|zes)$') THEN left(x, length(x) - 2) WHEN length(x) > 3 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END) AS c, ['polished', 'small', 'part'] AS q FROM part),
+g AS (SELECT *, len(list_intersect(q, c)) AS both_have, array_to_string(q, '') AS a, array_to_string(c, '') AS b FROM w),
+pa AS (SELECT p_partkey, p, count(*) AS n FROM (SELECT p_partkey, unnest([substr(a, i::BIGINT, 2) for i in range(1, length(a))]) AS p FROM g) GROUP BY ALL),
+pb AS (SELECT p_partkey, p, count(*) AS n FROM (SELECT p_partkey, unnest([substr(b, i::BIGINT, 2) for i in range(1, length(b))]) AS p FROM g) GROUP BY ALL),
+o AS (SELECT p_partkey, sum(least(pa.n, pb.n)) AS o FROM pa JOIN pb USING (p_partkey, p) GROUP BY p_partkey),
+s AS (SELECT p_partkey AS node, p_name AS name, p_brand AS file, greatest(0.72 * both_have / 3 + 0.28 * both_have / len(c), 2.0 * coalesce(o, 0) / (length(a) + length(b) - 2))::DOUBLE AS score FROM g LEFT JOIN o USING (p_partkey))
+SELECT node, name, file, round(score, 9) AS score FROM s WHERE score >= 0.34 ORDER BY round(score, 12) DESC, name, file, node LIMIT 5""")
 def seed_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.col("p_brand").alias("file"))
-    return seeds.suggestions(spark.range(1).select(F.lit("polished small parts").alias("q")), nodes)
+    return seeds.suggestions(spark.range(1).select(F.lit("polished small parts").alias("q")), nodes).withColumn("score", F.round("score", 9))
 
 
 @query("""
-WITH h AS (SELECT p_brand AS key, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS path_n, count(DISTINCT l_suppkey) AS files FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
-SELECT key, n, path_n, files, round((path_n + 0.5) / (n + 1), 9)::DOUBLE AS rate FROM h WHERE n >= 4 AND files >= 2 AND (path_n + 0.5) / (n + 1) >= 0.33""")
+WITH h AS (SELECT p_brand AS key, count(*) AS n, count(*) FILTER (l_quantity >= 23) AS path_n, count(DISTINCT l_suppkey) AS files FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
+SELECT key, n, path_n, files, round((path_n + 0.5) / (n + 1), 9)::DOUBLE AS rate FROM h WHERE n >= 4 AND files >= 2 AND (path_n + 0.5) / (n + 1) >= 0.55 AND key NOT LIKE '%#1%'""")
 def signature_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("key"))
-    sites = table(spark, sf_dir, "lineitem").join(part, "l_partkey").select("key", F.col("l_suppkey").alias("file"), (F.col("l_returnflag") == "R").alias("is_path"))
-    return discover.promoted(discover.histogram(sites), rate=0.33).select("key", "n", "path_n", "files", F.round("rate", 9).alias("rate"))
+    sites = table(spark, sf_dir, "lineitem").join(part, "l_partkey").select("key", F.col("l_suppkey").alias("file"), (F.col("l_quantity") >= 23).alias("is_path"))
+    covered = part.where(F.col("key").contains("#1")).select("key")
+    return discover.promoted(discover.histogram(sites), covered).select("key", "n", "path_n", "files", F.round("rate", 9).alias("rate"))
 
 
 @query("""
 WITH r AS (SELECT l_shipdate, l_suppkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_suppkey, l_linenumber, l_orderkey) AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)
 SELECT l_partkey AS label, max(l_suppkey) FILTER (k = 1) AS first_site, max(n) AS sites, count(DISTINCT l_suppkey) AS files, bool_and(l_returnflag = 'N') AS implicit FROM r GROUP BY l_partkey""")
 def anchor_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    first = F.min_by("l_suppkey", F.struct("l_shipdate", "l_suppkey", "l_linenumber", "l_orderkey"))
-    return items.groupBy(F.col("l_partkey").alias("label")).agg(first.alias("first_site"), F.count("*").alias("sites"), F.count_distinct("l_suppkey").alias("files"), F.bool_and(F.col("l_returnflag") == "N").alias("implicit"))
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("label"), F.col("l_suppkey").alias("file"), F.col("l_shipdate").alias("line"), (F.col("l_returnflag") == "N").alias("implicit"))
+    return anchors.collapse(sites).select("label", F.col("file").alias("first_site"), "sites", "files", "implicit")
 
 
 @query("""
@@ -398,7 +409,18 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reveal.fit(part.select(F.col("p_partkey").alias("rank"), F.concat_ws(" ", F.lit("part"), F.col("p_partkey").cast("string"), "p_name").alias("line")), 800, "parts")
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT event_type AS session, date_diff('day', DATE '1970-01-01', ts::DATE) AS step, user_id % 20 AS node, max(value / 1000) AS mass FROM events GROUP BY ALL),
+b AS (SELECT session, step, map_from_entries(list((node, mass))) AS warmed, row_number() OVER (PARTITION BY session ORDER BY step) AS k FROM r GROUP BY session, step),
+f AS (
+  SELECT session, 0::BIGINT AS k, 0::BIGINT AS step, MAP {}::MAP(BIGINT, DOUBLE) AS told, true AS armed, 0.0::DOUBLE AS surprise, false AS red FROM (SELECT DISTINCT session FROM b)
+  UNION ALL
+  SELECT session, k, step, CASE WHEN red THEN map_from_entries([(n, greatest(coalesce(cooled[n], 0), coalesce(warmed[n], 0))) for n in list_distinct(map_keys(cooled) || map_keys(warmed))]) ELSE cooled END, CASE WHEN red THEN false ELSE armed OR surprise <= 0.075 END, surprise, red
+  FROM (SELECT *, armed AND surprise >= 0.15 AS red FROM (
+    SELECT *, list_sum([0.0] || [CASE WHEN warmed[n] - coalesce(cooled[n], 0) > 1e-9 THEN warmed[n] - coalesce(cooled[n], 0) ELSE 0 END for n in map_keys(warmed)]) AS surprise FROM (
+      SELECT b.session, b.k, b.step, b.warmed, f.armed, map_from_entries([(n, f.told[n] * pow(0.5, (b.step - f.step) * 24 / 48.0)) for n in map_keys(f.told) if f.told[n] * pow(0.5, (b.step - f.step) * 24 / 48.0) > 1e-9]) AS cooled
+      FROM f JOIN b ON b.session = f.session AND b.k = f.k + 1))))
+SELECT session, step, round(surprise, 4) AS surprise, red, armed, cardinality(told)::BIGINT AS remembered FROM f WHERE k > 0""")
 def surprise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     hours = F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))) / 3600000000
@@ -406,7 +428,8 @@ def surprise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.gate(rows).select("session", "step", F.round("surprise", 4).alias("surprise"), "red", "armed", "remembered")
 
 
-@query()
+@query("""
+SELECT user_id::VARCHAR AS file, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS owners, CASE WHEN count(DISTINCT event_type) > 1 THEN 'mixed' WHEN min(event_type) = 'signup' THEN 'current' ELSE 'other' END AS kind FROM events GROUP BY user_id""")
 def mutation_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     chain = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -415,4 +438,195 @@ def mutation_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("t").alias("tool_call_id"), F.row_number().over(chain).cast("long").alias("commit_order"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
     )
     changes = rows.groupBy("file").agg(F.lit(None).cast("string").alias("before_sha"), F.max_by("after_sha", "commit_order").alias("after_sha"))
-    return provenance.attribute(rows.withColumn("seq", F.col("commit_order")), changes, "signup")
+    return provenance.attribute(rows.withColumn("seq", F.col("commit_order")), changes, "signup").withColumn("owners", F.array_join("owners", ","))
+
+
+PATHS_SQL = "p AS (SELECT page_id, regexp_replace(url, '^(?:https?|wss?)://[^/]+/?', '') AS path FROM pages)"
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^(?:https?|wss?)://[^/]+/?", "").alias("path"))
+
+
+@query(f"""WITH {PATHS_SQL},
+v AS (SELECT page_id, path, ['get', 'PostMapping', 'fetch', 're_path', 'root'][page_id % 5 + 1] AS m FROM p)
+SELECT page_id, CASE upper(regexp_replace(m, 'Mapping$', '')) WHEN 'FETCH' THEN 'GET' WHEN 'RE_PATH' THEN 'ANY' WHEN 'ROOT' THEN 'ANY' ELSE upper(regexp_replace(m, 'Mapping$', '')) END AS verb, 'POST' AS said, '/' || path AS said_path,
+ '/api/v1' || CASE WHEN trim(path, '/') = '' THEN '' ELSE '/' || trim(path, '/') END AS joined, '"' || path || '"' AS quoted, path AS plain FROM v""")
+def route_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = F.array(*map(F.lit, ("get", "PostMapping", "fetch", "re_path", "root")))
+    quoted = F.concat(F.lit('"'), "path", F.lit('"'))
+    own = P.verb_in_path(F.concat(F.lit("POST /"), F.regexp_replace("path", r"\s", "")))
+    rows = page_paths(spark, sf_dir)
+    return rows.select("page_id", P.verb(F.element_at(methods, (F.col("page_id") % 5 + 1).cast("int"))).alias("verb"), own["verb"].alias("said"), own["path"].alias("said_path"), P.join_route(F.lit("/api/v1/"), F.concat("path", F.lit("/"))).alias("joined"), quoted.alias("quoted"), P.unquote(F.concat(F.lit(" f"), quoted)).alias("plain"))
+
+
+@query(f"""WITH {PATHS_SQL},
+f AS (SELECT page_id, ['src/' || path || '.ts', 'tests/' || path || '.py', 'node_modules/' || path || '.js', path || '/Cargo.lock', path || '.pyc', 'app/' || path || '/page.mdx', path || '/x_test.go', path || '.RS'][page_id % 8 + 1] AS file, page_id % 8 AS k FROM p)
+SELECT page_id, file, k IN (2, 3) AS junk, k IN (0, 1, 2, 5, 6, 7) AS supported, k IN (1, 6) OR regexp_matches(lower(file), '(^|/)(tests?|__tests__|fixtures?)/') AS test, ['ts', 'py', 'ts', 'lock', 'pyc', 'mdx', 'go', 'rs'][k + 1] AS family FROM f""")
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    made = [F.concat(F.lit(a), path, F.lit(b)) for a, b in (("src/", ".ts"), ("tests/", ".py"), ("node_modules/", ".js"), ("", "/Cargo.lock"), ("", ".pyc"), ("app/", "/page.mdx"), ("", "/x_test.go"), ("", ".RS"))]
+    rows = page_paths(spark, sf_dir).select("page_id", F.element_at(F.array(*made), (F.col("page_id") % 8 + 1).cast("int")).alias("file"))
+    file = F.col("file")
+    return rows.select("page_id", "file", P.is_junk(file).alias("junk"), P.is_supported(file).alias("supported"), P.is_test_scope(file).alias("test"), P.family(file).alias("family"))
+
+
+@query(f"""WITH {PATHS_SQL},
+d AS (SELECT page_id, string_split(path, '/')[1] AS dir, path FROM p WHERE path NOT LIKE '%.%' AND path NOT LIKE '%/' AND path <> '')
+SELECT 'app/' || path || '/(shop)/[id]/page.tsx' AS file, 'page' AS kind, 'ANY' AS verb, '/' || path || '/{{*}}' AS route FROM d
+UNION ALL SELECT 'web/server/api/' || path || '.post.ts', 'route', 'POST', '/api/' || path FROM d
+UNION ALL SELECT 'src/routes/' || path || '/+server.ts', 'route', unnest(['GET', 'DELETE']), '/' || path FROM d""")
+def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = page_paths(spark, sf_dir).where("path not like '%.%' and path not like '%/' and path <> ''")
+    made = [F.concat(F.lit(a), "path", F.lit(b)) for a, b in (("app/", "/(shop)/[id]/page.tsx"), ("web/server/api/", ".post.ts"), ("src/routes/", "/+server.ts"))]
+    tree = rows.select(F.explode(F.array(*made)).alias("file")).withColumn("text", F.lit("export async function GET() {}\nexport const DELETE = 1"))
+    return files.file_routes(tree).select("file", "kind", "verb", "route")
+
+
+@query(f"""WITH {PATHS_SQL}
+SELECT page_id, 'a/' || path AS resolved, CASE WHEN page_id % 2 = 0 THEN path END AS inner_path, starts_with('docs/' || path, 'docs/b') AND (length('docs/' || path) = 6 OR substr('docs/' || path, 7, 1) = '/') AS in_scope FROM p WHERE path <> '' AND NOT contains(path, '//') AND NOT ends_with(path, '/')""")
+def path_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = page_paths(spark, sf_dir).where("path <> '' and not contains(path, '//') and not endswith(path, '/')")
+    told = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("sub/"), "path")).otherwise(F.concat(F.lit("other/"), "path"))
+    return rows.select("page_id", P.resolve(F.concat(F.lit("./a/x/../"), "path")).alias("resolved"), P.git_relative(told, "sub/").alias("inner_path"), P.in_scope(F.concat(F.lit("docs/"), "path"), "docs/b/").alias("in_scope"))
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract(text, '([A-Za-z]+)', 1) AS callee FROM conversations UNION ALL SELECT conv_id, turn, ['Print', 'loadUser', 'x', 'describe', 'JOIN'][turn % 5 + 1] FROM conversations)
+SELECT conv_id, turn, callee FROM t WHERE length(callee) > 1 AND lower(callee) NOT IN ({", ".join(f"'{w}'" for w in anchors.WARDS)})""")
+def telling_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", "([A-Za-z]+)", 1).alias("callee"))
+    more = rows.withColumn("callee", F.element_at(F.array(*map(F.lit, ("Print", "loadUser", "x", "describe", "JOIN"))), (F.col("turn") % 5 + 1).cast("int")))
+    return anchors.telling_calls(rows.unionByName(more))
+
+
+@query("""
+WITH places AS (SELECT r_regionkey, replace(r_name, ' ', '') AS r_name FROM region),
+s AS (SELECT n_name AS name, r_name AS file, 'class ' || n_name || ' extends ' || r_name || ' implements ' || upper(left(n_name, 1)) || 'x, Kept' AS sig FROM nation JOIN places ON r_regionkey = n_regionkey
+ UNION ALL SELECT 'lib.' || r_name, 'lib', '' FROM places UNION ALL SELECT 'Kept', 'lib', '' FROM places WHERE r_regionkey = 0),
+n AS (SELECT name || '@' || file AS id, lower(name) AS key FROM s UNION SELECT name || '@' || file, lower(split_part(name, '.', 2)) FROM s WHERE contains(name, '.')),
+k AS (SELECT n_name || '@' || r_name AS src, unnest([lower(r_name), lower(left(n_name, 1) || 'x'), 'kept']) AS key FROM nation JOIN places ON r_regionkey = n_regionkey)
+SELECT DISTINCT src, id AS dst FROM k JOIN n USING (key) WHERE src <> id""")
+def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "region").withColumn("r_name", F.replace("r_name", F.lit(" "), F.lit("")))
+    nation = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    classes = nation.select(F.col("n_name").alias("name"), F.lit("class").alias("kind"), F.col("r_name").alias("file"), F.concat(F.lit("class "), "n_name", F.lit(" extends "), "r_name", F.lit(" implements "), F.upper(F.left("n_name", F.lit(1))), F.lit("x, Kept")).alias("sig"))
+    lib = region.select(F.concat(F.lit("lib."), "r_name").alias("name")).unionByName(spark.createDataFrame([("Kept",)], "name string")).select("name", F.lit("type").alias("kind"), F.lit("lib").alias("file"), F.lit("").alias("sig"))
+    return facts.inherits(classes.unionByName(lib))
+
+
+IMPORTS_SQL = """
+WITH f AS (SELECT unnest(['src/p' || p_partkey || '.ts', 'src/p' || p_partkey || '/index.ts', 'py/m' || p_partkey || '.py', 'go/k' || p_partkey || '/a.go', 'rs/r' || p_partkey || '/mod.rs']) AS file FROM part WHERE p_partkey % 7 <> 0),
+i AS (SELECT p_partkey AS k, 'src/p' || p_partkey || '.test.ts' AS file, './p' || (p_partkey + 1) || '.js' AS spec, 'src/p' || (p_partkey + 1) || '.ts' AS target FROM part
+ UNION ALL SELECT p_partkey, 'py/x.py', 'py.m' || p_partkey, 'py/m' || p_partkey || '.py' FROM part UNION ALL SELECT p_partkey, 'go/main/main.go', 'example.com/mod/k' || p_partkey, 'go/k' || p_partkey || '/a.go' FROM part
+ UNION ALL SELECT p_partkey, 'rs/main.rs', 'crate::r' || p_partkey, 'rs/r' || p_partkey || '/mod.rs' FROM part UNION ALL SELECT p_partkey, 'web/a.tsx', '@app/src/p' || p_partkey, NULL FROM part)
+"""
+
+
+def source_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part")
+    paths = F.array(*(F.concat(F.lit(a), k, F.lit(b)) for a, b in (("src/p", ".ts"), ("src/p", "/index.ts"), ("py/m", ".py"), ("go/k", "/a.go"), ("rs/r", "/mod.rs"))))
+    tree = part.where("p_partkey % 7 <> 0").select(F.explode(paths).alias("file"))
+    after = (F.col("p_partkey") + 1).cast("string")
+    specs = [(F.concat(F.lit("src/p"), k, F.lit(".test.ts")), F.concat(F.lit("./p"), after, F.lit(".js"))), (F.lit("py/x.py"), F.concat(F.lit("py.m"), k)), (F.lit("go/main/main.go"), F.concat(F.lit("example.com/mod/k"), k)), (F.lit("rs/main.rs"), F.concat(F.lit("crate::r"), k)), (F.lit("web/a.tsx"), F.concat(F.lit("@app/src/p"), k))]
+    asked = part.select(F.explode(F.array(*(F.struct(a.alias("file"), b.alias("spec")) for a, b in specs))).alias("x")).select("x.*").withColumn("site", F.concat_ws(">", "file", "spec"))
+    return asked, tree
+
+
+@query(IMPORTS_SQL + "SELECT i.file, spec, target FROM i JOIN f ON f.file = i.target")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, tree = source_imports(spark, sf_dir)
+    return imports.resolve(asked, tree).join(asked.select("site", "spec"), "site").select("file", "spec", "target")
+
+
+@query(IMPORTS_SQL + "SELECT 'file:' || i.file AS src, 'file:' || target AS dst FROM i JOIN f ON f.file = i.target WHERE i.file LIKE '%.test.ts'")
+def tests_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, tree = source_imports(spark, sf_dir)
+    return facts.tests(imports.resolve(asked, tree))
+
+
+@query("SELECT DISTINCT 'file:' || p_brand AS src, p_name || '@' || p_brand AS dst FROM part")
+def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.contains(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file")))
+
+
+@query(SUPPLIER_EDGES_SQL + """, hubs AS (SELECT node, sum(w) AS d FROM adj GROUP BY node ORDER BY round(sum(w), 6) DESC, node LIMIT 24), low AS (SELECT min(node) AS a FROM adj),
+one AS (SELECT CASE WHEN src = low.a THEN dst ELSE src END AS node, CASE WHEN src = low.a THEN '→ callee' ELSE '← caller' END AS label, w FROM g, low WHERE (src = low.a) <> (dst = low.a))
+SELECT h.node, round(h.d, 6) AS d, coalesce(o.label, '') AS label, coalesce(o.w, 0) AS w FROM hubs h LEFT JOIN one o USING (node)""")
+def hub_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.kept(supplier_edges(spark, sf_dir)).select("src", "dst", F.lit("invokes").alias("kind"), "w", F.lit(0).alias("ord"))
+    hubs = graph.degrees(graph.conductance(edges)).withColumn("d", F.round("d", 6)).orderBy(F.desc("d"), "node").limit(24)
+    seed = edges.select(F.explode(F.array("src", "dst")).alias("node")).agg(F.min("node").alias("node"))
+    told = graph.direct_relations(edges, seed).select("node", graph.relation_label(F.col("kind"), F.col("out"), F.lit("function")).alias("label"), "w")
+    return hubs.join(told, "node", "left").select("node", "d", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+@query(heat_sql(2.0, """, cust AS (SELECT c_custkey * 4 AS node, c_nationkey::VARCHAR AS file, heat FROM heat JOIN customer ON node = c_custkey * 4),
+lit AS (SELECT node, file, heat, row_number() OVER (ORDER BY round(heat, 12) DESC, file, node) AS rank, heat / max(heat) OVER () AS h FROM cust WHERE node <> (SELECT node FROM first_customer)),
+kept AS (SELECT * FROM lit WHERE h >= 0.002 AND heat >= 1e-9 AND rank <= 400),
+nth AS (SELECT *, sum(CASE WHEN h < 0.3 AND h >= 0.02 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY rank) AS k FROM kept)
+SELECT file, count(*) AS n, count(*) FILTER (h >= 0.3) AS hot, count(*) FILTER (h < 0.3 AND h >= 0.02 AND k <= 4) AS warm, count(*) FILTER (h < 0.02 OR (h < 0.3 AND k > 4)) AS glow FROM nth GROUP BY file""").replace("\n, cust AS", ", cust AS"))
+def reveal_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warm = purchase_heat(spark, sf_dir, 2.0).withColumn("heat", F.round("heat", 12))
+    start = table(spark, sf_dir, "orders").agg((F.min("o_custkey") * 4).alias("seed"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 4).alias("node"), F.col("c_nationkey").cast("string").alias("file")).join(F.broadcast(start), F.col("node") == F.col("seed"), "left_anti")
+    rows = c.join(warm, "node").select(F.col("node").alias("id"), F.lit("").alias("name"), F.lit("function").alias("kind"), "file", F.col("node").alias("line"), "heat", F.lit(False).alias("is_seed"), F.lit(None).cast("string").alias("relation"))
+    count = lambda tier: F.count(F.when(F.col("tier") == tier, 1)).alias(tier)
+    return reveal.tiers(rows).groupBy("file").agg(F.count("*").alias("n"), count("hot"), count("warm"), count("glow"))
+
+
+@query("""
+WITH b AS (SELECT doc_id AS file, sha1(text) AS sha, sha1(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS fp FROM documents),
+a AS (SELECT doc_id AS file, sha1(t) AS sha, sha1(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS fp FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || '  ' WHEN 1 THEN text || ' more' ELSE text END AS t FROM documents))
+SELECT file FROM b JOIN a USING (file) WHERE a.sha <> b.sha AND a.fp <> b.fp""")
+def semantic_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    after = docs.withColumn("text", F.when(F.col("file") % 5 == 0, F.concat("text", F.lit("  "))).when(F.col("file") % 5 == 1, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    sha = lambda d: d.select("file", F.sha1(F.col("text").cast("binary")).alias("sha"))
+    prints = lambda d: d.select("file", sync.fingerprint(F.array("text")).alias("fingerprint"))
+    return sync.semantic(sync.drift(sha(docs), sha(after)), prints(docs), prints(after))
+
+
+@query("""
+WITH b AS (SELECT p_partkey AS anchor, p_brand AS file FROM part WHERE p_partkey % 3 <> 0), a AS (SELECT p_partkey AS anchor, p_brand AS file, p_partkey % 4 = 0 AS implicit FROM part WHERE p_partkey % 5 <> 0),
+x AS (SELECT anchor, coalesce(a.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(implicit, false) AS implicit FROM b FULL JOIN a USING (anchor) WHERE a.file IS NULL OR b.file IS NULL)
+SELECT anchor, file, change, implicit, file LIKE '%#1%' AS evidential FROM x""")
+def anchor_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("anchor"), F.col("p_brand").alias("file"))
+    before = part.where("anchor % 3 <> 0").withColumn("implicit", F.lit(False))
+    after = part.where("anchor % 5 <> 0").withColumn("implicit", F.col("anchor") % 4 == 0)
+    return sync.evidence(baseline.anchor_deltas(before, after), part.where("file like '%#1%'").select("file"))
+
+
+@query("""
+WITH s AS (SELECT url AS file, round(sum(length(html)) / 1000, 0) AS surprise FROM pages GROUP BY url),
+o AS (SELECT regexp_replace(file, '^(?:https?|wss?)://[^/]+/?', '') AS file, max(surprise) AS surprise FROM s GROUP BY 1)
+SELECT file, surprise, row_number() OVER (ORDER BY surprise DESC, regexp_matches(lower(file), '(^|/)(tests?|__tests__|fixtures?)(/|$)'), file) AS rank FROM o WHERE string_split(file, '/')[1] < 'm'""")
+def surprise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "pages").groupBy("url").agg(F.round(F.sum(F.length("html")) / 1000, 0).alias("surprise"))
+    rows = s.groupBy(F.regexp_replace("url", "^(?:https?|wss?)://[^/]+/?", "").alias("file")).agg(F.max("surprise").alias("surprise"))
+    scopes = [r[0] for r in rows.select(P.top_segment(F.col("file"))).distinct().collect() if r[0] < "m"]
+    ordered = baseline.in_order(baseline.attended(rows, scopes))
+    return ordered.select("file", "surprise", F.row_number().over(Window.orderBy(F.desc("surprise"), P.is_test_scope(F.col("file")), "file")).cast("long").alias("rank"))
+
+
+@query(f"""WITH {HREFS_SQL}, q AS (SELECT key AS norm FROM spec WHERE kind = 'path' ORDER BY df DESC, key LIMIT 1)
+SELECT k.page_id AS node, max(CASE WHEN k.key = norm THEN 1.0 ELSE 0.8 END)::DOUBLE AS score FROM keys k, q WHERE k.key = norm OR (k.kind = 'path' AND starts_with(k.key, norm || '/')) GROUP BY k.page_id""")
+def seed_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = graph.kept(bridge.index(href_sites(spark, sf_dir)))
+    query_ = index.where("kind = 'path'").orderBy(F.desc("df"), "key").limit(1).select(F.col("key").alias("q"))
+    routes = spark.createDataFrame([], "node long, route string")
+    return seeds.literal_matches(query_, index, routes).groupBy("node").agg(F.max("score").alias("score"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem WHERE l_quantity >= 45), s AS (SELECT min(src) AS node FROM e),
+b AS (SELECT src AS node, dst AS nb FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT node, nb, row_number() OVER (PARTITION BY node ORDER BY nb) AS k FROM b),
+h1 AS (SELECT nb AS node, k AS p1 FROM n JOIN s USING (node)),
+h2 AS (SELECT nb AS node, min([p1, k]) AS place FROM n JOIN h1 USING (node) WHERE nb NOT IN (SELECT node FROM s) AND nb NOT IN (SELECT node FROM h1) GROUP BY nb)
+SELECT node, 0 AS hop, '' AS reasons FROM s UNION ALL SELECT node, 1, 'call' FROM h1 UNION ALL SELECT node, 2, 'call' FROM h2""")
+def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    edges = items.where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst"), F.lit("invokes").alias("kind"), F.lit(0.7).alias("w")).distinct()
+    return graph.path_reasons(edges, edges.agg(F.min("src").alias("node")), 2).select("node", "hop", F.array_join("reasons", ",").alias("reasons"))

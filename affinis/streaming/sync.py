@@ -16,11 +16,23 @@ FORGOTTEN, LEDGER = 1e-9, 4096
 
 
 def version(files: DataFrame) -> DataFrame:
-    """(version): 12 hex digits for a snapshot's files (file, sha), from their own digest in order of file."""
+    """(version): 12 hex digits for a snapshot's files (file, sha), from their own digest in order of file.
+
+    A digest over all lines in order needs them in one place, so this is for source trees, which ``files.FILES`` bounds;
+    ``tree_version`` is for snapshots of any size.
+    """
     lines = F.sort_array(F.collect_list(F.concat_ws(":", "file", "sha")))
     return files.agg(F.left(F.sha1(F.array_join(lines, "\n").cast("binary")), F.lit(12)).alias("version"))
 
 
+def tree_version(files: DataFrame, folders: int = 4096) -> DataFrame:
+    """(version): 12 hex digits for files (file, sha) of any number: a digest of the digests of ``folders`` hashed parts."""
+    part = F.pmod(F.xxhash64("file"), F.lit(folders)).alias("part")
+    digests = files.groupBy(part).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", "file", "sha"), 256), k, 12), 16, 10).cast("decimal(30)")).cast("string") for k in (1, 13, 25, 37))), 256).alias("digest"))
+    lines = F.sort_array(F.collect_list(F.concat_ws(":", "part", "digest")))
+    return digests.agg(F.left(F.sha1(F.array_join(lines, "\n").cast("binary")), F.lit(12)).alias("version"))
+
+
 def fingerprint(facts: Column) -> Column:
     """Digest of a list of facts whatever their order, with runs of white space as one."""
     return F.sha1(F.array_join(F.sort_array(F.transform(facts, lambda x: F.regexp_replace(F.trim(x), r"\s+", " "))), "\n").cast("binary"))

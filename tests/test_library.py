@@ -232,7 +232,7 @@ def test_anchors(spark, tmp_path):
     assert got == {
         ("main.go", "GET", "/api/users/{*}"), ("mux.go", "GET", "/healthz"), ("mux.go", "GET", "/x/y"), ("App.kt", "GET", "/health"), ("U.java", "GET", "/api/users/{*}"), ("a.ts", "GET", "/airports/{*}"), ("urls.py", "ANY", "/jobs"), ("routes.rb", "GET", "/rails/x"), ("web.ts", "GET", "/api/users/{*}"),
     }
-    assert anchors.collapse(anchors.matches(lines)).where("label = 'GET /api/users/{*}'").collect()[0].files == 3
+    assert anchors.collapse(anchors.labelled(anchors.matches(lines))).where("label = 'GET /api/users/{*}'").collect()[0].files == 3
     calls = spark.createDataFrame([("print",), ("LoadUser",), ("x",), ("toString",)], "callee string")
     assert [r.callee for r in anchors.telling_calls(calls).collect()] == ["LoadUser"]
     (tmp_path / "rules.json").write_text('{"rules": [{"id": "own", "langs": ["Python"], "form": "recv", "methods": "schedule"}, {"id": 3}]}')
