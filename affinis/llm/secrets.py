@@ -24,9 +24,13 @@ OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 #: Words and parts of words that made-up keys hardly contain.
 DICTIONARY = "(?:password|passwd|secret|token|example|sample|change|default|placeholder|your|here|user|name|admin|test|key|api|value|config|service|client|server|index|file|path|data|http|www|com|org|html|image|class|function|return|import|module|version|number|string|the|and|ing|tion|ment|able|ness)"
 NAMES = r"(?i)(?:passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s{0,2}(?:=|:|=>|:=)\s{0,2}[\"'`]?$"
-DIGESTS = r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|fingerprint)\b[^A-Za-z]*$"
+DIGESTS = r"(?i)\b(?:sha-?\d*|md5|commit|checksum|digest|hash|etag|uuid|guid|revision|integrity|fingerprint|blob|tree|object|ref|parent)\b[^A-Za-z]*$"
+#: What stands for a value to be filled in.
+PLACEHOLDERS = r"^[<$%{\[]|\$\{|\{\{|(.)\1{5,}|^[A-Za-z_.]+[(\[]"
+#: The letter pairs that written words are mostly made of.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ct ss us id ex nc ns ec".split()
 EXAMPLES = r"(?i)\b(?:example|sample|dummy|fake|placeholder|todo|test|replace|insert|changeme)\b"
-FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers", "hex", "issued", "named", "digest", "example", "slashes", "dots", "test_path")
+FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers", "hex", "issued", "named", "digest", "example", "slashes", "dots", "test_path", "pairs", "placeholder")
 CONTEXT = 48
 
 
@@ -72,6 +76,7 @@ def features(found: DataFrame) -> DataFrame:
     classes = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     n = F.greatest(F.length(s), F.lit(1))
     flag = lambda c: c.cast("double")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.lower(F.substring(s, i, F.lit(2))))
     return found.withColumns(
         {
             "length": F.least(F.length(s), F.lit(256)).cast("double"),
@@ -87,6 +92,8 @@ def features(found: DataFrame) -> DataFrame:
             "example": flag(F.concat_ws(" ", F.substring("before", -24, 24), F.left("after", F.lit(24)), s).rlike(EXAMPLES)),
             "slashes": share(s, "/"),
             "dots": share(s, r"\."),
+            "pairs": F.size(F.filter(pairs, lambda x: x.isin(PAIRS))) / F.greatest(F.size(pairs), F.lit(1)),
+            "placeholder": flag(s.rlike(PLACEHOLDERS)),
             "test_path": flag(F.col("path").rlike("(?i)test|example|sample|mock|fixture|docs?/")),
         }
     )
@@ -127,6 +134,12 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.concat(F.lit("/usr/share/"), noun, F.lit("/"), other, F.lit("/"), noun, F.lit("-1/"), other, F.lit(".html")),
         F.concat(name, equals, F.lit("get_"), noun, F.lit("_"), other, F.lit("()")),
         F.concat(F.lit("--------------------"), draw(digits, 4, 29)),
+        F.concat(choose(["example: ", "sample ", "dummy: ", "for example "], 31), name, equals, draw(mixed, size, 32)),
+        F.concat(name, equals, choose(["${", "{{ ", "<", "%("], 33), F.upper(noun), F.lit("_"), F.upper(other), F.lit("_1}")),
+        F.concat(F.initcap(noun), F.initcap(other), F.initcap(choose(["proxy", "factory", "builder", "manager"], 34)), F.lit("Bean"), draw(digits, 1, 35), F.lit("Impl")),
+        F.concat(choose(["blob ", "object ", "tree ", "parent ", "revision "], 36), draw(hexes, 40, 37)),
+        F.concat(choose(["integrity sha384-", "integrity: sha512-", "hash sha256-"], 38), draw(mixed + "+/", 64, 39)),
+        F.concat(name, equals, other, choose(["[", "(", ".get("], 42), F.lit("'"), noun, F.lit("_"), other, draw(digits, 1, 43), F.lit("')")),
         F.concat(F.lit("id "), draw(digits, 24, 30)),
     ]
     pick = lambda options, salt: F.coalesce(*(F.when(F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) == k, o) for k, o in enumerate(options)))
@@ -135,6 +148,17 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     return spark.range(0, n, 1, 1).select("id", choose(["src/main.py", "src/app.js", "conf/prod.env", "tests/test_app.py", "src0"], 8).alias("path"), text.alias("text"), label.alias("label"))
 
 
+_fitted: dict[str, PipelineModel] = {}
+
+
+def trained(spark: SparkSession) -> PipelineModel:
+    """The forest fitted on made-up findings, once for each application."""
+    key = spark.sparkContext.applicationId
+    if key not in _fitted:
+        _fitted[key] = train(spark)
+    return _fitted[key]
+
+
 def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 30, depth: int = 8, seed: int = 5) -> PipelineModel:
     """A forest fitted on labelled findings (id, path, text, label), by default 4000 made-up ones, a bounded sample."""
     labelled = labelled_findings(spark) if labelled is None else labelled
@@ -153,7 +177,7 @@ def scan(docs: DataFrame, model: PipelineModel | None = None, id_col: str = "doc
     transitions, dictionary coverage, path and neighbouring words. Null and empty texts have no candidates; equal
     rows have equal findings each. Other columns are ignored, whatever their names.
     """
-    model = train(docs.sparkSession) if model is None else model
+    model = trained(docs.sparkSession) if model is None else model
     found = features(candidates(docs, id_col, text_col, path_col if path_col in docs.columns else None))
     judged = model.transform(found)
     return judged.select(F.col("id").alias(id_col), "secret", "start", vector_to_array("probability")[1].alias("probability")).withColumn("is_secret", F.col("probability") >= threshold)
@@ -174,7 +198,7 @@ def redact(docs: DataFrame, model: PipelineModel | None = None, text_col: str =
 
     A text's secrets are joined to it by a 128-bit key of text and path, so ids may be null or repeat.
     """
-    model = train(docs.sparkSession) if model is None else model
+    model = trained(docs.sparkSession) if model is None else model
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     one, two, gone_list = (unused(docs, x) for x in ("redact_key_1", "redact_key_2", "redact_list"))

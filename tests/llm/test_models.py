@@ -257,7 +257,19 @@ def test_secrets_look_at_whole_runs(spark):
 
 
 def test_secrets_held_out(spark, forest):
-    labelled = secrets.labelled_findings(spark, 1500).withColumn("id", F.col("id") + 10_000_000)
     found = secrets.scan(secrets.labelled_findings(spark, 6000).where("id >= 4000"), forest, "id", "text", "path").join(secrets.labelled_findings(spark, 6000).select("id", "label"), "id")
-    right = found.agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("double"))).collect()[0][0]
-    assert right > 0.97 and labelled.count() == 1500
+    right = found.agg(F.avg((F.col("is_secret") == (F.col("label") == 1)).cast("double")), F.count_if(~F.col("is_secret"))).collect()[0]
+    assert right[0] > 0.97 and right[1] > 500
+
+
+def test_secrets_of_forms_that_no_template_makes(spark, forest):
+    rng = np.random.default_rng(4)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [
+        (f"object {draw(hexes, 40)} of the tree", False), (f'etag: "{draw(hexes, 32)}"', False), ("secret = os.environ['APP_SECRET_KEY_2']", False), ("password: ${DB_PASSWORD_1}", False), ("token = generate_token_v2()", False),
+        ("see https://host.example/docs/reference/index-2024.html", False), (f"api_key = {draw(mixed, 40)}", True), (f'client_secret: "{draw(mixed, 30)}"', True), ("passwd = 'Tr0ub4dor&3xyzQ'", True), (f"xoxb-123456789012-{draw(mixed, 24)}", True), (f"AIza{draw(mixed, 35)}", True),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    said = {r.doc_id for r in secrets.scan(df, forest).where("is_secret").collect()}
+    assert said == {k for k, (_, want) in enumerate(texts) if want}
