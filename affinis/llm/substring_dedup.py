@@ -191,17 +191,23 @@ class FingerprintIndex:
     def judge(self, batch: int | None = None) -> DataFrame:
         """(id, n_words, n_removed, spans, kept) of the rows of a batch, or of all, against all that was appended.
 
-        The batches' anchors are merge-joined with the runs. Occurrences of a repeated anchor whose windows all
+        The batch's anchors are merge-joined with the runs. Occurrences of a repeated anchor whose windows all
         read alike are settled there. For the others the texts are read again and the windows compared by
-        hashes of all their words, beside that of their anchor: 128 bits in all.
+        hashes of all their words, beside that of their anchor: 128 bits in all. Of other batches only postings
+        and texts with such an anchor are looked at.
         """
         self.judged += 1
         ws, window, tag = self.ws, self.window, self.judged
         repeated = self.merged().where("n > 1").select("h", "mixed")
-        postings = self._union([p for _, p in self.batches])
-        each = postings.select("k1", "k2", F.explode(F.arrays_zip("h", "first", "count")).alias("x")).select("k1", "k2", "x.h", "x.first", "x.count")
+        each = self._each(self.batches if batch is None else [self.batches[batch]])
+        found = each.join(repeated, "h")
+        if batch is not None and len(self.batches) > 1:
+            found = ws.table(found, f"found-{tag}")
+            asked_for = found.where("mixed").select("h").distinct()
+            history = self._each([b for k, b in enumerate(self.batches) if k != batch]).join(asked_for, "h")
+            found = found.unionByName(history.withColumn("mixed", F.lit(True)))
         part = F.struct("h", "first", "count")
-        hits = each.join(repeated, "h").groupBy("k1", "k2").agg(
+        hits = found.groupBy("k1", "k2").agg(
             F.collect_set(F.when(~F.col("mixed"), F.struct("first", "count"))).alias("sure"), F.collect_set(F.when(F.col("mixed"), part)).alias("parts")
         )
         hits = ws.table(hits, f"hits-{tag}")
@@ -217,6 +223,11 @@ class FingerprintIndex:
         rows = asked.join(spans, ["k1", "k2"], "left").select("id", "text", F.coalesce("sure", none).alias("sure"), F.coalesce("single", F.array().cast("array<int>")).alias("single"))
         return rows.mapInArrow(kept_batches(window), with_id(rows, "n_words long, n_removed long, spans array<long>, kept string"))
 
+    def _each(self, batches: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+        """(k1, k2, h, first, count) of each anchor in the batches."""
+        postings = self._union([p for _, p in batches])
+        return postings.select("k1", "k2", F.explode(F.arrays_zip("h", "first", "count")).alias("x")).select("k1", "k2", "x.h", "x.first", "x.count")
+
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -225,7 +236,7 @@ class FingerprintIndex:
         return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, batches: int = 3) -> DataFrame:
     """Removes every word that a repeated window of ``window`` consecutive words covers.
 
     Returns a row for each input row: the id, n_words, n_removed, spans (first word, word after the last, and so
@@ -234,9 +245,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text or another. Windows are judged on the input, so every copy goes. A null text is empty; texts shorter
     than a window keep all words. Rows are told apart by their texts, so ids may be null or repeat; an equal row
     counts as another text. Other columns are ignored, whatever their names.
+
+    The rows go into the index in ``batches``, each of which leaves a sorted run; runs are compacted when there are more
+    than two. All are judged at the end, since a window of an early batch may be repeated by a late one.
     """
-    index = FingerprintIndex(Workspace(docs.sparkSession, "substring-dedup"), window=window, gram=min(GRAM, window))
-    index.append(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    index = FingerprintIndex(Workspace(docs.sparkSession, "substring-dedup"), window=window, gram=min(GRAM, window), most_runs=2)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    for k in range(batches):
+        index.append(rows.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k))
     return index.judge().withColumnRenamed("id", id_col)
 
 
