@@ -27,6 +27,13 @@ gone AS (SELECT DISTINCT row, unnest(range(k, k + 35)) AS k FROM windows JOIN tw
 words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
 kept AS (SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (row, k) GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)""",
+    "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+l AS (SELECT hex, max(page_id) AS response FROM p GROUP BY hex),
+d AS (SELECT *, [('0x' || substr(hex, 1 + 5 * i::BIGINT, 5))::BIGINT for i in range(8)] AS v FROM p JOIN l USING (hex))
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+ array_to_string(list_transform(flatten([[x >> 15, (x >> 10) & 31, (x >> 5) & 31, x & 31] for x in v]), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (k + 1)::BIGINT, 1)), '') AS payload_digest,
+ CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM d""",
     "op10_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END) AS s FROM d),
