@@ -420,12 +420,12 @@ f AS (
     SELECT *, list_sum([0.0] || [CASE WHEN warmed[n] - coalesce(cooled[n], 0) > 1e-9 THEN warmed[n] - coalesce(cooled[n], 0) ELSE 0 END for n in map_keys(warmed)]) AS surprise FROM (
       SELECT b.session, b.k, b.step, b.warmed, f.armed, map_from_entries([(n, f.told[n] * pow(0.5, (b.step - f.step) * 24 / 48.0)) for n in map_keys(f.told) if f.told[n] * pow(0.5, (b.step - f.step) * 24 / 48.0) > 1e-9]) AS cooled
       FROM f JOIN b ON b.session = f.session AND b.k = f.k + 1))))
-SELECT session, step, round(surprise, 4) AS surprise, red, armed, cardinality(told)::BIGINT AS remembered FROM f WHERE k > 0""")
+SELECT session, step, round(surprise, 7) AS surprise, red, armed, cardinality(told)::BIGINT AS remembered FROM f WHERE k > 0""")
 def surprise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     hours = F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))) / 3600000000
     rows = e.select(F.col("event_type").alias("session"), (hours / 24).cast("long").alias("step"), hours.alias("hours"), (F.col("user_id") % 20).alias("node"), (F.col("value") / 1000).alias("mass"), F.lit(False).alias("structural"))
-    return sync.gate(rows).select("session", "step", F.round("surprise", 4).alias("surprise"), "red", "armed", "remembered")
+    return sync.gate(rows).select("session", "step", F.round("surprise", 7).alias("surprise"), "red", "armed", "remembered")
 
 
 @query("""
