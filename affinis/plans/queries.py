@@ -410,7 +410,7 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT event_type AS session, date_diff('day', DATE '1970-01-01', ts::DATE) AS step, user_id % 20 AS node, max(value / 1000) AS mass FROM events GROUP BY ALL),
+WITH RECURSIVE r AS (SELECT event_type AS session, date_diff('day', DATE '1970-01-01', ts::DATE) AS step, user_id % 20 AS node, max(value / 997) AS mass FROM events GROUP BY ALL),
 b AS (SELECT session, step, map_from_entries(list((node, mass))) AS warmed, row_number() OVER (PARTITION BY session ORDER BY step) AS k FROM r GROUP BY session, step),
 f AS (
   SELECT session, 0::BIGINT AS k, 0::BIGINT AS step, MAP {}::MAP(BIGINT, DOUBLE) AS told, true AS armed, 0.0::DOUBLE AS surprise, false AS red FROM (SELECT DISTINCT session FROM b)
@@ -424,7 +424,7 @@ SELECT session, step, round(surprise, 7) AS surprise, red, armed, cardinality(to
 def surprise_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     hours = F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))) / 3600000000
-    rows = e.select(F.col("event_type").alias("session"), (hours / 24).cast("long").alias("step"), hours.alias("hours"), (F.col("user_id") % 20).alias("node"), (F.col("value") / 1000).alias("mass"), F.lit(False).alias("structural"))
+    rows = e.select(F.col("event_type").alias("session"), (hours / 24).cast("long").alias("step"), hours.alias("hours"), (F.col("user_id") % 20).alias("node"), (F.col("value") / 997).alias("mass"), F.lit(False).alias("structural"))
     return sync.gate(rows).select("session", "step", F.round("surprise", 7).alias("surprise"), "red", "armed", "remembered")
 
 
