@@ -175,7 +175,8 @@ def test_pii_beside_base_spans_is_found(text, phone):
     ("bob at mail dot com", ["email"]), ("jane.doe at web dot org please", ["email"]), ("we were at the shop, the dot is red", []), ("on 2023.01.15.2044 it began", []), ("see version 1.2.3.4567-8901", []),
     ("ISBN 978-3-16-148410-0", []), ("10[.]0[.]0[.]1 is down", ["ip"]), ("1 2 3 4 5 6 7 8 9 10", []), ("order 12345678 of 2024-01-15 10:22:33", []), ("pay with 4111.1111.1111.1111 now", ["card"]), ("pay with 4111.1111.1111.1112 now", []),
 ])
-def test_pii_forms_that_no_template_makes(text, spans):
+def test_pii_known_forms(text, spans):
+    """Forms that the made-up texts were widened by, so no measure of what is held out."""
     assert [k for _, _, k in pii.added_spans(text, pii.base_spans(text), pii.trained())] == spans
 
 
@@ -262,7 +263,8 @@ def test_secrets_held_out(spark, forest):
     assert right[0] > 0.97 and right[1] > 500
 
 
-def test_secrets_of_forms_that_no_template_makes(spark, forest):
+def test_secrets_of_known_forms(spark, forest):
+    """Forms that the made-up findings were widened by, so no measure of what is held out."""
     rng = np.random.default_rng(4)
     draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
     hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
