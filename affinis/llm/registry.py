@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts, warc
+from . import ann, bpe, near_dedup, packing, pii, quality, secrets, spelling, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op7_pii": pii.op7_pii,
@@ -15,8 +15,21 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text's UTF-8 bytes, half a byte at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    halves = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: [('0x' || substr(hex(encode({text})), 2 * i + 2, 1))::BIGINT, ('0x' || substr(hex(encode({text})), 2 * i + 1, 1))::BIGINT]))"
+    return f"xor(list_reduce({halves}, lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
@@ -43,4 +56,17 @@ links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+o AS (SELECT run, doc_id::VARCHAR || ':' || run AS s, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {crc32_sql("s")} AS h FROM o),
+a AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM a WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT d.word, w.word AS near FROM d JOIN w ON d.d = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.d = w.word
+ UNION SELECT x.word, y.word FROM d x JOIN d y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT near.word, count(*) AS n_near, arg_min(struct_pack(w := near, n := w.n), struct_pack(m := -w.n, w := near)) AS best FROM near JOIN w ON w.word = near.near GROUP BY near.word),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 5 * n THEN best.w END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n FROM w LEFT JOIN b USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL""",
 }
