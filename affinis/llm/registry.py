@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, near_dedup, packing, pii, quality, secrets, spelling, substring_dedup, token_counts, warc
+from . import ann, bpe, langid, near_dedup, packing, pii, quality, secrets, spelling, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op7_pii": pii.op7_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op13_language_id": langid.op13_language_id,
 }
 
 
