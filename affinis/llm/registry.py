@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, near_dedup, packing, pii, quality, secrets, spelling, substring_dedup, token_counts, warc
+from . import ann, bpe, hard_negatives, langid, near_dedup, packing, pii, quality, secrets, spelling, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op7_pii": pii.op7_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_language_id": langid.op13_language_id,
 }
 
@@ -70,4 +71,12 @@ b AS (SELECT near.word, count(*) AS n_near, arg_min(struct_pack(w := near, n :=
 f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best.n >= 5 * n THEN best.w END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n FROM w LEFT JOIN b USING (word)),
 up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
 SELECT f.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL""",
+    "op12_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+pos AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS slot FROM p WHERE same QUALIFY slot <= 5),
+neg AS (SELECT pos.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY r, slot ORDER BY score DESC, id) AS rank FROM pos JOIN p USING (r, anchor_id)
+ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg""",
 }
