@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .textkernel import begin
+from .workspace import Workspace, split_count
 
-#: Codes that are compared with a block of queries at a time.
-STEP = 2048
+#: Bytes of vectors, and rows, that a task holds at a time; a cell of the index has no more, give or take the hash.
+CELL_BYTES, LEAST_ROWS = 64 << 20, 4096
+#: The signs of the eight bits of each byte.
+SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T.copy()
+ROW = "row long, vec_id long, dim int, vector array<double>, code binary, scale double"
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -22,70 +26,99 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode_batches(dim: int, seed: int):
-    """mapInArrow function: (vec_id, vector) to (vec_id, vector, code, norm, scale)."""
+def measured(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their lengths; those whose squares leave the range of a double are scaled first, which no cosine sees."""
+    with np.errstate(over="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))
+    odd = ~np.isfinite(norm) | (norm < 1e-150)
+    if odd.any():
+        x = x.copy()
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.sqrt((x[odd] * x[odd]).sum(axis=1))
+    return x, norm
+
+
+def encode_batches(seed: int):
+    """mapInArrow function: (row, vec_id, dim, vector) to those with code and scale, lengths side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
+        begin("one-bit")
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column(1)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            norm = np.sqrt((x * x).sum(axis=1))
-            turned = (x / norm[:, None]) @ turn
-            code = np.packbits(turned > 0, axis=1)
-            scale = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-            codes = pa.array([c.tobytes() for c in code], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, codes, pa.array(norm), pa.array(scale)], ["vec_id", "vector", "code", "norm", "scale"])
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims):
+                if dim not in turns:
+                    turns = {dim: rotation(int(dim), seed)}
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                x, norm = measured(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                turned = (x / norm[:, None]) @ turns[dim]
+                codes = pa.array([c.tobytes() for c in np.packbits(turned > 0, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, codes, pa.array(np.abs(turned).sum(axis=1) / math.sqrt(dim))], [*part.schema.names, "code", "scale"])
 
     return run
 
 
-def search_batches(ids: np.ndarray, queries: np.ndarray, k: int, dim: int, seed: int, width: float):
-    """mapInArrow function: index rows to (query_id, vec_id, score), the k best of this task for each query.
+class Cell:
+    """The packed codes of some rows, byte by byte, and beside them the vectors for those that are reranked."""
 
-    The inner product of a unit vector and a unit query is about that of the code and the turned query, divided by
-    the code's own inner product with its vector, ``scale``. With c for it the error is within
-    sqrt((1 - c * c) / (c * c * (dim - 1))) times ``width``, but for a probability that falls as exp(-width ** 2).
-    A vector is reranked on its original components if its upper bound reaches the k-th best that is certain so far.
-    """
+    def __init__(self, row: np.ndarray, ids: np.ndarray, x: np.ndarray, code: np.ndarray, scale: np.ndarray, width: float):
+        self.row, self.id, self.dim = row, ids, x.shape[1]
+        self.x, self.norm = measured(x)
+        self.bytes, self.scale = np.ascontiguousarray(code.T), scale.astype(np.float32)
+        self.error = (np.sqrt(np.maximum(1 - scale * scale, 0) / np.maximum(scale * scale * max(self.dim - 1, 1), 1e-12)) * width + 1e-5).astype(np.float32)
+        self.reranked = 0
+
+    def nearest(self, q: np.ndarray, turn: np.ndarray, row: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k nearest rows but ``row``, best first.
+
+        The inner product of a unit vector and the unit query is about that of the code's signs and the turned query,
+        divided by the code's own with its vector, ``scale``. It is read off the packed bits: for each byte of a code, a
+        table has the share of that byte's eight signs. With c for the scale the error is within
+        sqrt((1 - c * c) / (c * c * (dim - 1))) times ``width``, but for a probability that falls as exp(-width ** 2).
+        What reaches the k-th best lower bound is reranked on the original components.
+        """
+        (q,), (length,) = measured(q[None])
+        turned = np.zeros(8 * len(self.bytes), np.float32)
+        turned[: self.dim] = (q / length) @ turn / math.sqrt(self.dim)
+        tables = turned.reshape(-1, 8) @ SIGNS
+        about = np.zeros(len(self.row), np.float32)
+        for table, column in zip(tables, self.bytes, strict=True):
+            about += table[column]
+        about /= self.scale
+        others = self.row != row
+        low = np.where(others, about - self.error, -np.inf)
+        least = -np.partition(-low, k - 1)[k - 1] if len(low) > k else -np.inf
+        at = np.flatnonzero((about + self.error >= least) & others)
+        self.reranked += len(at)
+        scores = (q * self.x[at]).sum(axis=1) / (length * self.norm[at])
+        best = np.lexsort((self.id[at], -scores))[:k]
+        return self.id[at][best], scores[best]
+
+
+def search_batches(k: int, seed: int, width: float):
+    """mapInArrow function: rows of cells, each cell's indexed ones (kind 0) before its queries (kind 1), to (row, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = np.sqrt((queries * queries).sum(axis=1))
-        turned = ((queries / norms[:, None]) @ rotation(dim, seed)).astype(np.float32) / np.float32(math.sqrt(dim))
-        n = len(ids)
-        sure = np.full((n, k), -np.inf, np.float32)
-        best_score, best_id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        begin("one-bit")
+        cell, held, index, turn = None, [], None, np.empty((0, 0))
         for batch in batches:
-            vec_ids, norm, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 3, 4))
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(vec_ids), -1)
-            error = (np.sqrt(np.maximum(1 - scale * scale, 0) / np.maximum(scale * scale * max(dim - 1, 1), 1e-12)) * width + 1e-5).astype(np.float32)
-            for a in range(0, len(vec_ids), STEP):
-                part = slice(a, a + STEP)
-                signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
-                about = turned @ (signs / scale[part, None].astype(np.float32)).T
-                about[ids[:, None] == vec_ids[part][None, :]] = -np.inf
-                low = about - error[part]
-                m = min(k, low.shape[1])
-                top = -np.partition(-low, m - 1, axis=1)[:, :m]
-                sure = -np.sort(-np.concatenate([sure, top], axis=1), axis=1)[:, :k]
-                least = np.maximum(sure[:, -1], best_score[:, -1].astype(np.float32) - np.float32(1e-6))
-                at_query, at = np.nonzero((about + error[part] >= least[:, None]) & (about > -np.inf))
-                if not len(at):
+            cells, kind, row, ids, dims, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 4, 7))
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(cells)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, held, index = cells[a], [], None
+                x = batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, dims[a])
+                if kind[a] == 0:
+                    code = np.frombuffer(b"".join(batch.column(6).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
+                    held.append((row[a:b], ids[a:b], x, code, scale[a:b]))
                     continue
-                exact = np.empty(len(at))
-                for b in range(0, len(at), 1 << 16):
-                    q, v = at_query[b : b + (1 << 16)], at[b : b + (1 << 16)] + a
-                    exact[b : b + (1 << 16)] = (queries[q] * x[v]).sum(axis=1) / (norms[q] * norm[v])
-                q = np.concatenate([np.repeat(np.arange(n), k), at_query])
-                s = np.concatenate([best_score.ravel(), exact])
-                i = np.concatenate([best_id.ravel(), vec_ids[at + a]])
-                order = np.lexsort((i, -s, q))
-                first = np.searchsorted(q[order], np.arange(n))
-                keep = order[(first[:, None] + np.arange(k)).ravel()]
-                best_score, best_id = s[keep].reshape(n, k), i[keep].reshape(n, k)
-        q, j = np.nonzero(best_score > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, j]), pa.array(best_score[q, j])], ["query_id", "vec_id", "score"])
+                if index is None:
+                    index, held = Cell(*(np.concatenate(y) for y in zip(*held, strict=True)), width), []
+                    turn = turn if len(turn) == dims[a] else rotation(int(dims[a]), seed)
+                found = [(np.full(len(i), r), i, s) for q, r in zip(x, row[a:b], strict=True) for i, s in [index.nearest(q, turn, r, k)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*found, strict=True)], ["row", "vec_id", "score"])
 
     return run
 
@@ -93,41 +126,40 @@ def search_batches(ids: np.ndarray, queries: np.ndarray, k: int, dim: int, seed:
 class OneBitIndex:
     """Codes of one bit a component for all usable vectors of a table, beside the vectors themselves.
 
-    Vectors that are null, zero, or hold a null or a component that is not finite take no part, nor do those of
-    another length than most have (of lengths equally frequent, the longest).
+    Vectors that are null, zero, or hold a null or a component that is not finite take no part, nor do rows without an id.
+    Vectors of different lengths have no cosine: each length is a space of its own, and all are searched. Rows are dealt
+    into cells by a hash, so copies of one vector do not meet; a cell is what a task holds at a time.
     """
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11):
         rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
         finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
         rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
-        length = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
-        self.spark, self.seed, self.dim = vectors.sparkSession, seed, length[0]["n"] if length else 0
-        self.rows = rows.where(F.size("vector") == self.dim)
+        self.spark, self.seed = vectors.sparkSession, seed
         self.ws = Workspace(self.spark, "one-bit")
-        codes = self.rows.mapInArrow(encode_batches(self.dim, seed), "vec_id long, vector array<double>, code binary, norm double, scale double")
-        self.codes = self.ws.table(codes, "codes")
+        numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("vector").alias("dim"), "vector")
+        self.codes = self.ws.table(numbered.mapInArrow(encode_batches(seed), ROW), "codes")
+        fewest = F.least(F.lit(split_count(self.spark)), F.ceil(F.col("n") / LEAST_ROWS))
+        sized = self.codes.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.greatest(F.ceil(F.col("n") * F.col("dim") * 8 / CELL_BYTES), fewest).alias("cells"))
+        self.cells = self.ws.table(sized, "cells")
 
-    def search(self, queries: DataFrame, k: int = 5, width: float = 3.0, block: int = 2048) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, width: float = 3.0) -> DataFrame:
         """(query_id, rank, vec_id, score): the k nearest of each of ``queries`` (vec_id) that the index holds.
 
-        A query is never its own neighbour; ties go to the smaller vec_id, and rows that share an id are compared
-        one by one. All codes are compared with all queries, a block of about ``block`` of them at a time, which
-        bounds what is broadcast; each task returns its k best.
+        A row is never its own neighbour; ties go to the smaller vec_id, and rows that share an id are compared one by
+        one. Where the id of a query is several rows', the one whose vector is first in order asks. Every query meets
+        every cell of its length in one job; each cell returns its k best.
         """
-        schema = "query_id long, vec_id long, score double"
-        asked = self.ws.table(self.codes.join(queries.select("vec_id").distinct(), "vec_id").select("vec_id", "vector").dropDuplicates(["vec_id"]), f"queries-{k}-{width}")
-        blocks = max(1, -(-asked.count() // block))
-        found = None
-        for b in range(blocks):
-            here = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas()
-            if len(here):
-                rows = self.codes.mapInArrow(search_batches(here.vec_id.to_numpy(np.int64), np.stack(here.vector.to_list()).astype(np.float64), k, self.dim, self.seed, width), schema)
-                found = rows if found is None else found.unionByName(rows)
-        if found is None:
-            found = self.codes.select(F.col("vec_id").alias("query_id"), "vec_id", F.col("norm").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        asked = self.codes.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id")
+        asked = self.ws.table(asked.groupBy("vec_id").agg(F.min(F.struct("vector", "row", "dim")).alias("x")).select("vec_id", "x.*"), f"queries-{k}-{width}")
+        held = self.codes.join(self.cells, "dim").select(F.xxhash64("dim", F.pmod(F.xxhash64("row", F.lit(3)), F.col("cells"))).alias("cell"), F.lit(0).alias("kind"), "row", "vec_id", "dim", "vector", "code", "scale")
+        sent = asked.join(self.cells, "dim").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+        sent = sent.select(F.xxhash64("dim", "c").alias("cell"), F.lit(1).alias("kind"), "row", "vec_id", "dim", "vector", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("scale"))
+        both = held.join(sent.select("cell").distinct(), "cell", "left_semi").unionByName(sent).repartition("cell").sortWithinPartitions("cell", "kind")
+        found = both.mapInArrow(search_batches(k, self.seed, width), "row long, vec_id long, score double")
+        order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return best.join(asked.select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

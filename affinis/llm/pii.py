@@ -96,14 +96,19 @@ def tokens(text: str, start: int, end: int) -> list[Token]:
     return [Token(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
 
 
+def is_digits(token: str) -> bool:
+    """0 to 9 alone; characters such as superscripts count as digits for str.isdigit too, but are none here."""
+    return token.isascii() and token.isdigit()
+
+
 def shape(token: str) -> str:
     low = token.lower()
-    return low if low in ("at", "dot") else "D" if token.isdigit() else "W" if token.isalpha() else token
+    return low if low in ("at", "dot") else "D" if is_digits(token) else "W" if token.isalpha() else token
 
 
 def allowed(kind: str, toks: list[Token]) -> bool:
     """What a span of the kind has to hold, whatever the features say."""
-    groups = [t.text for t in toks if t.text.isdigit()]
+    groups = [t.text for t in toks if is_digits(t.text)]
     words = any(t.text.isalpha() for t in toks)
     if kind == "email":
         s = [shape(t.text) for t in toks]
@@ -124,7 +129,7 @@ def allowed(kind: str, toks: list[Token]) -> bool:
 def segment_features(toks: list[Token], i: int, j: int) -> list[str]:
     """Features of tokens i to j as one span, whatever its kind."""
     part = toks[i:j]
-    groups = [str(len(t.text)) for t in part if t.text.isdigit()]
+    groups = [str(len(t.text)) for t in part if is_digits(t.text)]
     gaps = {"_" if b.start > a.end else "" for a, b in zip(part, part[1:], strict=False)}
     marks = {t.text for t in part if not t.text.isalnum()}
     digits = sum(map(int, groups))
@@ -135,7 +140,7 @@ def segment_features(toks: list[Token], i: int, j: int) -> list[str]:
         out.append("glued-left")
     if j < len(toks) and toks[j].start == part[-1].end and toks[j].text.isalnum():
         out.append("glued-right")
-    if len(groups) == 4 and all(len(t.text) <= 3 and int(t.text) <= 255 for t in part if t.text.isdigit()):
+    if len(groups) == 4 and all(len(t.text) <= 3 and int(t.text) <= 255 for t in part if is_digits(t.text)):
         out.append("octets")
     return out
 

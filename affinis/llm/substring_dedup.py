@@ -18,13 +18,13 @@ GRAM = 8
 PLACE_BITS = 30
 
 
-def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h, g, first, count) of each anchor of a text, given its words' hashes.
+def anchors(words: np.ndarray, others: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, g, first, count) of each anchor of a text, given its words' hashes of one family and of the other.
 
     A window's anchor is the run of ``gram`` words inside it with the least hash, the leftmost of equal ones.
     It depends on the window's words alone, so equal windows have equal anchors, wherever they stand. An
     anchor stands for ``count`` windows, from the one that starts at word ``first``; h is the hash of its words
-    and g that of all words which those windows cover.
+    and g that of all words which those windows cover, by the other family.
     """
     grams = gram_hashes(words, gram)
     places = np.arange(len(grams), dtype=U64)
@@ -34,7 +34,7 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     count = np.diff(first, append=len(at))
     up, down = WORDS.get(len(words) + 1)
     sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
+    np.cumsum(others * up[: len(words)], out=sums[1:])
     g = splitmix((sums[first + count + window - 1] - sums[first]) * down[first] + count.astype(U64))
     return grams[at[first]], g, first, count
 
@@ -47,11 +47,11 @@ def anchor_batches(window: int, gram: int):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(2)):
                 found = Words(data, offsets)
-                hashes, first = found.hashes(), found.first
+                hashes, others, first = found.hashes(), found.hashes(family=1), found.first
                 lists, lengths = [], np.zeros(j - i, np.int64)
                 for r in range(j - i):
                     if first[r + 1] - first[r] >= window:
-                        lists.append(anchors(hashes[first[r] : first[r + 1]], window, gram))
+                        lists.append(anchors(hashes[first[r] : first[r + 1]], others[first[r] : first[r + 1]], window, gram))
                         lengths[r] = len(lists[-1][0])
                 if lists:
                     h, g, at, count = (np.concatenate(x) for x in zip(*lists, strict=True))
@@ -75,7 +75,7 @@ def window_batches(window: int):
             h, first, count = (parts.values.field(c).to_numpy(zero_copy_only=False) for c in ("h", "first", "count"))
             for i, j, data, offsets in chunks(batch.column(2)):
                 found = Words(data, offsets)
-                hashes, at = found.hashes(), found.first
+                hashes, at = found.hashes(family=1), found.first
                 out = []
                 for r in range(j - i):
                     windows = gram_hashes(hashes[at[r] : at[r + 1]], window)
@@ -193,7 +193,7 @@ class FingerprintIndex:
 
         The batch's anchors are merge-joined with the runs. Occurrences of a repeated anchor whose windows all
         read alike are settled there. For the others the texts are read again and the windows compared by
-        hashes of all their words, beside that of their anchor: 128 bits in all. Of other batches only postings
+        hashes of all their words, of the second family, beside that of their anchor, of the first: 124 bits in all. Of other batches only postings
         and texts with such an anchor are looked at.
         """
         self.judged += 1
@@ -261,11 +261,11 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35) -
 
     A text without a repeated window is left exactly as it is, white space included.
     """
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others), F.col(text_col).alias("text_before")).alias("row"), F.col(text_col).alias("text"))
+    places = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, places, strict=True))).alias("row"), F.col(text_col).alias("text"))
     out = remove_repeats(rows, "row", "text", window)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text_before"))
-    return out.where("n_removed = 0 or n_removed < n_words").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    text = lambda p: F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"row.{p}"))
+    return out.where("n_removed = 0 or n_removed < n_words").select(*(text(p).alias(c) if c == text_col else F.col(f"row.{p}").alias(c) for c, p in zip(docs.columns, places, strict=True)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Words of UTF-8 texts and their hashes, for whole Arrow batches at a time.
 
 A word is a maximal run of characters other than the six ASCII white-space characters, and those are single
-bytes in UTF-8, so words are found in the bytes. Hashes are polynomial over the bytes modulo 2**64, read off
-prefix sums, and mixed at the end; they depend on the words alone and are the same on every machine.
+bytes in UTF-8, so words are found in the bytes. A word's hash is that of two polynomials over its bytes, modulo two
+primes below 2**31, read off prefix sums and mixed at the end; it depends on the word alone and is the same on every
+machine. (Modulo a power of two, long words can be made whose sums agree whatever the base.) There are two families of
+such hashes, with other bases, for what has to be verified.
 """
 
 from __future__ import annotations
@@ -40,11 +42,15 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Odd bases of the polynomials over bytes and over words.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Odd base of the polynomials over words; primes, and bases of each family, of those over bytes.
+WORD_BASE = 0xD1342543DE82EF95
+PRIMES = (2147483647, 2147483629)
+FAMILIES = ((1103515245, 1812433253), (1566083941, 1664525013))
+#: Bytes over which prefix sums of products below 2**40 stay below 2**63.
+SUMMED = 1 << 22
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BYTE_VALUES = splitmix(np.arange(1, 257, dtype=U64))
+BYTE_VALUES = np.arange(1, 257, dtype=U64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -65,14 +71,31 @@ class Powers:
             self.n, self.up, self.down = size, up, down
         return self.up[:n], self.down[:n]
 
-    @staticmethod
-    def _table(base: int, n: int) -> np.ndarray:
+    def _table(self, base: int, n: int) -> np.ndarray:
         out = np.full(n, base, U64)
         out[0] = 1
         return np.multiply.accumulate(out)
 
 
-BYTES, WORDS = Powers(BYTE_BASE), Powers(WORD_BASE)
+class PrimePowers(Powers):
+    """The same modulo a prime below 2**31."""
+
+    def __init__(self, base: int, prime: int):
+        self.prime = prime
+        super().__init__(base)
+        self.inverse = pow(base, -1, prime)
+
+    def _table(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, U64)
+        size = 1
+        while size < n:
+            out[size : 2 * size] = out[: min(size, n - size)] * U64(pow(base, size, self.prime)) % U64(self.prime)
+            size *= 2
+        return out
+
+
+BYTES = [[PrimePowers(b, p) for b, p in zip(bases, PRIMES, strict=True)] for bases in FAMILIES]
+WORDS = Powers(WORD_BASE)
 
 
 class Words:
@@ -95,14 +118,21 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops)
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, family: int = 0) -> np.ndarray:
         n = len(self.data)
-        up, down = BYTES.get(n + 1)
         values = (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[self.data]
-        values *= up[:n]
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(values, out=sums[1:])
-        return splitmix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        out = np.zeros(len(self.starts), U64)
+        for powers in BYTES[family]:
+            p = U64(powers.prime)
+            up, down = powers.get(n + 1)
+            products, sums = values * up[:n], np.zeros(n + 1, U64)
+            if n <= SUMMED:
+                np.cumsum(products, out=sums[1:])
+            else:
+                products %= p
+                np.cumsum(products, out=sums[1:])
+            out = out << U64(31) | (sums[self.ends] - sums[self.starts]) % p * down[self.starts] % p
+        return splitmix(out)
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()

@@ -192,3 +192,47 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.node: r.label for r in connected_components(Workspace(spark, "cc"), spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 300: 300, 301: 300}
+
+
+def opposite_words() -> tuple[str, str]:
+    """Two words of 1,024 bytes whose polynomials modulo 2**64 agree for every odd base."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    import pyarrow as pa
+
+    from affinis.llm import quality
+
+    a, b = opposite_words()
+    (_, _, data, offsets), = chunks(pa.array([f"{a} {b}"]))
+    for family in (0, 1):
+        h = Words(data, offsets).hashes(family=family)
+        assert h[0] != h[1]
+    common = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{common} {a}"), (2, f"{common} {b}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0]
+    pair = spark.createDataFrame([(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y")], "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.near_duplicates(pair, words=2).collect())
+    (_, _, data, offsets), = chunks(pa.array([f"p q r s {a} x y p q r s {b}"]))
+    assert quality.statistics(data, offsets)[0, 4] == 0
+
+
+def test_families_are_independent_and_long_texts_agree():
+    rng = np.random.default_rng(6)
+    text = b" ".join(bytes(rng.integers(97, 123, rng.integers(1, 12), dtype=np.uint8)) for _ in range(1000)) + b" "
+    one = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    times = (5 << 20) // len(text) + 1
+    many = Words(np.frombuffer(text * times, np.uint8), np.array([0, len(text) * times]))
+    for family in (0, 1):
+        assert (many.hashes(family=family) == np.tile(one.hashes(family=family), times)).all()
+    assert not (one.hashes() == one.hashes(family=1)).any()
+
+
+def test_without_repeats_with_clashing_columns(spark):
+    common = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"a {common}", "x", 7), (2, f"{common}  b", "y", 8), (3, "c  c", "z", 9)], "doc_id long, text string, text_before string, c1 long").withColumns({"row": F.lit(1), "n_removed": F.lit("q"), "a.b": F.lit(2)})
+    out = substring_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.text_before, r.c1) for r in out.collect()) == [(1, "a", "x", 7), (2, "b", "y", 8), (3, "c  c", "z", 9)]

@@ -94,7 +94,7 @@ def test_nearest(spark):
     odd = [(5000, None), (5050, [0.0] * 48), (5100, [float("nan")] * 48), (5150, [None] * 48), (5200, [float("inf")] * 48), (5250, [1.0]), (None, rows[0][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"vector": F.lit("x"), "norm": F.lit(1)})
     got: dict = {}
-    for r in ann.OneBitIndex(df).search(df.where("vec_id % 50 = 0"), block=10).collect():
+    for r in ann.OneBitIndex(df).search(df.where("vec_id % 50 = 0")).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     want = exact_nearest(list(range(1500)), x.astype(float), range(0, 1500, 50), 5)
     assert got.keys() == want.keys() and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
@@ -106,6 +106,53 @@ def test_nearest(spark):
     assert few.search(df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("bytes_", [1 << 26, 1 << 14])
+def test_nearest_over_lengths_and_repeated_ids(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(ann, "CELL_BYTES", bytes_)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=9).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=2).tolist()) for i in range(101)] + [(2000, [1.0] * 4)]
+    rows += [(100, rng.normal(size=9).tolist()), (100, rng.normal(size=9).tolist()), (150, rows[150][1]), (50, [1.0, 2.0]), (3000, [1e200] * 9), (3001, [2e200] * 9), (3050, [1e-200] * 9)]
+    want = {}
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        x = min(v for i, v in rows if i == q)
+        own = next(k for k, r in enumerate(rows) if r == (q, x))
+        a = np.array(x) / max(map(abs, x))
+        others = [(-float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)), i) for k, (i, v) in enumerate(rows) if k != own and len(v) == len(x) for b in [np.array(v) / max(map(abs, v))]]
+        if others:
+            want[q] = [(i, round(-s, 9)) for s, i in sorted((round(s, 12), i) for s, i in others)[:5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit("x"), "dim": F.lit(1), "cell": F.lit(2)})
+    got: dict = {}
+    for r in ann.OneBitIndex(df).search(df.where("vec_id % 50 = 0"), width=9.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert got == want and 2000 not in got and {len(v) for v in got.values()} == {5}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_nearest_recall_on_the_table(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x = np.stack(table.embedding.to_list()).astype(float)
+    ids = table.vec_id.to_list()
+    want = exact_nearest(ids, x, [k for k, i in enumerate(ids) if i % 50 == 0], 5)
+    got: dict = {}
+    for r in ann.op3_nearest(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys() and sum(len(set(want[q]) & got[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_estimates_from_packed_bits_spare_reranking():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 256))
+    x[:50] += 3 * x[50]
+    turn = ann.rotation(256, 11)
+    turned = x / np.linalg.norm(x, axis=1)[:, None] @ turn
+    cell = ann.Cell(np.arange(2000), np.arange(2000), x, np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / 16, 3.0)
+    for q in range(50, 60):
+        ids, scores = cell.nearest(x[q], turn, q, 5)
+        exact = (x @ x[q]) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+        assert np.allclose(scores, exact[ids]) and q not in ids
+    assert cell.reranked < 0.8 * 10 * 2000
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (3, "http://b\r\n", None), (4, "u", ""), (5, "u", "é\r\n\r\n" * 10), (None, "z", "x"), (9, "v", "big" * 1000), (9, "v", "big" * 1000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload_key": F.lit("k"), "file": F.lit(1)})
@@ -275,3 +322,10 @@ def test_secrets_of_known_forms(spark, forest):
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
     said = {r.doc_id for r in secrets.scan(df, forest).where("is_secret").collect()}
     assert said == {k for k, (_, want) in enumerate(texts) if want}
+
+
+@pytest.mark.parametrize("text", ["serial 411111111111\u00b2 ok", "\u2460\u2461 call \u0663\u0663 555-123-4567 x\u00b2", "10.0.0.\u00b9 4111-1111-1111-1111\u00b3", "bob [at] mail\u00b2 [dot] com 0\u0661 12 34 567 8"])
+def test_digits_that_are_not_ascii(text):
+    base = pii.base_spans(text)
+    added = pii.added_spans(text, base, pii.trained())
+    assert all(text[a:b].isascii() for a, b, kind in [*base, *added] if kind != "email")
