@@ -127,10 +127,11 @@ class VantageTree:
         squares, slack = float((q.astype(np.float64) ** 2).sum()), SLACK * math.sqrt(self.bound) + 1e-9
         far = lambda score: math.sqrt(max(squares + self.bound - 2.0 * score, 0.0))  # noqa: E731  the distance of that score
         q = q.astype(np.float64) if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.v).max(initial=0)) * max(len(q), 1) < 2**53 else q
-        rows = self.v if q.dtype == np.float64 else self.v.astype(np.int64)
+        rows = self.v if q.dtype == self.v.dtype else self.v.astype(np.int64)
         to_vantage = np.sqrt(np.maximum(squares + self.bound - 2.0 * (self.vantages @ q.astype(np.float64)), 0))
         found: list[list[tuple[int, int]]] = [[] for _ in windows]
-        inner, outer = [far(high) - slack for _, high in windows], [far(low) + slack for low, _ in windows]
+        inner, outer = [far(high) - slack for _, high in windows], [far(low) + slack if low <= high else -math.inf for low, high in windows]
+        floor, ceiling = [low if low <= high else math.inf for low, high in windows], max((high for _, high in windows), default=0)
         queue = [(0.0, 0, math.inf)]
         while queue:
             low, n, high = heapq.heappop(queue)
@@ -144,10 +145,15 @@ class VantageTree:
                 heapq.heappush(queue, (max(low, d - l1, l0 - d), left, min(high, d + l1)))
                 heapq.heappush(queue, (max(low, d - r1, r0 - d), right, min(high, d + r1)))
                 continue
-            kept = np.flatnonzero(((self.label[a:b] == label) == same) & (self.row[a:b] != row)) + a
-            scores = (rows[kept] @ q).astype(np.int64)
-            rank = np.lexsort((self.id[kept], -scores))
-            scores, ids = scores[rank], self.id[kept][rank]
+            # What no window can take, being outside of all or behind what they have, goes before labels are looked at.
+            scores = rows[a:b] @ q
+            at = np.flatnonzero((scores >= min(floor)) & (scores <= ceiling))
+            at = at[((self.label[a + at] == label) == same) & (self.row[a + at] != row)] if len(at) else at
+            if not len(at):
+                continue
+            scores, ids = scores[at].astype(np.int64), self.id[a + at]
+            rank = np.lexsort((ids, -scores))
+            scores, ids = scores[rank], ids[rank]
             falling = -scores
             for w, (least, most) in enumerate(windows):
                 i = int(np.searchsorted(falling, -most))
@@ -155,7 +161,8 @@ class VantageTree:
                 if j > i:
                     found[w] = heapq.nsmallest(k, found[w] + [(-s, x) for s, x in zip(scores[i:j].tolist(), ids[i:j].tolist(), strict=True)])
                     if len(found[w]) == k:
-                        outer[w] = min(outer[w], far(-found[w][-1][0]) + slack)
+                        floor[w] = -found[w][-1][0]
+                        outer[w] = min(outer[w], far(floor[w]) + slack)
         return [[(-s, x) for s, x in f] for f in found]
 
 
@@ -167,13 +174,12 @@ def score_windows(scores: list[int], low: int, high: int) -> list[tuple[int, int
 def search_batches(bound: float, same: bool, k: int, low: int, high: int):
     """mapInArrow function: rows of cells, each cell's indexed ones (kind 0) before its queries (kind 1), to (row, slot, id, score).
 
-    A tree is built when a cell's first query comes, and the queries of that cell run through it.
+    A query has the scores of its positives or, if the same label is wanted, the least score of use, if there is one. A tree is built when a cell's first query comes, and the queries of that cell run through it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("hard-negatives")
         cell, held, tree = None, [], None
-        anything = [(-(2**62), 2**62)]
         for batch in batches:
             cells, kind, row, ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(cells)]
@@ -192,7 +198,7 @@ def search_batches(bound: float, same: bool, k: int, low: int, high: int):
                     tree, held = VantageTree(*(np.concatenate(x) for x in zip(*held, strict=True)), bound), []
                 out: list[tuple[int, int, int, int]] = []
                 for i, scores in zip(range(a, b), batch.column(6).slice(a, b - a).to_pylist(), strict=True):
-                    windows = anything if same else score_windows(scores, low, high)
+                    windows = [(scores[0] if scores else -(2**62), 2**62)] if same else score_windows(scores, low, high)
                     for slot, best in enumerate(tree.search(v[i - a], int(row[i]), int(label[i]), same, windows, k)):
                         out += [(int(row[i]), slot, x, s) for s, x in best]
                 if out:
@@ -327,7 +333,7 @@ def hard_negatives(rows: DataFrame, anchors: str, positives: int = 5, negatives:
     home = asked.select("row", "place")
     near = forest.search(asked.drop("place"), home, True, positives)
     reach = first(near, positives).where(F.col("rank") == positives).select("row", F.col("score").alias("reach"))
-    further = asked.drop("reach", "place").join(reach, "row", "left")
+    further = asked.drop("reach", "place", "scores").join(reach, "row", "left").withColumn("scores", F.when(F.col("reach").isNotNull(), F.array("reach")))
     others = forest.routes(further, True).join(home, ["row", "place"], "left_anti")
     near = near.unionByName(forest.search(further, others, True, positives))
     chosen = ws.table(first(near, positives).select("row", (F.col("rank") - 1).alias("slot"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
