@@ -80,6 +80,10 @@ FILE_ROUTES = [
 ]
 EXPORTED = r"\bexport\s+(?:(?:async\s+)?function\s+|const\s+)(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b"
 SUFFIX = r"(?i)\.(get|post|put|delete|patch|head|options)$"
+# How a route's placeholder is written in a file's name, and a verb before a path; names of generated files.
+PLACEHOLDER = r"^@?\[+(?:\.\.\.)?[^\]]+\]+$"
+VERB_FIRST = r"^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/\S*)$"
+GENERATED_NAME = r"(?i)\.(?:min|bundle)\.(?:[cm]?js|[cm]?ts|jsx|tsx|mjs|cjs)$"
 
 
 def is_test_file(path: Column) -> Column:
@@ -91,13 +95,13 @@ def is_test_scope(path: Column) -> Column:
 
 
 def is_generated(path: Column, text: Column, longest: int = 4000) -> Column:
-    """Minified or bundled by name, or with a line of ``longest`` characters or more."""
-    return path.rlike(r"\.(min|bundle)\.") | F.exists(F.split(text, "\n"), lambda line: F.length(line) >= longest)
+    """Minified or bundled by the end of its name, in any case, or with a line of ``longest`` characters or more."""
+    return path.rlike(GENERATED_NAME) | F.exists(F.split(text, "\n"), lambda line: F.length(line) >= longest)
 
 
 def in_scope(path: Column, scope: str) -> Column:
-    """Equal to the scope or below it as a folder."""
-    scope = scope.rstrip("/")
+    """Equal to the scope or below it as a folder; a scope may begin with @ or ./ and end with a slash."""
+    scope = scope.removeprefix("@").removeprefix("./").removesuffix("/")
     return (path == scope) | path.startswith(scope + "/")
 
 
@@ -112,10 +116,33 @@ def folder2(path: Column) -> Column:
     return F.when(n == 1, "(root)").when(n == 2, F.concat(parts[0], F.lit("/"))).otherwise(F.concat(parts[0], F.lit("/"), parts[1], F.lit("/")))
 
 
+def slashed(path: Column) -> Column:
+    """The path with slashes alone."""
+    return F.translate(path, "\\", "/")
+
+
+def resolved_parts(path: Column, absolute: Column) -> Column:
+    """Segments without empty ones and ``.``; ``..`` takes the one before away, and stays where a relative path has none."""
+    up = lambda acc: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(absolute, acc).otherwise(F.array_append(acc, F.lit("..")))
+    step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", up(acc)).otherwise(F.array_append(acc, s))
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+
+
 def resolve(path: Column) -> Column:
-    """A POSIX path without empty, . and .. segments."""
-    step = lambda acc, s: F.when(s.isin("", "."), acc).when((s == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    """A relative path without empty, . and needless .. segments; what leads out of it stays as leading ``..``."""
+    return F.array_join(resolved_parts(path, F.lit(False)), "/")
+
+
+def resolve_in(root: Column, path: Column) -> Column:
+    """The path seen from root, with slashes of either kind, drives and shares; an absolute one is itself."""
+    plain = slashed(path)
+    whole = F.when(plain.rlike("^(?:/|[A-Za-z]:/)"), plain).otherwise(F.concat(slashed(root), F.lit("/"), plain))
+    drive = F.regexp_extract(whole, "^[A-Za-z]:", 0)
+    share = (drive == "") & whole.startswith("//")
+    absolute = (drive != "") | whole.startswith("/")
+    head = F.when(drive != "", F.concat(drive, F.lit("/"))).when(share, F.lit("//")).when(absolute, F.lit("/")).otherwise(F.lit(""))
+    body = F.substring(whole, F.length(drive) + 1, F.length(whole))
+    return F.concat(head, F.array_join(resolved_parts(body, absolute), "/"))
 
 
 def join_route(prefix: Column, child: Column) -> Column:
@@ -127,23 +154,23 @@ def join_route(prefix: Column, child: Column) -> Column:
 def file_route(path: Column) -> Column:
     """Route of a file by convention: no groups in brackets, no index, [x], [...x], [[...x]] and @[x] as a placeholder."""
     parts = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^\(.+\)$") & (s != "index"))
-    return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(s.rlike(r"^@?\[+(?:\.\.\.)?[^\]]+\]+$"), F.lit("{*}")).otherwise(s)), "/"))
+    return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(s.rlike(PLACEHOLDER), F.lit("{*}")).otherwise(s)), "/"))
 
 
 def git_relative(path: Column, prefix: str) -> Column:
     """A path that git tells, relative to a folder of the checkout; null outside of it."""
-    path = F.regexp_replace(path, r"\\\\", "/")
+    path = slashed(path)
     return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20)) if prefix else path
 
 
 def within(path: Column, root: str) -> Column:
-    """The path relative to an absolute root, null if it lies outside; drives and UNC shares count as roots."""
-    plain = lambda c: F.regexp_replace(c, r"\\\\", "/")
-    base = root.replace("\\", "/").rstrip("/")
-    absolute = plain(path).rlike(r"^(?:/|[A-Za-z]:/|//)")
-    inner = F.when(absolute, F.when(F.lower(plain(path)).startswith(base.lower() + "/") if base[1:2] == ":" else plain(path).startswith(base + "/"), F.substring(plain(path), len(base) + 2, 1 << 20))).otherwise(plain(path))
-    depth = F.aggregate(F.split(inner, "/"), F.lit(0), lambda n, s: F.when(n < 0, n).when(s == "..", n - 1).when(s.isin("", "."), n).otherwise(n + 1))
-    return F.when(depth >= 0, resolve(inner))
+    """The path relative to a root, null if it lies outside or is the root; below drives and shares in any case."""
+    base = resolve_in(F.lit(root), F.lit("."))
+    whole = resolve_in(F.lit(root), path)
+    plain = lambda c: F.when(base.rlike("^(?:[A-Za-z]:/|//)"), F.lower(c)).otherwise(c)
+    below = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
+    inner = F.regexp_replace(F.substring(whole, F.length(base) + 1, F.length(whole)), "^/+", "")
+    return F.when(plain(whole).startswith(plain(below)), F.nullif(inner, F.lit("")))
 
 
 def unquote(text: Column) -> Column:
@@ -158,5 +185,5 @@ def verb(method: Column) -> Column:
 
 def verb_in_path(text: Column) -> Column:
     """(verb, path) of a text such as "GET /x"; verb is null without one."""
-    v = F.regexp_extract(text, r"^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/\S*)$", 1)
+    v = F.regexp_extract(text, VERB_FIRST, 1)
     return F.struct(F.nullif(v, F.lit("")).alias("verb"), F.when(v == "", text).otherwise(F.regexp_extract(text, r"^\S+\s+(/.*)$", 1)).alias("path"))

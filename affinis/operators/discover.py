@@ -12,8 +12,12 @@ SITES, FILES, RATE = 4, 2, 0.55
 
 
 def histogram(sites: DataFrame) -> DataFrame:
-    """(key, n, path_n, files, rate) over sites (key, file, is_path); rate is the posterior of path_n in n."""
-    out = sites.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("is_path").cast("long")).alias("path_n"), F.count_distinct("file").alias("files"))
+    """(key, n, path_n, files, rate) over sites (key, file, is_path); rate is the posterior of path_n in n.
+
+    Sites that have their lang, shape, callee and arg keep them.
+    """
+    told = [c for c in ("lang", "shape", "callee", "arg") if c in sites.columns]
+    out = sites.groupBy("key", *told).agg(F.count("*").alias("n"), F.sum(F.col("is_path").cast("long")).alias("path_n"), F.count_distinct("file").alias("files"))
     return out.withColumn("rate", posterior(F.col("path_n"), F.col("n")))
 
 

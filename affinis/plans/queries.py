@@ -350,11 +350,19 @@ def anchor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.anchor_edges(s).groupBy("src").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("w"))
 
 
-@query("""
-SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) >= 4000 AS generated, len(string_split(text, chr(10))) AS lines, ceil(length(text) / 4)::BIGINT AS tokens FROM documents""")
+NAMES = [".min.js", ".MIN.JS", ".min.go", ".bundle.ts", ".bundle.d/y.py", "min.js", ".txt"]
+
+
+@query(f"""
+WITH f AS (SELECT *, source || '/' || lang || {NAMES}[doc_id % 7 + 1] AS file FROM documents)
+SELECT doc_id, file, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) >= 4000
+ OR list_has_any([split_part(reverse(split_part(reverse(lower(file)), '/', 1)), '.', -2)], ['min', 'bundle']) AND split_part(lower(file), '.', -1) IN ('js', 'cjs', 'mjs', 'ts', 'cts', 'mts', 'jsx', 'tsx') AS generated,
+ len(string_split(text, chr(10))) AS lines, ceil(length(text) / 4)::BIGINT AS tokens FROM f""")
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", P.is_generated(F.lit("a.txt"), text).alias("generated"), F.size(F.split(text, "\n")).cast("long").alias("lines"), S.token_estimate(text).cast("long").alias("tokens"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").withColumn("file", F.concat("source", F.lit("/"), "lang", name))
+    return rows.select("doc_id", "file", P.is_generated(F.col("file"), text).alias("generated"), F.size(F.split(text, "\n")).cast("long").alias("lines"), S.token_estimate(text).cast("long").alias("tokens"))
 
 
 @query("""
@@ -461,8 +469,13 @@ def route_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PATHS_SQL},
-f AS (SELECT page_id, ['src/' || path || '.ts', 'tests/' || path || '.py', 'node_modules/' || path || '.js', path || '/Cargo.lock', path || '.pyc', 'app/' || path || '/page.mdx', path || '/x_test.go', path || '.RS'][page_id % 8 + 1] AS file, page_id % 8 AS k FROM p)
-SELECT page_id, file, k IN (2, 3) AS junk, k IN (0, 1, 2, 5, 6, 7) AS supported, k IN (1, 6) OR regexp_matches(lower(file), '(^|/)(tests?|__tests__|fixtures?)/') AS test, ['ts', 'py', 'ts', 'lock', 'pyc', 'mdx', 'go', 'rs'][k + 1] AS family FROM f""")
+f AS (SELECT page_id, ['src/' || path || '.ts', 'tests/' || path || '.py', 'node_modules/' || path || '.js', path || '/Cargo.lock', path || '.pyc', 'app/' || path || '/page.mdx', path || '/x_test.go', path || '.RS'][page_id % 8 + 1] AS file, page_id % 8 AS k FROM p),
+e AS (SELECT *, string_split(file, '/') AS parts, lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)) AS ends FROM f)
+SELECT page_id, file, list_has_any(parts, {P.JUNK_DIRS}) OR lower(parts[-1]) IN {tuple(P.JUNK_NAMES)} OR ends_with(lower(parts[-1]), '.lock') AS junk,
+ (ends IN {tuple([*P.LANGUAGES, *P.CONFIG])} AND ends NOT IN {tuple(P.BINARY)}) OR regexp_matches(file, '(^|/)app/(.+/)?page\\.(tsx|jsx|mdx)$|(^|/)src/routes/(.+/)?\\+page\\.(svelte|md)$') AS supported,
+ list_has_any(list_transform(parts[:-2], lambda x: lower(x)), ['test', 'tests', '__tests__', 'fixture', 'fixtures']) OR lower(parts[-1]) IN ('test', 'tests', '__tests__', 'fixture', 'fixtures') OR starts_with(parts[-1], 'test_') OR starts_with(parts[-1], 'conftest')
+ OR regexp_matches(parts[-1], '\\.(test|spec)\\.[tj]sx?$') OR ends_with(parts[-1], '_test.go') AS test,
+ CASE WHEN ends IN {tuple(P.FAMILIES["ts"])} THEN 'ts' ELSE ends END AS family FROM e""")
 def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     made = [F.concat(F.lit(a), path, F.lit(b)) for a, b in (("src/", ".ts"), ("tests/", ".py"), ("node_modules/", ".js"), ("", "/Cargo.lock"), ("", ".pyc"), ("app/", "/page.mdx"), ("", "/x_test.go"), ("", ".RS"))]
@@ -483,12 +496,31 @@ def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_routes(tree).select("file", "kind", "verb", "route")
 
 
-@query(f"""WITH {PATHS_SQL}
-SELECT page_id, 'a/' || path AS resolved, CASE WHEN page_id % 2 = 0 THEN path END AS inner_path, starts_with('docs/' || path, 'docs/b') AND (length('docs/' || path) = 6 OR substr('docs/' || path, 7, 1) = '/') AS in_scope FROM p WHERE path <> '' AND NOT contains(path, '//') AND NOT ends_with(path, '/')""")
+def fold_sql(path: str, absolute: bool) -> str:
+    """DuckDB SQL for the segments of a path, with . and .. worked off one after the other."""
+    above = "acc" if absolute else "list_append(acc, '..')"
+    step = f"CASE WHEN s[1] IN ('', '.') THEN acc WHEN s[1] <> '..' THEN list_append(acc, s[1]) WHEN len(acc) > 0 AND acc[-1] <> '..' THEN acc[:-2] ELSE {above} END"
+    return f"array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda acc, s: {step}, []::VARCHAR[]), '/')"
+
+
+@query(f"""WITH {PATHS_SQL},
+q AS (SELECT page_id, path, ['./a/x/../' || path, path || '/../../../b', '../' || path, 'a//./' || path || '/..'][page_id % 4 + 1] AS loose,
+ ['C:\\Repo\\' || replace(path, '/', '\\'), 'c:/repo/x/../' || path, '..\\out\\' || path, 'D:\\repo\\' || path, path, '.\\' || path, '/repo/' || path][page_id % 7 + 1] AS told,
+ ['sub\\', 'sub/', 'other/'][page_id % 3 + 1] || replace(path, '/', '\\') AS git FROM p),
+w AS (SELECT *, replace(told, '\\', '/') AS t, replace(git, '\\', '/') AS g FROM q),
+r AS (SELECT *, CASE WHEN regexp_matches(t, '^[A-Za-z]:/') THEN substr(t, 1, 3) || {fold_sql("substr(t, 3)", True)} WHEN starts_with(t, '/') THEN CASE WHEN starts_with(t, '//') THEN '//' ELSE '/' END || {fold_sql("t", True)} ELSE 'C:/repo/' || {fold_sql("t", True)} END AS one,
+ 'C:/' || {fold_sql("'repo/' || t", True)} AS below FROM w),
+s AS (SELECT *, CASE WHEN regexp_matches(t, '^([A-Za-z]:)?/') THEN one ELSE below END AS whole FROM r)
+SELECT page_id, {fold_sql("loose", False)} AS resolved, CASE WHEN starts_with(g, 'sub/') THEN substr(g, 5) END AS inner_path, CASE WHEN starts_with(lower(whole), 'c:/repo/') THEN substr(whole, 9) END AS relative,
+ starts_with('docs/' || path, 'docs/b') AND (length('docs/' || path) = 6 OR substr('docs/' || path, 7, 1) = '/') AS in_scope FROM s""")
 def path_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_paths(spark, sf_dir).where("path <> '' and not contains(path, '//') and not endswith(path, '/')")
-    told = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("sub/"), "path")).otherwise(F.concat(F.lit("other/"), "path"))
-    return rows.select("page_id", P.resolve(F.concat(F.lit("./a/x/../"), "path")).alias("resolved"), P.git_relative(told, "sub/").alias("inner_path"), P.in_scope(F.concat(F.lit("docs/"), "path"), "docs/b/").alias("in_scope"))
+    path, back = F.col("path"), F.translate("path", "/", "\\")
+    pick = lambda *x: F.element_at(F.array(*(F.concat(*(F.lit(y) if isinstance(y, str) else y for y in parts)) for parts in x)), (F.col("page_id") % len(x) + 1).cast("int"))
+    loose = pick(("./a/x/../", path), (path, "/../../../b"), ("../", path), ("a//./", path, "/.."))
+    told = pick(("C:\\Repo\\", back), ("c:/repo/x/../", path), ("..\\out\\", path), ("D:\\repo\\", path), (path,), (".\\", path), ("/repo/", path))
+    git = pick(("sub\\", back), ("sub/", back), ("other/", back))
+    rows = page_paths(spark, sf_dir)
+    return rows.select("page_id", P.resolve(loose).alias("resolved"), P.git_relative(git, "sub/").alias("inner_path"), P.within(told, "C:\\repo\\x\\..").alias("relative"), P.in_scope(F.concat(F.lit("docs/"), path), "@docs/b/").alias("in_scope"))
 
 
 @query(f"""

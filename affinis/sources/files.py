@@ -153,10 +153,10 @@ def pattern_facts(files: DataFrame) -> DataFrame:
     return rows.select("file", "x.fact", "line", "x.name", "x.kind", F.left(F.trim("text"), F.lit(140)).alias("sig"))
 
 
-def file_routes(files: DataFrame) -> DataFrame:
+def file_routes(files: DataFrame, routes: list[P.FileRoute] | None = None) -> DataFrame:
     """(file, rule, kind, verb, route) of files (file, text) that are routes by convention; ANY without a verb of their own."""
     found = []
-    for r in P.FILE_ROUTES:
+    for r in P.FILE_ROUTES if routes is None else routes:
         stem = F.coalesce(F.regexp_extract("file", r.pattern, 1), F.lit(""))
         suffix = F.upper(F.regexp_extract(stem, P.SUFFIX, 1))
         verbs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(P.EXPORTED), 1) if r.exported else F.when(suffix != "", F.array(suffix)).otherwise(F.array().cast("array<string>"))

@@ -6,15 +6,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.functions import paths as P
+
 #: How many mutations are kept and for how long.
 KEPT, DAYS = 2048, 7
 
 
-def journal(mutations: DataFrame, now_ms: int, most: int = KEPT, days: int = DAYS) -> DataFrame:
+def journal(mutations: DataFrame, now_ms: int, most: int = KEPT, days: int = DAYS, root: str | None = None) -> DataFrame:
     """Mutations (file, before_sha, after_sha, owner, tool_call_id, commit_order, at) worth keeping, numbered in order.
 
-    Those that change nothing or are too old go; the last ``most`` stay, by time, owner, commit order and call.
+    Those that change nothing or are too old go; the last ``most`` stay, by time, owner, commit order and call. With
+    ``root`` files are paths as tools tell them: they are told relative to it, and those outside of it go.
     """
+    if root is not None:
+        mutations = mutations.withColumn("file", P.within(F.col("file"), root)).where("file is not null")
     rows = mutations.where(~F.col("before_sha").eqNullSafe(F.col("after_sha")) & (F.col("at") >= now_ms - days * 86_400_000))
     back = [F.desc("at"), F.desc("owner"), F.asc_nulls_first(-F.col("commit_order")), F.desc("tool_call_id")]
     rows = rows.orderBy(*back).limit(most)
