@@ -87,15 +87,20 @@ def scanned(rows: DataFrame) -> DataFrame:
     return rows if "args" in rows.columns else structure.calls(rows)
 
 
-def call_signatures(rows: DataFrame) -> DataFrame:
-    """(key, lang, shape, callee, arg, file, is_path) of each quoted argument of a call, for ``discover.histogram``.
+def quoted(rows: DataFrame) -> DataFrame:
+    """(key, lang, shape, callee, arg, file, line, content, is_path) of each quoted argument of a call in calls or sources.
 
-    rows are calls or sources; a call is decorated (dec), has a receiver (recv) or neither (bare).
+    A call is decorated (dec), has a receiver (recv) or neither (bare).
     """
     shape = F.when(F.col("decorated"), "dec").when(F.col("receiver").isNotNull(), "recv").otherwise("bare")
-    each = scanned(rows).where("form = 'call'").where(~F.col("callee").isin(DENIED)).select("file", "lang", shape.alias("shape"), "callee", F.posexplode("args").alias("arg", "x")).where("x.content <> ''")
+    each = scanned(rows).where("form = 'call'").where(~F.col("callee").isin(DENIED)).select("file", "line", "lang", shape.alias("shape"), "callee", F.posexplode("args").alias("arg", "x")).where("x.content <> ''")
     key = F.concat_ws("|", "lang", "shape", "callee", F.col("arg").cast("string"))
-    return each.select(key.alias("key"), "lang", "shape", "callee", "arg", "file", F.coalesce(L.classify(F.col("x.content")) == "path", F.lit(False)).alias("is_path"))
+    return each.select(key.alias("key"), "lang", "shape", "callee", "arg", "file", "line", F.col("x.content").alias("content"), F.coalesce(L.classify(F.col("x.content")) == "path", F.lit(False)).alias("is_path"))
+
+
+def call_signatures(rows: DataFrame) -> DataFrame:
+    """(key, lang, shape, callee, arg, file, is_path) of ``quoted``, for ``discover.histogram``."""
+    return quoted(rows).drop("line", "content")
 
 
 def covered(signatures: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -205,6 +210,12 @@ def discovered(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     return _told(found.select("file", "line", "rule", F.lit(0).alias("rank"), F.col("callee").alias("method"), none.alias("given"), F.get("args", F.col("arg"))["text"].alias("path"), none.alias("prefix"), F.lit(False).alias("mount")))
 
 
+def signed(rows: DataFrame) -> DataFrame:
+    """(file, line, rule, verb, route) of quoted arguments (file, line, rule, callee, sig) that promoted signatures make routes."""
+    none = F.lit(None).cast("string")
+    return _told(rows.select("file", "line", "rule", F.lit(0).alias("rank"), F.col("callee").alias("method"), none.alias("given"), F.col("sig").alias("path"), none.alias("prefix"), F.lit(False).alias("mount")))
+
+
 def collapse(sites: DataFrame) -> DataFrame:
     """(label, file, line, sites, files, implicit) over (label, file, line, implicit): one anchor at its first site.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,10 @@ from affinis.functions import identifiers as I
 from affinis.functions import literals as L
 from affinis.functions import paths as P
 from affinis.functions import scores as S
-from affinis.operators import anchors, basins, bridge, cochange, discover, facts, graph, heat, imports, resolve, reveal, seeds
+from affinis.keeping import shared_folder
+from affinis.operators import anchors, basins, bridge, cochange, discover, facts, graph, heat, imports, order, resolve, reveal, seeds
 from affinis.sources import files
+from affinis.sources.store import FactStore
 from affinis.streaming import baseline, provenance, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,14 +116,14 @@ def weighted_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem WHERE l_quantity >= 45),
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem),
  b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
- r AS (SELECT min(l_suppkey) AS node, 0 AS hop FROM lineitem UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON b.src = r.node WHERE r.hop < 3)
+ r AS (SELECT min(l_suppkey) AS node, 0 AS hop FROM lineitem UNION SELECT b.dst, r.hop + 1 FROM r JOIN b ON b.src = r.node WHERE r.hop < 8)
 SELECT node, min(hop) AS hop FROM r GROUP BY node""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    edges = items.where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst")).distinct()
-    return graph.hops(edges, items.agg(F.min("l_suppkey").alias("node")), 3)
+    edges = items.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst"))
+    return graph.hops(edges, items.agg(F.min("l_suppkey").alias("node")))
 
 
 HREFS_SQL = """
@@ -378,10 +381,12 @@ def snapshot_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.drift(before, after.unionByName(more), "doc_id")
 
 
-@query("SELECT lang, left(sha1(string_agg(doc_id || ':' || sha1(text), chr(10) ORDER BY doc_id || ':' || sha1(text))), 12) AS version FROM documents GROUP BY lang")
+@query("""
+WITH f AS (SELECT lang, sha256(doc_id || ':' || sha1(text)) AS own FROM documents),
+p AS (SELECT lang, substr(own, 62, 3) AS part, sha256(concat_ws(':', count(*), sum(('0x' || substr(own, 1, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(own, 13, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(own, 25, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(own, 37, 12))::BIGINT)::VARCHAR)) AS digest FROM f GROUP BY ALL)
+SELECT lang, left(sha1(string_agg(part || ':' || digest, chr(10) ORDER BY part || ':' || digest)), 12) AS version FROM p GROUP BY lang""")
 def snapshot_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1(F.col("text").cast("binary"))).alias("x"))
-    return rows.groupBy("lang").agg(F.left(F.sha1(F.array_join(F.sort_array(F.collect_list("x")), "\n").cast("binary")), F.lit(12)).alias("version"))
+    return sync.tree_version(table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("file"), F.sha1(F.col("text").cast("binary")).alias("sha")), ("lang",))
 
 
 @query("""
@@ -633,14 +638,16 @@ def anchor_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT url AS file, round(sum(length(html)) / 1000, 0) AS surprise FROM pages GROUP BY url),
-o AS (SELECT regexp_replace(file, '^(?:https?|wss?)://[^/]+/?', '') AS file, max(surprise) AS surprise FROM s GROUP BY 1)
-SELECT file, surprise, row_number() OVER (ORDER BY surprise DESC, regexp_matches(lower(file), '(^|/)(tests?|__tests__|fixtures?)(/|$)'), file) AS rank FROM o WHERE string_split(file, '/')[1] < 'm'""")
+o AS (SELECT regexp_replace(file, '^(?:https?|wss?)://[^/]+/?', '') AS file, max(surprise) AS surprise FROM s GROUP BY 1),
+t AS (SELECT string_split(file, '/')[1] AS scope, count(*) AS n FROM o GROUP BY 1 HAVING count(*) > 1)
+SELECT file, surprise, row_number() OVER (ORDER BY surprise DESC, regexp_matches(lower(file), '(^|/)(tests?|__tests__|fixtures?)(/|$)'), file) AS rank FROM o WHERE string_split(file, '/')[1] IN (SELECT scope FROM t)""")
 def surprise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by surprise, below the top folders that hold more than one."""
     s = table(spark, sf_dir, "pages").groupBy("url").agg(F.round(F.sum(F.length("html")) / 1000, 0).alias("surprise"))
     rows = s.groupBy(F.regexp_replace("url", "^(?:https?|wss?)://[^/]+/?", "").alias("file")).agg(F.max("surprise").alias("surprise"))
-    scopes = [r[0] for r in rows.select(P.top_segment(F.col("file"))).distinct().collect() if r[0] < "m"]
-    ordered = baseline.in_order(baseline.attended(rows, scopes))
-    return ordered.select("file", "surprise", F.row_number().over(Window.orderBy(F.desc("surprise"), P.is_test_scope(F.col("file")), "file")).cast("long").alias("rank"))
+    scopes = rows.groupBy(P.top_segment(F.col("file")).alias("scope")).agg(F.count("*").alias("n")).where("n > 1")
+    ranked = order.numbered(baseline.attended(rows, scopes).withColumn("test", P.is_test_scope(F.col("file"))), F.desc("surprise"), "test", "file")
+    return ranked.select("file", "surprise", F.col("number").alias("rank"))
 
 
 @query(f"""WITH {HREFS_SQL}, q AS (SELECT key AS norm FROM spec WHERE kind = 'path' ORDER BY df DESC, key LIMIT 1)
@@ -662,3 +669,29 @@ def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     edges = items.where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst"), F.lit("invokes").alias("kind"), F.lit(0.7).alias("w")).distinct()
     return graph.path_reasons(edges, edges.agg(F.min("src").alias("node")), 2).select("node", "hop", F.array_join("reasons", ",").alias("reasons"))
+
+
+REFRESH_SQL = """
+WITH h AS (SELECT page_id, html FROM pages),
+t AS (SELECT page_id, html AS old, CASE WHEN page_id % 7 = 0 THEN html || '<a href="/more/x">' ELSE html END AS new, page_id % 11 = 0 AS gone, page_id % 5 = 0 AS touched FROM h),
+f AS (SELECT page_id AS file, CASE WHEN old <> new THEN 'extracted' ELSE 'anchored' END AS change, new AS html FROM t WHERE NOT gone
+ UNION ALL SELECT page_id, 'deleted', '' FROM t WHERE gone UNION ALL SELECT page_id + 1000000000, 'added', html FROM h WHERE page_id % 13 = 0),
+x AS (SELECT file, change, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM f)
+SELECT file::VARCHAR AS file, change, len(hrefs)::BIGINT AS links, len(list_filter(hrefs, lambda x: starts_with(x, '/')))::BIGINT AS inner_links FROM x"""
+
+
+@query(REFRESH_SQL)
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages kept as facts, brought from one snapshot to the next: what was done to each page, and the facts in force."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file"), "page_id", "html")
+    edited = F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit('<a href="/more/x">'))).otherwise(F.col("html"))
+    added = pages.where("page_id % 13 = 0").select((F.col("page_id") + 1000000000).cast("string").alias("file"), "page_id", "html")
+    before = pages.withColumn("version", F.lit("1"))
+    after = pages.where("page_id % 11 <> 0").withColumns({"html": edited, "version": F.when((F.col("page_id") % 7 == 0) | (F.col("page_id") % 5 == 0), "2").otherwise("1")}).unionByName(added.withColumn("version", F.lit("1")))
+    links = lambda df, fact: df.select("file", F.lit(fact).alias("fact"), F.lit(1).alias("line"), F.explode(F.regexp_extract_all("text", F.lit('href="([^"]*)"'), 1)).alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("kind", "sig")))
+    store = FactStore(spark, f"{shared_folder(spark)}/links-{uuid.uuid4().hex}")
+    for number, snapshot in enumerate((before, after)):
+        read = lambda asked, rows=snapshot: asked.select("file").join(rows, "file").select("file", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit("html").alias("lang"), F.col("html").alias("text"), F.lit(False).alias("generated"))
+        done = store.refresh(snapshot.select("file", F.length("html").cast("long").alias("size"), "version"), read, lambda df: links(df, "link"), lambda df: links(df, "anchor").where("startswith(name, '/')"), f"rules {number}")
+    facts_ = store.facts().groupBy("file").agg(F.count(F.when(F.col("fact") == "link", 1)).alias("links"), F.count(F.when(F.col("fact") == "anchor", 1)).alias("inner_links"))
+    return done.changes.join(facts_, "file", "left").select("file", "change", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("inner_links", F.lit(0)).cast("long").alias("inner_links"))

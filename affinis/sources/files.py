@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from affinis.functions import literals as L
@@ -65,6 +64,16 @@ def contents(spark: SparkSession, root: str, largest: int = LARGEST, most: int =
     return rows.withColumn("text", F.when(F.col("status") == "ok", F.col("text")))
 
 
+def read(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    """(file, sha, lang, text, generated) of files (file, path); those alone are opened, and a tree has FILES at most."""
+    opened = ["".join("\\" + c if c in "\\[]{}*?" else c for c in r["path"]) for r in asked.select("path").limit(FILES).collect()]
+    if not opened:
+        return spark.createDataFrame([], "file string, sha string, lang string, text string, generated boolean")
+    text = F.decode("content", "UTF-8")
+    rows = asked.select("file", "path").join(spark.read.format("binaryFile").load(opened).select("path", "content"), "path")
+    return rows.select("file", F.sha1("content").alias("sha"), P.language(F.col("file")).alias("lang"), text.alias("text"), P.is_generated(F.col("file"), text).alias("generated"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, line, text) of each line, from 1."""
     return files.where("text is not null").select("file", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("file", (F.col("k") + 1).alias("line"), "text")
@@ -88,7 +97,8 @@ def _python_symbols(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, text in zip(rows["file"], rows["text"], strict=True):
             try:
                 tree = ast.parse(text)
-            except (SyntaxError, ValueError):
+            except (SyntaxError, ValueError, RecursionError):
+                out.append((file, "failed", 0, None, None, None))
                 continue
             head = text.split("\n")
 
@@ -113,7 +123,10 @@ def _python_symbols(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """(file, fact, line, name, kind, sig): symbols, imports and calls of Python sources by the language's own parser."""
+    """(file, fact, line, name, kind, sig): symbols, imports and calls of Python sources by the language's own parser.
+
+    A source that it can't read gives one row of the fact ``failed``.
+    """
     return files.where("lang = 'Python' and text is not null").select("file", "text").mapInPandas(_python_symbols, "file string, fact string, line int, name string, kind string, sig string")
 
 
@@ -185,10 +198,19 @@ def _relative(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     return rows.select(P.git_relative(F.col("name"), prefix).alias("file")).where("file is not null")
 
 
-def tracked(spark: SparkSession, root: str) -> DataFrame | None:
-    """(file) of what git follows or does not ignore, relative to root; None where root is no checkout."""
+def tracked(spark: SparkSession, root: str, enrolled: tuple[str, ...] = ()) -> DataFrame | None:
+    """(file) of what git follows or does not ignore, relative to root; None where root is no checkout.
+
+    Of checkouts within it, those enrolled are listed by their own rules.
+    """
     said = _git(root, "ls-files", "-co", "--exclude-standard", "-z")
-    return None if said is None else spark.createDataFrame([(n,) for n in said.split("\0") if n], "file string")
+    if said is None:
+        return None
+    names = [n for n in said.split("\0") if n]
+    for folder in enrolled:
+        inner = _git(os.path.join(root, folder), "ls-files", "-co", "--exclude-standard", "-z")
+        names += [f"{folder}/{n}" for n in (inner or "").split("\0") if n]
+    return spark.createDataFrame([(n,) for n in names], "file string")
 
 
 def submodules(spark: SparkSession, root: str, depth: int = DEPTH, enrolled: tuple[str, ...] = ()) -> DataFrame:
@@ -226,20 +248,6 @@ def since(spark: SparkSession, root: str, base: str) -> DataFrame:
     return _relative(spark, root, [x.strip() for x in said.split("\n") if x.strip()])
 
 
-def save_facts(facts: DataFrame, path: str, rules: str) -> None:
-    """Keeps facts (file, ...) under a header of their rules; a later load under other rules finds nothing."""
-    facts.withColumn("_rules", F.lit(rules)).write.mode("overwrite").parquet(path)
-
-
-def load_facts(spark: SparkSession, path: str, rules: str, schema: str) -> DataFrame:
-    """What ``save_facts`` kept under the same rules; without rows where nothing is kept."""
-    try:
-        kept = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return kept.where(F.col("_rules") == rules).drop("_rules")
-
-
 def commits(spark: SparkSession, root: str, most: int = COMMITS) -> DataFrame:
     """(commit, ts, item) of the last ``most`` commits of a git checkout; the bound is what reaches the driver."""
     said = subprocess.run(["git", "-C", root, "log", "--numstat", "-n", str(most), "--no-renames", "--diff-filter=AMR", "--format=%x01%H %ct", "--", "."], capture_output=True, text=True, check=True).stdout

@@ -39,9 +39,13 @@ class Outcome:
     details: dict = field(default_factory=dict)
 
 
-def attended(rows: DataFrame, scopes: list[str] | None) -> DataFrame:
-    """Rows (file, ...) below the top folders that a session attends to; all without scopes."""
-    return rows if scopes is None else rows.where(P.top_segment(F.col("file")).isin(scopes))
+def attended(rows: DataFrame, scopes: list[str] | DataFrame | None) -> DataFrame:
+    """Rows (file, ...) below the top folders that a session attends to, a list or a table (scope); all without scopes."""
+    if scopes is None:
+        return rows
+    if isinstance(scopes, list):
+        return rows.where(P.top_segment(F.col("file")).isin(scopes))
+    return rows.withColumn("scope", P.top_segment(F.col("file"))).join(scopes.select("scope").distinct(), "scope", "left_semi").drop("scope")
 
 
 def anchor_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -25,12 +25,16 @@ def version(files: DataFrame) -> DataFrame:
     return files.agg(F.left(F.sha1(F.array_join(lines, "\n").cast("binary")), F.lit(12)).alias("version"))
 
 
-def tree_version(files: DataFrame, folders: int = 4096) -> DataFrame:
-    """(version): 12 hex digits for files (file, sha) of any number: a digest of the digests of ``folders`` hashed parts."""
-    part = F.pmod(F.xxhash64("file"), F.lit(folders)).alias("part")
-    digests = files.groupBy(part).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", "file", "sha"), 256), k, 12), 16, 10).cast("decimal(30)")).cast("string") for k in (1, 13, 25, 37))), 256).alias("digest"))
+def tree_version(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, version): 12 hex digits for files (file, sha, *by) of any number: a digest of the digests of 4,096 parts.
+
+    A file is of the part that its own digest names; a part's digest is of its count and sums, so no order is needed.
+    """
+    own = F.sha2(F.concat_ws(":", F.col("file").cast("string"), "sha"), 256)
+    whole = lambda k: F.sum(F.conv(F.substring("own", k, 12), 16, 10).cast("decimal(30)")).cast("string")
+    digests = files.select(*by, own.alias("own")).groupBy(*by, F.substring("own", 62, 3).alias("part")).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(whole(k) for k in (1, 13, 25, 37))), 256).alias("digest"))
     lines = F.sort_array(F.collect_list(F.concat_ws(":", "part", "digest")))
-    return digests.agg(F.left(F.sha1(F.array_join(lines, "\n").cast("binary")), F.lit(12)).alias("version"))
+    return digests.groupBy(*by).agg(F.left(F.sha1(F.array_join(lines, "\n").cast("binary")), F.lit(12)).alias("version"))
 
 
 def fingerprint(facts: Column) -> Column:

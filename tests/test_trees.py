@@ -95,14 +95,6 @@ def test_git(spark, tmp_path):
     assert {r.item for r in files.commits(spark, root).collect()} == {"a.py", ".gitignore", "c.py"}
 
 
-def test_kept_facts(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1)], "file string, n int")
-    path = str(tmp_path / "facts")
-    assert files.load_facts(spark, path, "r1", "file string, n int").count() == 0
-    files.save_facts(rows, path, "r1")
-    assert files.load_facts(spark, path, "r1", "file string, n int").collect() == rows.collect() and files.load_facts(spark, path, "r2", "file string, n int").count() == 0
-
-
 def test_imports_of_all_families(spark):
     tree = ["src/a.ts", "src/b/index.ts", "lib/deep/c.ts", "pkg/m.py", "pkg/__init__.py", "go/x/one.go", "go/x/two.go", "go/y/x/z.go", "src/r.rs", "w/s/mod.rs", "v/t.rs", "u/t.rs", "main.rs"]
     asked = [("src/x.ts", "./a.js", "src/a.ts"), ("src/x.ts", "./b", "src/b/index.ts"), ("src/x.ts", "deep/c", "lib/deep/c.ts"), ("src/x.ts", "missing", None), ("q.py", "pkg.m", "pkg/m.py"), ("q.py", "pkg", "pkg/__init__.py"),
