@@ -12,15 +12,26 @@ from affinis.functions import literals as L
 SEEDS, SUGGESTIONS, ALIKE = 16, 5, 0.34
 
 
+def with_ancestors(rows: DataFrame, path: str) -> DataFrame:
+    """rows once for each path above theirs, and for theirs itself: (..., above, own)."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return rows.withColumn("above", F.explode(F.filter(above, lambda a: a != ""))).withColumn("own", F.col("above") == F.col(path))
+
+
 def literal_matches(query: DataFrame, index: DataFrame, routes: DataFrame) -> DataFrame:
-    """(node, score) of the query (q): its key's nodes 1, keys below a path 0.8, anchors (node, route) at or below it 0.9."""
-    q = query.withColumn("kind", L.classify(F.col("q"))).where("kind is not null").withColumn("norm", L.normalize(F.col("q"), F.col("kind"))).select("kind", "norm")
-    rows = index.select("key", F.col("kind").alias("key_kind"), F.explode("occ.node").alias("node")).crossJoin(F.broadcast(q))
-    below = lambda c: F.col(c).startswith(F.concat("norm", F.lit("/")))
-    score = F.when(F.col("key") == F.col("norm"), 1.0).when((F.col("kind") == "path") & (F.col("key_kind") == "path") & below("key"), 0.8)
-    by_key = rows.withColumn("score", score).where("score is not null").select("node", "score")
-    by_route = routes.crossJoin(F.broadcast(q)).where((F.col("kind") == "path") & ((F.col("route") == F.col("norm")) | below("route"))).select("node", F.lit(0.9).alias("score"))
-    return by_key.unionByName(by_route)
+    """(q, node, score) of queries (q): its key's nodes 1, keys below a path 0.8, anchors (node, route) at or below it 0.9.
+
+    Every path is told by all paths above it, and those are joined with the queries' keys; so any number of queries is
+    one join, and no query meets a key that is not its own or below it.
+    """
+    q = query.withColumn("q_kind", L.classify(F.col("q"))).where("q_kind is not null").withColumn("norm", L.normalize(F.col("q"), F.col("q_kind"))).select("q", "q_kind", "norm").distinct()
+    keys = index.select("key", F.col("kind").alias("key_kind"), F.col("occ.node").alias("nodes"))
+    same = keys.join(q, F.col("key") == F.col("norm")).select("q", F.explode("nodes").alias("node"), F.lit(1.0).alias("score"))
+    paths = q.where("q_kind = 'path'")
+    below = with_ancestors(keys.where("key_kind = 'path'"), "key").where("not own").join(paths, F.col("above") == F.col("norm")).select("q", F.explode("nodes").alias("node"), F.lit(0.8).alias("score"))
+    by_route = with_ancestors(routes, "route").join(paths, F.col("above") == F.col("norm")).select("q", "node", F.lit(0.9).alias("score"))
+    return same.unionByName(below).unionByName(by_route)
 
 
 def name_matches(query: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def triangle_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def supplier_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = literal_bridges(spark, sf_dir).where("w >= 0.3").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("join").alias("kind"), "w")
+    near = literal_bridges(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("join").alias("kind"), "w")
     edges = graph.kept(near)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().select("node", F.lit(True).alias("eligible"), F.lit(True).alias("include"))
     return basins.detect(edges, nodes)
@@ -650,25 +650,43 @@ def surprise_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("file", "surprise", F.col("number").alias("rank"))
 
 
-@query(f"""WITH {HREFS_SQL}, q AS (SELECT key AS norm FROM spec WHERE kind = 'path' ORDER BY df DESC, key LIMIT 1)
-SELECT k.page_id AS node, max(CASE WHEN k.key = norm THEN 1.0 ELSE 0.8 END)::DOUBLE AS score FROM keys k, q WHERE k.key = norm OR (k.kind = 'path' AND starts_with(k.key, norm || '/')) GROUP BY k.page_id""")
+@query(f"""WITH {HREFS_SQL}, top AS (SELECT key AS norm FROM spec WHERE kind = 'path' ORDER BY df DESC, key LIMIT 40), q AS (SELECT norm FROM top UNION SELECT regexp_extract(norm, '^/[^/]+') FROM top),
+routes AS (SELECT page_id + 1000000000 AS node, '/' || regexp_replace(url, '^(?:https?|wss?)://[^/]+/?', '') AS route FROM pages WHERE page_id % 3 = 0),
+m AS (SELECT norm, k.page_id AS node, CASE WHEN k.key = norm THEN 1.0 ELSE 0.8 END AS score FROM keys k, q WHERE k.key = norm OR (k.kind = 'path' AND starts_with(k.key, norm || '/'))
+ UNION ALL SELECT norm, node, 0.9 FROM routes, q WHERE route = norm OR starts_with(route, norm || '/'))
+SELECT norm AS q, node, max(score)::DOUBLE AS score FROM m GROUP BY ALL""")
 def seed_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the most frequent paths, and the folders at their top, find in links and in the routes of pages."""
     index = graph.kept(bridge.index(href_sites(spark, sf_dir)))
-    query_ = index.where("kind = 'path'").orderBy(F.desc("df"), "key").limit(1).select(F.col("key").alias("q"))
-    routes = spark.createDataFrame([], "node long, route string")
-    return seeds.literal_matches(query_, index, routes).groupBy("node").agg(F.max("score").alias("score"))
+    top = index.where("kind = 'path'").orderBy(F.desc("df"), "key").limit(40).select(F.col("key").alias("q"))
+    asked = top.unionByName(top.select(F.regexp_extract("q", "^/[^/]+", 0).alias("q"))).distinct()
+    routes = page_paths(spark, sf_dir).where("page_id % 3 = 0").select((F.col("page_id") + 1000000000).alias("node"), F.concat(F.lit("/"), "path").alias("route"))
+    return seeds.literal_matches(asked, index, routes).groupBy("q", "node").agg(F.max("score").alias("score"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem WHERE l_quantity >= 45), s AS (SELECT min(src) AS node FROM e),
-b AS (SELECT src AS node, dst AS nb FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT node, nb, row_number() OVER (PARTITION BY node ORDER BY nb) AS k FROM b),
-h1 AS (SELECT nb AS node, k AS p1 FROM n JOIN s USING (node)),
-h2 AS (SELECT nb AS node, min([p1, k]) AS place FROM n JOIN h1 USING (node) WHERE nb NOT IN (SELECT node FROM s) AND nb NOT IN (SELECT node FROM h1) GROUP BY nb)
-SELECT node, 0 AS hop, '' AS reasons FROM s UNION ALL SELECT node, 1, 'call' FROM h1 UNION ALL SELECT node, 2, 'call' FROM h2""")
+def first_paths_sql(hops: int) -> str:
+    """Breadth first, one CTE a hop: of all ways to a node that was not reached before, the one of the least place."""
+    reason = "CASE kind WHEN 'invokes' THEN 'call' WHEN 'imports' THEN 'import' WHEN 'tests' THEN 'test' END"
+    told = f"CASE WHEN {reason} IS NULL OR list_contains(reasons, {reason}) THEN reasons ELSE list_append(reasons, {reason}) END"
+    steps = [f"""h{k} AS (SELECT nb AS node, {k} AS hop, min(list_append(place, nth)) AS place, arg_min({told}, list_append(place, nth)) AS reasons FROM h{k - 1} JOIN n USING (node) WHERE nb NOT IN ({" UNION ALL ".join(f"SELECT node FROM h{j}" for j in range(k))}) GROUP BY nb)""" for k in range(1, hops + 1)]
+    return f"""
+WITH k AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000000 AS dst FROM lineitem),
+e AS (SELECT src, dst, ['invokes', 'imports', 'tests', 'contains'][(src * 7 + dst) % 4 + 1] AS kind, [0.7, 0.3, 0.9][(src + dst) % 3 + 1] AS w FROM k),
+b AS (SELECT src AS node, dst AS nb, kind, w FROM e UNION ALL SELECT dst, src, kind, w FROM e),
+n AS (SELECT node, nb, kind, row_number() OVER (PARTITION BY node ORDER BY kind = 'contains', w DESC, nb) AS nth FROM b),
+h0 AS (SELECT min(src) AS node, 0 AS hop, [1::BIGINT] AS place, []::VARCHAR[] AS reasons FROM e),
+{", ".join(steps)}
+SELECT node, hop, array_to_string(reasons, ',') AS reasons FROM ({" UNION ALL ".join(f"SELECT node, hop, reasons FROM h{k}" for k in range(hops + 1))})"""
+
+
+@query(first_paths_sql(7))
 def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    edges = items.where("l_quantity >= 45").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst"), F.lit("invokes").alias("kind"), F.lit(0.7).alias("w")).distinct()
-    return graph.path_reasons(edges, edges.agg(F.min("src").alias("node")), 2).select("node", "hop", F.array_join("reasons", ",").alias("reasons"))
+    """Why each supplier and part is reached from the first supplier, over edges of four kinds and three weights."""
+    s, d = F.col("src"), F.col("dst")
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000000).alias("dst")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, ("invokes", "imports", "tests", "contains"))), ((s * 7 + d) % 4 + 1).cast("int"))
+    edges = graph.kept(pairs.select("src", "dst", kind.alias("kind"), F.element_at(F.array(*map(F.lit, (0.7, 0.3, 0.9))), ((s + d) % 3 + 1).cast("int")).alias("w")))
+    return graph.path_reasons(edges, edges.agg(F.min("src").alias("node"))).select("node", "hop", F.array_join("reasons", ",").alias("reasons"))
 
 
 REFRESH_SQL = """
