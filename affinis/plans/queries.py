@@ -76,7 +76,7 @@ heat AS (SELECT r.n AS node, sum(c.c * r.cur) AS heat FROM r JOIN c USING (k) GR
 def purchase_heat(spark: SparkSession, sf_dir: str, t: float, kernel: bool | None = None) -> DataFrame:
     edges = purchase_edges(spark, sf_dir)
     start = table(spark, sf_dir, "orders").agg((F.min("o_custkey") * 4).alias("node"), F.lit(1.0).alias("mass"))
-    return heat.heat(graph.conductance(edges), start, t, kernel=kernel)
+    return heat.heat(graph.kept(graph.conductance(edges)), start, t, kernel=kernel)
 
 
 @query(heat_sql(2.0, "SELECT node, round(heat, 9) AS heat FROM heat"))
@@ -234,7 +234,8 @@ def triangle_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def supplier_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = literal_bridges(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("join").alias("kind"), "w")
+    """Basins among pages over the bridges of at least 0.3, which are the graph here."""
+    near = literal_bridges(spark, sf_dir).where("w >= 0.3").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("join").alias("kind"), "w")
     edges = graph.kept(near)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().select("node", F.lit(True).alias("eligible"), F.lit(True).alias("include"))
     return basins.detect(edges, nodes)
@@ -713,3 +714,30 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = store.refresh(snapshot.select("file", F.length("html").cast("long").alias("size"), "version"), read, lambda df: links(df, "link"), lambda df: links(df, "anchor").where("startswith(name, '/')"), f"rules {number}")
     facts_ = store.facts().groupBy("file").agg(F.count(F.when(F.col("fact") == "link", 1)).alias("links"), F.count(F.when(F.col("fact") == "anchor", 1)).alias("inner_links"))
     return done.changes.join(facts_, "file", "left").select("file", "change", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("inner_links", F.lit(0)).cast("long").alias("inner_links"))
+
+
+def fields_sql(t: float) -> str:
+    """``heat_sql`` for several changes side by side: the state is of a change and a node."""
+    order = min(90, math.ceil(2.2 * t) + 16)
+    return f"""
+WITH RECURSIVE {EDGES_SQL},
+m AS (SELECT b.src, b.dst, -b.w / (sqrt(x.d) * sqrt(y.d)) AS m FROM both_ways b JOIN deg x ON x.node = b.src JOIN deg y ON y.node = b.dst),
+seeds AS (SELECT DISTINCT c_nationkey AS change, o_custkey * 4 AS node FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 3),
+r AS (
+  SELECT 0 AS k, s.change, deg.node AS n, CASE WHEN x.node IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cur, 0.0::DOUBLE AS prev FROM deg CROSS JOIN (SELECT DISTINCT change FROM seeds) s LEFT JOIN seeds x ON x.node = deg.node AND x.change = s.change
+  UNION ALL
+  SELECT r.k + 1, r.change, r.n, (CASE WHEN r.k = 0 THEN 1 ELSE 2 END) * coalesce(s.v, 0) - r.prev, r.cur
+  FROM r LEFT JOIN (SELECT q.k, q.change, m.dst AS n, sum(m.m * q.cur) AS v FROM r q JOIN m ON m.src = q.n GROUP BY ALL) s ON s.n = r.n AND s.k = r.k AND s.change = r.change
+  WHERE r.k < {order}),
+c AS (SELECT k, (CASE WHEN k = 0 THEN 1 ELSE 2 * pow(-1, k) END) * sum(exp((2 * m + k) * ln({t} / 2) - lgamma(m + 1) - lgamma(m + k + 1) - {t})) AS c FROM range({order} + 1) a(k), range(120) b(m) GROUP BY k),
+heat AS (SELECT r.change, r.n AS node, sum(c.c * r.cur) AS heat FROM r JOIN c USING (k) GROUP BY ALL)
+SELECT change::VARCHAR AS change, node % 4 AS kind, count(*) FILTER (round(heat, 9) > 1e-6) AS warm, round(sum(heat), 5) AS mass FROM heat GROUP BY ALL"""
+
+
+@query(fields_sql(2.0))
+def warmed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat of the customers of three nations, each a change of its own, computed together."""
+    nations = table(spark, sf_dir, "customer").where("c_nationkey < 3").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("change"))
+    start = table(spark, sf_dir, "orders").select("o_custkey").distinct().join(nations, "o_custkey").select("change", (F.col("o_custkey") * 4).alias("node"), F.lit(1.0).alias("mass"))
+    made = heat.fields(graph.kept(graph.conductance(purchase_edges(spark, sf_dir))), start, 2.0)
+    return made.groupBy("change", (F.col("node") % 4).alias("kind")).agg(F.count(F.when(F.round("heat", 9) > 1e-6, 1)).alias("warm"), F.round(F.sum("heat"), 5).alias("mass"))
