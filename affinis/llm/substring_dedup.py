@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textkernel import U64, WORDS, Words, begin, chunks, gram_hashes, long_lists, sliding_min, splitmix
-from .workspace import Workspace, with_id
+from .workspace import Folder, Workspace, with_id
 
 #: Words of the short runs that stand for the windows which contain them.
 GRAM = 8
@@ -139,6 +139,7 @@ class FingerprintIndex:
 
     Each batch leaves an immutable run, sorted by fingerprint: h, the hash of an anchor (see ``anchors``); n,
     its occurrences; g, a hash of what its windows cover, and mixed, whether that differs between occurrences.
+    An index of a workspace goes with the process; ``open`` gives one that lasts, for the batches of later jobs.
     A window's anchor is in the index exactly if the window is, so no window is lost although only one gram in
     about fourteen words is kept. Runs are merged when there are more than ``most_runs``.
     """
@@ -149,7 +150,39 @@ class FingerprintIndex:
         self.ws, self.window, self.gram, self.most_runs = ws, window, gram, most_runs
         self.runs: dict[str, DataFrame] = {}
         self.batches: list[tuple[DataFrame, DataFrame]] = []
-        self.made = self.judged = 0
+        self.made = self.judged = self.number = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **given: int) -> FingerprintIndex:
+        """The index that is kept under a folder, or a new one to be kept there.
+
+        Its runs, its batches with their texts, and a manifest for each change stay in the folder. A manifest names what is
+        in force and counts once it is whole, so an append that dies changes nothing.
+        """
+        ws = Folder(spark, path)
+        numbers = [int(n[9:]) for n in ws.names() if n.startswith("manifest-")]
+        last = ws.read(f"manifest-{max(numbers):06d}").first() if numbers else None
+        index = cls(ws, **({"window": last["window"], "gram": last["gram"], "most_runs": last["most_runs"]} if last else given))
+        index.number = max(numbers, default=0)
+        if last:
+            index.made = last["made"]
+            index.runs = {name: ws.read(name) for name in last["runs"]}
+            index.batches = [(ws.read(f"batch{k}"), ws.read(f"postings{k}")) for k in range(last["batches"])]
+        return index
+
+    def _kept(self) -> None:
+        """Writes the manifest of a lasting index, then removes runs that neither it nor the one before names."""
+        if not isinstance(self.ws, Folder):
+            return
+        self.number += 1
+        row = (list(self.runs), len(self.batches), self.made, self.window, self.gram, self.most_runs)
+        self.ws.table(self.ws.spark.createDataFrame([row], "runs array<string>, batches int, made int, window int, gram int, most_runs int").coalesce(1), f"manifest-{self.number:06d}")
+        before = f"manifest-{self.number - 1:06d}"
+        names = self.ws.names()
+        named = {*self.runs, *(self.ws.read(before).first()["runs"] if before in names else [])}
+        for name in names:
+            if (name.startswith("run") and name not in named) or (name.startswith("manifest-") and name < before):
+                self.ws.remove(name)
 
     def _run(self, rows: DataFrame) -> None:
         self.made += 1
@@ -159,6 +192,8 @@ class FingerprintIndex:
     def append(self, docs: DataFrame) -> None:
         """Adds a batch (id, text); its texts are read again when it is judged."""
         docs = keyed(docs, F.col("text"))
+        if isinstance(self.ws, Folder):
+            docs = self.ws.table(docs, f"batch{len(self.batches)}")
         lists = docs.select("k1", "k2", "text").mapInArrow(anchor_batches(self.window, self.gram), "k1 long, k2 long, h array<long>, g array<long>, first array<int>, count array<int>")
         postings = self.ws.table(lists, f"postings{len(self.batches)}")
         self.batches.append((docs, postings))
@@ -166,6 +201,7 @@ class FingerprintIndex:
         self._run(each.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("mixed")))
         if len(self.runs) > self.most_runs:
             self.compact()
+        self._kept()
 
     def merged(self) -> DataFrame:
         """One row for each fingerprint in any run."""
@@ -185,8 +221,9 @@ class FingerprintIndex:
         merged = self.merged()
         self.runs = {}
         self._run(merged)
-        for name in old:
-            self.ws.remove(name)
+        if not isinstance(self.ws, Folder):
+            for name in old:
+                self.ws.remove(name)
 
     def judge(self, batch: int | None = None) -> DataFrame:
         """(id, n_words, n_removed, spans, kept) of the rows of a batch, or of all, against all that was appended.

@@ -67,6 +67,31 @@ class Workspace:
             pass
 
 
+class Folder(Workspace):
+    """Tables under a folder that the caller names; they stay until they are removed, and a later session finds them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def names(self) -> list[str]:
+        """The tables that are whole."""
+        fs, path = self.file_system()
+        if not fs.exists(path(self.path)):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.path)) if fs.exists(path(f"{self.path}/{s.getPath().getName()}/_SUCCESS")))
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df, in place of what a job that died may have left under the name, and returns what was written."""
+        self.remove(name)
+        return super().table(df, name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Nothing goes."""
+
+
 def split_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -236,3 +236,28 @@ def test_without_repeats_with_clashing_columns(spark):
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.text_before, r.c1) for r in out.collect()) == [(1, "a", "x", 7), (2, "b", "y", 8), (3, "c  c", "z", 9)]
+
+
+def test_index_that_lasts(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 300, n))
+    shared = [word(40) for _ in range(4)]
+    texts = [[f"{word(10)} {shared[(k + b) % 4]} {word(20)}" if k % 2 else word(50) for k in range(8)] + [None, ""] for b in range(4)]
+    path = str(tmp_path / "index")
+    for b, part in enumerate(texts):
+        index = substring_dedup.FingerprintIndex.open(spark, path, most_runs=2)
+        assert len(index.batches) == b
+        index.append(spark.createDataFrame([(100 * b + k, t or "") for k, t in enumerate(part)], "id long, text string"))
+        so_far = [t for p in texts[: b + 1] for t in p]
+        want = brute_substring(so_far, 35)[10 * b :]
+        got = {r.id: (r.n_words, r.n_removed, r.kept) for r in index.judge(b).collect()}
+        assert [got[100 * b + k] for k in range(10)] == want
+    later = substring_dedup.FingerprintIndex.open(spark, path)
+    assert len(later.runs) <= 2 and later.most_runs == 2
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in later.judge().collect()) == sorted(brute_substring([t for p in texts for t in p], 35))
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{path}/batch4")
+    again = substring_dedup.FingerprintIndex.open(spark, path)
+    again.append(spark.createDataFrame([(900, texts[0][1])], "id long, text string"))
+    assert again.judge(4).collect()[0].n_removed == again.judge(4).collect()[0].n_words
+    runs = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("run")}
+    assert len(runs) <= 6 and len(list((tmp_path / "index").glob("manifest-*"))) == 2
