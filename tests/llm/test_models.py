@@ -329,3 +329,29 @@ def test_digits_that_are_not_ascii(text):
     base = pii.base_spans(text)
     added = pii.added_spans(text, base, pii.trained())
     assert all(text[a:b].isascii() for a, b, kind in [*base, *added] if kind != "email")
+
+
+def test_secret_candidates_equal_the_patterns_on_whole_documents(spark):
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    want = set()
+    for i, text in texts.items():
+        for pattern, group in ((secrets.ISSUED, 0), (secrets.ASSIGNED, 1), (secrets.OPAQUE, 0)):
+            want |= {(i, m.start(group), m[group]) for m in regex.finditer(pattern, text or "", regex.ASCII)}
+    got = [(r.id, r.start, r.secret) for r in secrets.candidates(docs, "doc_id", "text", None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
+def test_redaction_takes_out_what_the_scan_confirms_and_nothing_else(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gone: dict = {}
+    for r in secrets.scan(docs, forest).where("is_secret").collect():
+        gone.setdefault(r.doc_id, set()).add(r.secret)
+    before, after = ({r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for d in (docs, secrets.redact(docs, forest)))
+    for i, text in before.items():
+        for x in sorted(gone.get(i, ()), key=lambda x: (-len(x), x)):
+            text = text.replace(x, "[SECRET]")
+        assert after[i] == text
+    assert 0 < len(gone) < 0.2 * len(before)
