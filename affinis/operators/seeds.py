@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import identifiers as I
@@ -64,7 +64,27 @@ def resolve(query: DataFrame, nodes: DataFrame, literal: DataFrame | None = None
 
 
 def suggestions(query: DataFrame, nodes: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
-    """The names most like the query: (node, name, file, score)."""
-    rows = nodes.where(~F.col("kind").isin("file", "anchor")).crossJoin(F.broadcast(query.select("q")))
-    rows = rows.withColumn("score", I.similarity(F.col("q"), F.col("name"))).where(F.col("score") >= ALIKE)
-    return rows.orderBy(F.desc(F.round("score", 12)), "name", "file", "node").limit(most).select("node", "name", "file", "score")
+    """(q, node, name, file, score): for each query (q) the names most like it, by ``identifiers.similarity``.
+
+    Names are looked up by their terms and by their character pairs (those too short for a pair by all they have), so a
+    query meets only names that share one of those, which every name as much alike as ALIKE does; what is shared is
+    counted in the same joins. Any number of
+    queries is one job.
+    """
+    joined = lambda terms: F.array_join(terms, "")
+    q = query.select("q").distinct().select("q", I.terms(F.col("q")).alias("terms"))
+    c = nodes.where(~F.col("kind").isin("file", "anchor")).select(F.struct("node", "name", "file").alias("id"), I.terms(I.short_name(F.col("name"))).alias("terms"))
+    pairs = lambda s: F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    counted = lambda rows, key: rows.select(key, F.explode(pairs(joined("terms"))).alias("pair")).groupBy(key, "pair").agg(F.count("*").alias(f"n_{key}"))
+    by_pair = counted(q, "q").join(counted(c, "id"), "pair").groupBy("q", "id").agg(F.sum(F.least("n_q", "n_id")).alias("pairs"), F.lit(0).cast("long").alias("shared"))
+    by_term = q.select("q", F.explode("terms").alias("term")).join(c.select("id", F.explode("terms").alias("term")), "term").groupBy("q", "id").agg(F.lit(0).cast("long").alias("pairs"), F.count("*").alias("shared"))
+    short = lambda rows, key: rows.select(key, joined("terms").alias("whole")).where(F.length("whole") < 2)
+    by_whole = short(q, "q").join(short(c, "id"), "whole").select("q", "id", F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("shared"))
+    both = by_pair.unionByName(by_term).unionByName(by_whole).groupBy("q", "id").agg(F.max("pairs").alias("pairs"), F.max("shared").alias("shared"))
+    rows = both.join(q.withColumnRenamed("terms", "tq"), "q").join(c.withColumnRenamed("terms", "tc"), "id")
+    part = lambda n, weight: F.when(F.size(n) > 0, weight * F.col("shared") / F.size(n)).otherwise(0.0)
+    a, b = joined("tq"), joined("tc")
+    dice = F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2.0 * F.col("pairs") / (F.length(a) + F.length(b) - 2))
+    rows = rows.select("q", "id.*", F.greatest(part("tq", 0.72) + part("tc", 0.28), dice).alias("score")).where(F.col("score") >= ALIKE)
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", 12)), "name", "file", "node")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).orderBy("q", "k").drop("k")

@@ -323,7 +323,7 @@ s AS (SELECT p_partkey AS node, p_name AS name, p_brand AS file, greatest(0.72 *
 SELECT node, name, file, round(score, 9) AS score FROM s WHERE score >= 0.34 ORDER BY round(score, 12) DESC, name, file, node LIMIT 5""")
 def seed_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.lit("function").alias("kind"), F.col("p_brand").alias("file"))
-    return seeds.suggestions(spark.range(1).select(F.lit("polished small parts").alias("q")), nodes).withColumn("score", F.round("score", 9))
+    return seeds.suggestions(spark.range(1).select(F.lit("polished small parts").alias("q")), nodes).select("node", "name", "file", F.round("score", 9).alias("score"))
 
 
 @query("""
@@ -741,3 +741,25 @@ def warmed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = table(spark, sf_dir, "orders").select("o_custkey").distinct().join(nations, "o_custkey").select("change", (F.col("o_custkey") * 4).alias("node"), F.lit(1.0).alias("mass"))
     made = heat.fields(graph.kept(graph.conductance(purchase_edges(spark, sf_dir))), start, 2.0)
     return made.groupBy("change", (F.col("node") % 4).alias("kind")).agg(F.count(F.when(F.round("heat", 9) > 1e-6, 1)).alias("warm"), F.round(F.sum("heat"), 5).alias("mass"))
+
+
+CALLS_SQL = r'''
+WITH s AS (SELECT o_orderkey AS k, o_orderkey % 3 AS lang, o_orderkey::VARCHAR AS t FROM orders),
+x AS (SELECT k, CASE lang WHEN 0 THEN '// r.get("/no/' || t || '")' || chr(10) || 'app' || chr(10) || '  .get(' || chr(10) || '    "/orders/' || t || '/:id",' || chr(10) || '    h(1, [2, 3]));' || chr(10) || 'r.post("/a/' || t || '", x); r.put(''/b/' || t || '/'', y); log("r.get(x)")'
+ WHEN 1 THEN '@app.route("/p/' || t || '")' || chr(10) || 'def f():' || chr(10) || '    """' || chr(10) || '    no call' || chr(10) || '    """' || chr(10) || '    return c.delete(' || chr(10) || '        "/q/{id}/' || t || '")  # c.get("/no")'
+ ELSE 'func Routes() {' || chr(10) || chr(9) || 'r.GET("/g/' || t || '", h); mux.HandleFunc("PATCH /h/' || t || '", h)' || chr(10) || chr(9) || 'r.GET("not a path", h)' || chr(10) || '}' END AS text FROM s),
+c AS (SELECT k, regexp_replace(text, '(//|# )[^\n]*', '', 'g') AS text FROM x),
+m AS (SELECT k, unnest(regexp_extract_all(text, '\.(?i:get|post|put|delete|route|handlefunc)\(\s*["''](?:[A-Z]+ )?/[^"'']*["'']')) AS call FROM c),
+p AS (SELECT k, upper(regexp_extract(call, '^\.(\w+)', 1)) AS method, regexp_extract(call, '["'']([A-Z]*) ?/', 1) AS said, regexp_extract(call, '["''](?:[A-Z]+ )?(/[^"'']*)["'']', 1) AS path FROM m)
+SELECT k::VARCHAR AS file, CASE WHEN said <> '' THEN said ELSE method END AS verb, regexp_replace(regexp_replace(path, '(:[^/]+|\{[^}/]*\})', '{*}'), '(.)/$', '\1') AS route FROM p'''
+
+
+@query(CALLS_SQL)
+def route_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes that sources in three languages declare, a source for each order: over lines, side by side, beside comments and texts."""
+    t = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('// r.get("/no/'), t, F.lit('")\napp\n  .get(\n    "/orders/'), t, F.lit('/:id",\n    h(1, [2, 3]));\nr.post("/a/'), t, F.lit("\", x); r.put('/b/"), t, F.lit("/', y); log(\"r.get(x)\")")))
+    text = text.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('@app.route("/p/'), t, F.lit('")\ndef f():\n    """\n    no call\n    """\n    return c.delete(\n        "/q/{id}/'), t, F.lit('")  # c.get("/no")')))
+    text = text.otherwise(F.concat(F.lit('func Routes() {\n\tr.GET("/g/'), t, F.lit('", h); mux.HandleFunc("PATCH /h/'), t, F.lit('", h)\n\tr.GET("not a path", h)\n}')))
+    lang = F.element_at(F.array(*map(F.lit, ("TypeScript", "Python", "Go"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return anchors.matches(table(spark, sf_dir, "orders").select(t.alias("file"), lang.alias("lang"), text.alias("text"))).select("file", "verb", "route")

@@ -249,3 +249,21 @@ def test_read_windows():
 
     got = read_windows([("a", 10, "x"), ("a", 30, "y"), ("b", 2, "z"), ("b", 0, "none"), ("a", 200, "w")])
     assert [(w["path"], w["offset"], w["limit"]) for w in got] == [("a", 5, 45), ("b", 1, 25), ("a", 195, 25)]
+
+
+def test_suggestions_of_many_queries_equal_the_full_scan(spark):
+    from affinis.functions import identifiers as names
+    from affinis.operators import seeds
+
+    known = ["loadUser", "saveUser", "Admin.loadUsers", "x", "HTTPServer", "parseLine", "user", "aa", "the", "load_user_profile", "pars", "UserS", "run2"]
+    nodes = spark.createDataFrame([(k, n, "file" if n == "pars" else "function", f"f{k % 3}") for k, n in enumerate(known)], "node long, name string, kind string, file string")
+    asked = spark.createDataFrame([(q,) for q in ("load the users", "parse", "zzz", "", "http server", "user", "aaa", "a b")], "q string")
+    scored = asked.crossJoin(nodes.where("kind <> 'file'")).withColumn("score", names.similarity(F.col("q"), F.col("name"))).where(F.col("score") >= seeds.ALIKE)
+    want: dict = {}
+    for r in scored.collect():
+        want.setdefault(r.q, []).append((-round(r.score, 12), r["name"], r.file, r.node))
+    want = {q: [(n, -s) for s, n, _, _ in sorted(v)[: seeds.SUGGESTIONS]] for q, v in want.items()}
+    got: dict = {}
+    for r in seeds.suggestions(asked, nodes).collect():
+        got.setdefault(r.q, []).append((r["name"], round(r.score, 12)))
+    assert got == want and len(want) > 4
