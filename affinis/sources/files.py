@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ast
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions import literals as L
@@ -130,9 +131,17 @@ def python_facts(files: DataFrame) -> DataFrame:
     return files.where("lang = 'Python' and text is not null").select("file", "text").mapInPandas(_python_symbols, "file string, fact string, line int, name string, kind string, sig string")
 
 
-#: How other languages write a definition and an import, one line each.
+def clean_sig(line: Column) -> Column:
+    """A line as it is shown: at most 140 characters, without the body where there is one."""
+    s = F.trim(line)
+    brace = F.instr(s, "{")
+    s = F.when((F.length(s) > 140) & (brace > 1), F.concat(F.rtrim(F.substring(s, F.lit(1), brace - 1)), F.lit(" { ... }"))).otherwise(s)
+    return F.when(F.length(s) > 140, F.concat(F.left(s, F.lit(137)), F.lit("..."))).otherwise(s)
+
+
+#: How other languages write a definition and an import, one line each; a method's pattern may name its type first.
 SYMBOLS = {
-    "Go": [(r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "function"), (r"^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)", "type")],
+    "Go": [(r"^func\s+\(\s*(?:\w+\s+)?\*?([A-Za-z_]\w*)[^)]*\)\s*([A-Za-z_]\w*)", "method"), (r"^func\s+([A-Za-z_]\w*)", "function"), (r"^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)", "type")],
     "TypeScript": [(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"), (r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", "class"), (r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface"), (r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*=", "type"), (r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(", "function")],
     "Rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", "function"), (r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", "type")],
     "Java": [(r"^\s*(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?(?:class|interface|enum)\s+([A-Za-z_]\w*)", "class"), (r"^\s*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\],? ]+\s+([a-z]\w*)\s*\(", "method")],
@@ -158,12 +167,14 @@ def pattern_facts(files: DataFrame) -> DataFrame:
     One pass over the lines: each language's patterns are tried on its own lines alone.
     """
     rows = lines(files).join(files.select("file", "lang"), "file")
+    one = lambda pattern, k: F.regexp_extract("text", pattern, k)
+    found_name = lambda p: F.when(one(p, 2) != "", F.concat_ws(".", one(p, 1), one(p, 2))).otherwise("") if re.compile(p).groups == 2 else one(p, 1)
     found = F.lit(None).cast("array<struct<fact:string,name:string,kind:string>>")
     for lang, patterns in SYMBOLS.items():
         each = [*(("symbol", p, k) for p, k in patterns), *([("import", IMPORTS[lang], None)] if lang in IMPORTS else [])]
-        found = F.when(F.col("lang") == lang, F.array(*(F.struct(F.lit(fact).alias("fact"), F.regexp_extract("text", pattern, 1).alias("name"), F.lit(kind).cast("string").alias("kind")) for fact, pattern, kind in each))).otherwise(found)
+        found = F.when(F.col("lang") == lang, F.array(*(F.struct(F.lit(fact).alias("fact"), found_name(pattern).alias("name"), F.lit(kind).cast("string").alias("kind")) for fact, pattern, kind in each))).otherwise(found)
     rows = rows.where(F.col("lang").isin(*SYMBOLS)).select("file", "line", "text", F.explode(F.filter(found, lambda x: x["name"] != "")).alias("x"))
-    return rows.select("file", "x.fact", "line", "x.name", "x.kind", F.left(F.trim("text"), F.lit(140)).alias("sig"))
+    return rows.select("file", "x.fact", "line", "x.name", "x.kind", clean_sig(F.col("text")).alias("sig"))
 
 
 def file_routes(files: DataFrame, routes: list[P.FileRoute] | None = None) -> DataFrame:

@@ -147,6 +147,10 @@ def test_symbols_of_many_languages(spark):
     text = {"a.c": "static int add(int a) {", "a.cpp": "class Box {", "a.php": "  public function run() {", "a.swift": "func go() {", "a.scala": "object Main {", "a.lua": "local function f(x)", "a.hs": "area :: Int -> Int", "a.sh": "build() {"}
     rows = spark.createDataFrame([(f, lang, t) for (f, t), lang in zip(text.items(), ["C", "C++", "Php", "Swift", "Scala", "Lua", "Haskell", "Bash"], strict=True)], "file string, lang string, text string")
     got = {r.file: r["name"] for r in files.pattern_facts(rows).where("fact = 'symbol'").collect()}
+    go = spark.createDataFrame([("a.go", "Go", "func (s *Store) Load(id int) {\nfunc (Box) Size() int {\nfunc New() {\nfunc (m Map[K]) Get(k K) V {" + "x" * 200 + "\nfunc " + "y" * 200)], "file string, lang string, text string")
+    rows_go = files.pattern_facts(go).orderBy("line").collect()
+    assert [(r["name"], r.kind) for r in rows_go[:4]] == [("Store.Load", "method"), ("Box.Size", "method"), ("New", "function"), ("Map.Get", "method")]
+    assert rows_go[3].sig == "func (m Map[K]) Get(k K) V { ... }" and len(rows_go[4].sig) == 140 and rows_go[4].sig.endswith("...")
     assert got == {"a.c": "add", "a.cpp": "Box", "a.php": "run", "a.swift": "go", "a.scala": "Main", "a.lua": "f", "a.hs": "area", "a.sh": "build"}
     assert facts.names(spark.createDataFrame([("A.b", "f")], "name string, file string")).orderBy("key").select("key").collect() == [("a.b",), ("b",)]
     assert spark.range(1).select(F.lit(1)).count() == 1
