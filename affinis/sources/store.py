@@ -95,7 +95,11 @@ class FactStore:
         moved = clean.where(F.col("run").isNotNull() & (F.col("rules") != rules)).select("file")
         fresh = dirty.where(~F.col("generated")).select("file", "lang", "text")
         again = read(seen.join(moved, "file", "left_semi")).where("text is not null").select("file", "lang", "text")
-        found = extract(fresh).unionByName(anchor(fresh)).unionByName(anchor(again))
+        found = self.spark.createDataFrame([], FACTS)
+        for rows, makers in ((fresh, (extract, anchor)), (again, (anchor,))):
+            if rows is not again and not rows.isEmpty() or rows is again and not moved.isEmpty():
+                for make in makers:
+                    found = found.unionByName(make(rows))
         found.select("file", "fact", "line", "name", "kind", "sig", F.lit(number).alias("run")).write.mode("overwrite").parquet(f"{self.path}/run-{number:06d}")
         run = self.spark.read.schema(FACTS + ", run int").parquet(f"{self.path}/run-{number:06d}")
         failed = run.where("fact = 'failed'").select("file", F.lit(True).alias("bad")).distinct()

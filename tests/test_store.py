@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinis import Engine
+from affinis.plans.engine import Tree
 from affinis.sources import files
 from affinis.sources.store import FACTS, FactStore
 
@@ -49,9 +50,13 @@ def test_refresh_equals_a_cold_build(spark, tmp_path):
     for name, text in TREE.items():
         write(root, name, text)
     engine = Engine.from_tree(spark, str(root), store=store)
+    tree = engine.tree
     assert {(r.file, r.status) for r in engine.left_out().collect()} == {("py/broken.py", "failed"), ("web/app.min.js", "generated")}
-    assert engine.refresh().count() == 0 and run_files(engine.tree.store) == set()
-    assert "anchor:GET /channels/x" not in {r.node for r in engine.nodes.collect()}
+    assert tree.refresh().count() == 0 and run_files(tree.store) == set()
+
+    write(root, ".affinis/rules.json", '{"rules": [{"id": "own", "langs": ["TypeScript"], "pattern": "$M($P)", "methods": "^(fetch|ask)$"}], "fileRoutes": [{"id": "docs", "re": "^(notes)\\\\.md$", "verbs": "suffix"}]}')
+    done = changed(tree.refresh())
+    assert set(done.values()) == {"anchored"} and "py/jobs.py" in done and "web/app.min.js" not in done
 
     write(root, "py/tools.py", "def run():\n    return helper()\n\ndef helper():\n    return 2\n")
     write(root, "web/new.ts", 'fetch("/api/new/thing");\n')
@@ -59,18 +64,11 @@ def test_refresh_equals_a_cold_build(spark, tmp_path):
     os.utime(root / "py/jobs.py", (time.time() + 60, time.time() + 60))
     write(root, "big.py", "x = 1\n" * 300_000)
     assert changed(engine.refresh()) == {"py/tools.py": "extracted", "web/new.ts": "added", "web/types.ts": "deleted", "py/jobs.py": "touched"}
-    assert run_files(engine.tree.store) == {"py/tools.py", "web/new.ts"}
+    assert run_files(tree.store) == {"py/tools.py", "web/new.ts"}
     assert ("big.py", "oversized") in {tuple(r) for r in engine.left_out().collect()}
-    assert content(engine) == content(Engine.from_tree(spark, str(root)))
-
-    write(root, ".affinis/rules.json", '{"rules": [{"id": "own", "langs": ["TypeScript"], "pattern": "$M($P)", "methods": "^(fetch|ask)$"}], "fileRoutes": [{"id": "docs", "re": "^(notes)\\\\.md$", "verbs": "suffix"}]}')
-    done = changed(engine.refresh())
-    assert set(done.values()) == {"anchored"} and "py/jobs.py" in done and "web/app.min.js" not in done
     assert {"anchor:ANY /notes", "anchor:GET /api/new/thing"} <= {r.node for r in engine.nodes.collect()}
     assert content(engine) == content(Engine.from_tree(spark, str(root)))
-
-    later = Engine.from_tree(spark, str(root), store=store)
-    assert run_files(later.tree.store) == set() and content(later) == content(engine)
+    assert Tree(spark, str(root), FactStore(spark, store)).refresh().count() == 0
 
 
 def test_refresh_follows_git_and_closed_submodules(spark, tmp_path):
@@ -81,8 +79,9 @@ def test_refresh_follows_git_and_closed_submodules(spark, tmp_path):
     write(tmp_path, "sub/b.py", "def b():\n    pass\n")
     run("init", "-q", str(tmp_path))
     run("init", "-q", str(tmp_path / "sub"))
-    seen = lambda **more: {r.file for r in Engine.from_tree(spark, str(tmp_path), **more).nodes.where("kind = 'file'").collect()}
-    assert seen() == {"a.py"} and seen(enrolled=("sub",)) == {"a.py", "sub/b.py"}
+    store = FactStore(spark, str(tmp_path / ".store"))
+    seen = lambda **more: changed(Tree(spark, str(tmp_path), store, **more).refresh())
+    assert seen() == {"a.py": "added"} and seen(enrolled=("sub",)) == {"sub/b.py": "added"} and seen() == {"sub/b.py": "deleted"}
 
 
 def extract(df):
