@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.functions import paths as P
+from affinis.keeping import tasks_for
 
 #: Endings that a relative import may leave out, in order, and folders that a Go path may end in.
 ENDINGS = {"ts": [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"], "py": [".py"], "rs": [".rs"], "go": []}
@@ -45,7 +46,7 @@ def go_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.filter(F.split("spec", "/"), lambda s: s != "")
     asked = imports.where((F.col("family") == "go") & (F.size(parts) > 0) & ~F.col("spec").rlike(r"^\.\.?/")).select("site", parts.alias("parts"))
     asked = asked.select("site", "parts", F.explode(F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(GO_FOLDERS)))).alias("k")).select("site", "k", F.array_join(F.slice("parts", -F.col("k"), F.col("k")), "/").alias("suffix"))
-    return asked.join(only, ["suffix", "k"]).select("site", F.col("k").alias("priority"), "target")
+    return asked.join(only.hint("merge"), ["suffix", "k"]).select("site", F.col("k").alias("priority"), "target")
 
 
 def only_tails(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def only_tails(imports: DataFrame, files: DataFrame) -> DataFrame:
     bare = F.array_join(F.filter(F.split("spec", "/"), lambda s: s != ""), "/")
     asked = imports.where(~F.col("spec").rlike(r"^\.\.?/") & ~F.col("family").isin("py", "go"))
     asked = asked.select("site", F.when(F.col("family") == "rs", F.concat(F.lit("rs:"), F.substring_index(module, "/", -1))).otherwise(F.concat(F.lit("ts:"), bare)).alias("key"))
-    return asked.join(keys, "key").select("site", F.lit(100).alias("priority"), "target")
+    return asked.join(keys.hint("merge"), "key").select("site", F.lit(100).alias("priority"), "target")
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -74,10 +75,14 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     ``./`` and ``../`` are relative to the importing file, tried with each ending of its family and its index; Python
     names are dotted paths; Go paths end as exactly one folder does, the shortest end first; Rust modules are files of
     ``src`` or have a name that one file alone has; any other name is the end of one TypeScript file's path alone.
+
+    Joins are merges: imports and paths are made by exploding, which Spark's estimates of size do not see, so left to
+    itself it sends whole tables through the driver.
     """
+    tasks = tasks_for(imports, 50_000)
     imports = imports.select("site", "file", "spec", P.family(F.col("file")).alias("family"))
     files = files.select("file").distinct()
-    found = exact_paths(imports).join(files.select(F.col("file").alias("path")), "path").select("site", "priority", F.col("path").alias("target"))
+    found = exact_paths(imports).repartition(tasks, "path").join(files.select(F.col("file").alias("path")).hint("merge"), "path").select("site", "priority", F.col("path").alias("target"))
     found = found.unionByName(go_targets(imports, files)).unionByName(only_tails(imports, files))
     best = found.groupBy("site").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))
-    return imports.join(best, "site").where("file <> target").select("site", "file", "target")
+    return imports.join(best.hint("merge"), "site").where("file <> target").select("site", "file", "target")
