@@ -7,7 +7,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import literals as L
@@ -180,6 +180,7 @@ def matches(rows: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """
     rules = RULES if rules is None else rules
     calls = scanned(rows)
+    none = F.lit(None).cast("string")
     tried, heads = [], []
     for rank, r in enumerate(rules):
         inside = F.col("lang").isin(*r.langs)
@@ -187,13 +188,13 @@ def matches(rows: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             p = structure.Pattern(text)
             given = p.hole(r.verb_from) if r.verb_from else F.lit(None).cast("string")
             right = F.coalesce(given.rlike(VERB), F.lit(False)) if r.verb_from else F.lit(True)
-            tried.append(F.when(inside & F.col("callee").rlike(r.methods) & p.matched() & right, F.struct(F.lit(r.id).alias("rule"), F.lit(rank).alias("rank"), F.col("callee").alias("method"), given.alias("given"), p.hole("P").alias("path"), F.lit(r.mount_root).alias("mount"))))
-        heads += [F.when(inside & structure.Pattern(x).matched(), F.struct(F.lit(r.id).alias("rule"), P.unquote(structure.Pattern(x).hole("P")).alias("prefix"))) for x in r.prefixes]
-    found = calls.select("file", "line", F.explode(F.array_compact(F.array(*tried))).alias("x")).select("file", "line", "x.*").where("path is not null")
-    if not heads:
-        return _told(found.withColumn("prefix", F.lit(None).cast("string")))
-    prefixes = calls.select("file", "place", F.explode(F.array_compact(F.array(*heads))).alias("x")).select("file", "place", "x.*")
-    return _told(found.join(prefixes.groupBy("file", "rule").agg(F.min_by("prefix", "place").alias("prefix")), ["file", "rule"], "left"))
+            tried.append(F.when(inside & F.col("callee").rlike(r.methods) & p.matched() & right, F.struct(F.lit(r.id).alias("rule"), F.lit(rank).alias("rank"), F.col("callee").alias("method"), given.alias("given"), p.hole("P").alias("path"), F.lit(r.mount_root).alias("mount"), none.alias("prefix"), F.lit(False).alias("head"))))
+        heads += [F.when(inside & structure.Pattern(x).matched(), F.struct(F.lit(r.id).alias("rule"), F.lit(rank).alias("rank"), F.col("callee").alias("method"), none.alias("given"), none.alias("path"), F.lit(r.mount_root).alias("mount"), P.unquote(structure.Pattern(x).hole("P")).alias("prefix"), F.lit(True).alias("head"))) for x in r.prefixes]
+    each = calls.select("file", "line", "place", F.explode(F.array_compact(F.array(*tried, *heads))).alias("x")).select("file", "line", "place", "x.*")
+    each = each.where(F.col("head") | F.col("path").isNotNull())
+    if heads:
+        each = each.withColumn("prefix", F.min_by("prefix", F.when(F.col("head"), F.col("place"))).over(Window.partitionBy("file", "rule")))
+    return _told(each.where(~F.col("head")))
 
 
 def discovered(rows: DataFrame, signatures: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from affinis.operators import facts, imports
+import pyarrow as pa
+
+from affinis.operators import anchors, facts, imports, structure
 
 
 def plan(df, capsys) -> str:
@@ -16,3 +18,12 @@ def test_imports_never_broadcast_what_was_exploded(spark, capsys):
     resolved = imports.resolve(asked, tree)
     assert "BroadcastExchange" not in plan(resolved, capsys) + plan(facts.tests(resolved), capsys)
     assert {(r.file, r.target) for r in resolved.collect()} == {(f"src/p{k}.ts", f"src/p{k + 1}.ts") for k in range(9)}
+
+
+def test_sources_are_lexed_once_and_many_to_a_batch(spark, capsys):
+    rows = spark.createDataFrame([(f"f{k}", "TypeScript", f'@Controller("/c{k}")\nclass A {{\n @Get("/x")\n f() {{}}\n}}') for k in range(100)], "file string, lang string, text string")
+    found = anchors.matches(rows)
+    assert plan(found, capsys).count("MapInArrow") == 1
+    assert {(r.file, r.verb, r.route) for r in found.collect()} == {(f"f{k}", "GET", f"/c{k}/x") for k in range(100)}
+    batch = pa.RecordBatch.from_pylist([{"file": f"f{k}", "lang": "Go", "text": "f(1); g(2)", "line": 1} for k in range(100)])
+    assert [b.num_rows for b in structure._batches(iter([batch]))] == [200]
