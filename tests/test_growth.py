@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from affinis.operators import anchors, facts, imports, structure
+from affinis import keeping
+from affinis.operators import anchors, facts, graph, heat, imports, structure
 
 
 def plan(df, capsys) -> str:
@@ -27,3 +28,19 @@ def test_sources_are_lexed_once_and_many_to_a_batch(spark, capsys):
     assert {(r.file, r.verb, r.route) for r in found.collect()} == {(f"f{k}", "GET", f"/c{k}/x") for k in range(100)}
     batch = pa.RecordBatch.from_pylist([{"file": f"f{k}", "lang": "Go", "text": "f(1); g(2)", "line": 1} for k in range(100)])
     assert [b.num_rows for b in structure._batches(iter([batch]))] == [200]
+
+
+def test_diffusion_of_large_graphs_writes_a_number_a_node_and_round(spark, monkeypatch, tmp_path):
+    ids = spark.range(3000)
+    edges = ids.selectExpr("id src", "(id * 7 + 3) % 3000 dst", "'a' kind", "0.7D w").unionByName(ids.selectExpr("id src", "(id * id) % 2999 dst", "'a' kind", "1.0D w"))
+    both = keeping.kept(graph.conductance(edges))
+    seeds = spark.createDataFrame([("a", 5, 1.0), ("b", 5, 0.5), ("b", 9, 1.0), ("c", 5000, 1.0)], "change string, node long, mass double")
+    want = {(r.change, r.node): r.heat for r in heat.fields(both, seeds, 2.0).collect()}
+    monkeypatch.setattr(heat, "KERNEL_EDGES", 0)
+    monkeypatch.setattr(heat, "BLOCK_EDGES", 500)
+    monkeypatch.setattr(heat, "TASK_VALUES", 7000)
+    made = []
+    monkeypatch.setattr(heat, "kept_path", lambda df: made.append(keeping.kept_path(df)) or made[-1])
+    got = {(r.change, r.node): r.heat for r in heat.fields(both, seeds, 2.0).collect()}
+    assert all(abs(v - want.get(k, 0.0)) < 1e-12 for k, v in got.items()) and want.keys() <= got.keys()
+    assert {spark.read.parquet(p).selectExpr("sum(length(y)) n").first().n for p in made} == {3001 * 2 * 8, 3001 * 8}
