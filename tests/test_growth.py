@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from affinis import keeping
-from affinis.operators import anchors, facts, graph, heat, imports, structure
+from affinis.operators import anchors, cochange, facts, graph, heat, imports, structure
 
 
 def plan(df, capsys) -> str:
@@ -44,3 +44,20 @@ def test_diffusion_of_large_graphs_writes_a_number_a_node_and_round(spark, monke
     got = {(r.change, r.node): r.heat for r in heat.fields(both, seeds, 2.0).collect()}
     assert all(abs(v - want.get(k, 0.0)) < 1e-12 for k, v in got.items()) and want.keys() <= got.keys()
     assert {spark.read.parquet(p).selectExpr("sum(length(y)) n").first().n for p in made} == {3001 * 2 * 8, 3001 * 8}
+
+
+def test_pairs_of_commits_take_no_join_with_themselves(spark, capsys, monkeypatch):
+    commits = spark.createDataFrame([(c, c, i) for c in range(40) for i in range(c % 26 + 1)] + [(1, 99, None), (2, 50, 0)], "commit long, ts long, item long")
+    monkeypatch.setattr(keeping, "tasks_for", lambda df, rows=0: 7)
+    monkeypatch.setattr(cochange, "tasks_for", lambda df, rows=0: 7)
+    got = cochange.pairs(commits)
+    text = plan(got, capsys)
+    assert text.count("Join") <= 2 and "14" in text
+    rows = [(c, 50 if (c, i) == (2, 0) else c, i) for c in range(40) for i in range(c % 26 + 1) if 2 <= c % 26 + 1 <= 24]
+    want = {}
+    for c, ts, i in rows:
+        for d, us, j in rows:
+            if c == d and i < j:
+                n, last = want.get((i, j), (0, 0))
+                want[i, j] = (n + 1, max(last, ts, us))
+    assert {(r.a, r.b): (r.n, r.last_ts) for r in got.collect()} == {k: v for k, v in want.items() if v[0] > 1}
