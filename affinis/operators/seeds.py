@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions import identifiers as I
 from affinis.functions import literals as L
+from affinis.keeping import dealt, tasks_for
 
 #: How many seeds and suggestions there are, and how alike a suggestion is.
 SEEDS, SUGGESTIONS, ALIKE = 16, 5, 0.34
@@ -73,14 +74,15 @@ def suggestions(query: DataFrame, nodes: DataFrame, most: int = SUGGESTIONS) ->
     """
     joined = lambda terms: F.array_join(terms, "")
     q = query.select("q").distinct().select("q", I.terms(F.col("q")).alias("terms"))
-    c = nodes.where(~F.col("kind").isin("file", "anchor")).select(F.struct("node", "name", "file").alias("id"), I.terms(I.short_name(F.col("name"))).alias("terms"))
+    tasks = tasks_for(nodes, 50_000)
+    c = dealt(nodes.where(~F.col("kind").isin("file", "anchor")), "node", "name", "file", tasks=tasks).select(F.struct("node", "name", "file").alias("id"), I.terms(I.short_name(F.col("name"))).alias("terms"))
     pairs = lambda s: F.when(F.length(s) > 1, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     counted = lambda rows, key: rows.select(key, F.explode(pairs(joined("terms"))).alias("pair")).groupBy(key, "pair").agg(F.count("*").alias(f"n_{key}"))
     by_pair = counted(q, "q").join(counted(c, "id"), "pair").groupBy("q", "id").agg(F.sum(F.least("n_q", "n_id")).alias("pairs"), F.lit(0).cast("long").alias("shared"))
     by_term = q.select("q", F.explode("terms").alias("term")).join(c.select("id", F.explode("terms").alias("term")), "term").groupBy("q", "id").agg(F.lit(0).cast("long").alias("pairs"), F.count("*").alias("shared"))
     short = lambda rows, key: rows.select(key, joined("terms").alias("whole")).where(F.length("whole") < 2)
     by_whole = short(q, "q").join(short(c, "id"), "whole").select("q", "id", F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("shared"))
-    both = by_pair.unionByName(by_term).unionByName(by_whole).groupBy("q", "id").agg(F.max("pairs").alias("pairs"), F.max("shared").alias("shared"))
+    both = dealt(by_pair.unionByName(by_term).unionByName(by_whole), "q", "id", tasks=tasks).groupBy("q", "id").agg(F.max("pairs").alias("pairs"), F.max("shared").alias("shared"))
     rows = both.join(q.withColumnRenamed("terms", "tq"), "q").join(c.withColumnRenamed("terms", "tc"), "id")
     part = lambda n, weight: F.when(F.size(n) > 0, weight * F.col("shared") / F.size(n)).otherwise(0.0)
     a, b = joined("tq"), joined("tc")
