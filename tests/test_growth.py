@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from affinis import keeping
 from affinis.operators import anchors, cochange, facts, graph, heat, imports, structure
+from affinis.plans import queries as plans
 
 
 def plan(df, capsys) -> str:
@@ -61,3 +62,9 @@ def test_pairs_of_commits_take_no_join_with_themselves(spark, capsys, monkeypatc
                 n, last = want.get((i, j), (0, 0))
                 want[i, j] = (n + 1, max(last, ts, us))
     assert {(r.a, r.b): (r.n, r.last_ts) for r in got.collect()} == {k: v for k, v in want.items() if v[0] > 1}
+
+
+def test_seed_literals_find_every_link(spark, tmp_path):
+    spark.range(300).selectExpr("id page_id", "concat('https://x.org/p/', id) url", """'<a href="/shop/all">' html""").write.parquet(f"{tmp_path}/pages.parquet")
+    got = plans.seed_literals(spark, str(tmp_path)).where("q = '/shop/all'")
+    assert {(r.node, r.score) for r in got.collect()} == {(k, 1.0) for k in range(300)}
