@@ -22,6 +22,13 @@ def test_imports_never_broadcast_what_was_exploded(spark, capsys):
     assert {(r.file, r.target) for r in resolved.collect()} == {(f"src/p{k}.ts", f"src/p{k + 1}.ts") for k in range(9)}
 
 
+def test_edges_of_tests_never_broadcast(spark, capsys, tmp_path):
+    spark.range(1, 50).selectExpr("id p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = plans.tests_edges(spark, str(tmp_path))
+    assert "BroadcastExchange" not in plan(got, capsys)
+    assert {(r.src, r.dst) for r in got.collect()} == {(f"file:src/p{k}.test.ts", f"file:src/p{k + 1}.ts") for k in range(1, 49) if (k + 1) % 7}
+
+
 def test_sources_are_lexed_once_and_many_to_a_batch(spark, capsys):
     rows = spark.createDataFrame([(f"f{k}", "TypeScript", f'@Controller("/c{k}")\nclass A {{\n @Get("/x")\n f() {{}}\n}}') for k in range(100)], "file string, lang string, text string")
     found = anchors.matches(rows)
