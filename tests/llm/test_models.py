@@ -59,6 +59,34 @@ def test_quality_forest_catches_held_out_bad_rows_that_pass_the_base_rule(spark)
     assert rate[0].n > 100 and rate[0].kept < 0.1 and rate[0].kept_under_one < 0.15 and rate[1].kept > 0.99
 
 
+def test_quality_learns_from_every_labelled_row(spark, tmp_path):
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    bad = set(ids[4000::20])
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" + "#$" * (k in bad) for i in range(12 + k % 5))) for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k not in bad)) for k in ids], "doc_id long, quality int")
+    got = quality.judge(docs, labels).collect()
+    assert {r.doc_id for r in got if not r.kept} == bad and len(got) == 6000
+    ws = quality.Workspace(spark, "quality")
+    stats = quality.measured(ws, docs, "doc_id", "text")
+    forest = quality.train(ws, stats, labels).forest
+    half = [k for k, in docs.where(F.xxhash64("doc_id") >= 0).select("doc_id").collect() if k not in bad]
+    assert forest.sample == len(half) > 2500
+    rows = stats.join(labels, F.col("id") == F.col("doc_id")).select((F.col("quality") > 0).alias("good"), F.xxhash64("id").alias("hash"), *quality.COUNTS, *quality.EXTRA)
+    x = {r.hash: quality.ratios(np.array([r[2:]]))[0] for r in rows.where("good").collect()}
+    for t, (points, far) in enumerate(quality.draws(rows, {True: 5900, False: 100}, 3, 256)):
+        key = quality.splitmix(np.array(list(x), np.int64).view(np.uint64) ^ quality.splitmix(np.array([t + 1], np.uint64)))
+        assert (points == np.array(list(x.values()))[np.argsort(key)[:256]]).all() and len(far) == 100
+
+
+def test_quality_threshold_is_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    for n, m in ((300, 80), (40, 1), (1, 1), (50, 0)):
+        good, bad = np.round(rng.normal(0.4, 0.1, n), 2), np.round(rng.normal(0.6, 0.1, m), 2)
+        held = spark.createDataFrame([(True, float(x)) for x in good] + [(False, float(x)) for x in bad], "good boolean, score double")
+        want = quality.threshold(good, bad) if m else np.sort(good)[min(n - 1, int(np.ceil(0.9 * n)))] + 1e-9
+        assert quality.cut(held, 0.1) == pytest.approx(want, abs=1e-12)
+
+
 def test_forest_splits_beyond_what_is_alike():
     rng = np.random.default_rng(4)
     x, far = np.c_[rng.normal(0, 1, 400), np.zeros(400)], np.c_[rng.normal(0, 1, 40), rng.uniform(0.3, 3, 40)]
