@@ -46,6 +46,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 WORD_BASE = 0xD1342543DE82EF95
 PRIMES = (2147483647, 2147483629)
 FAMILIES = ((1103515245, 1812433253), (1566083941, 1664525013))
+SALTS = (U64(0), U64(0x9E3779B97F4A7C15))
 #: Bytes over which prefix sums of products below 2**40 stay below 2**63.
 SUMMED = 1 << 22
 SPACE = np.zeros(256, dtype=bool)
@@ -132,7 +133,8 @@ class Words:
                 products %= p
                 np.cumsum(products, out=sums[1:])
             out = out << U64(31) | (sums[self.ends] - sums[self.starts]) % p * down[self.starts] % p
-        return splitmix(out)
+        # a word of one byte is that byte in every family
+        return splitmix(out ^ SALTS[family])
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
