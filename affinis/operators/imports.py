@@ -11,6 +11,8 @@ from affinis.keeping import tasks_for
 #: Endings that a relative import may leave out, in order, and folders that a Go path may end in.
 ENDINGS = {"ts": [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"], "py": [".py"], "rs": [".rs"], "go": []}
 GO_FOLDERS = 3
+#: More than a path has ranks among the endings of its family.
+PLACE = 50
 
 
 def folder(path: Column) -> Column:
@@ -22,20 +24,33 @@ def tail(path: Column, k: Column | int) -> Column:
     return F.substring_index(path, "/", -k) if isinstance(k, int) else F.array_join(F.slice(F.split(path, "/"), -k, k), "/")
 
 
-def exact_paths(imports: DataFrame) -> DataFrame:
-    """(site, priority, path): the files that an import may name outright, the likeliest first."""
-    base = F.regexp_replace(P.resolve(F.concat(folder(F.col("file")), F.lit("/"), F.col("spec"))), r"\.(?:[cm]?js|jsx)$", "")
+def exact_keys(imports: DataFrame) -> DataFrame:
+    """(site, place, key): the keys of ``path_keys`` that an import may name outright, the likeliest first; two at most."""
     near = F.col("spec").rlike(r"^\.\.?/")
-    relative = F.coalesce(
-        *(F.when(F.col("family") == name, F.array(*(F.concat(base, F.lit(e)) for ending in endings for e in (ending, "/index" + ending)), base)) for name, endings in ENDINGS.items()), F.array(base)
-    )
+    base = F.regexp_replace(P.resolve(F.concat(folder(F.col("file")), F.lit("/"), F.col("spec"))), r"\.(?:[cm]?js|jsx)$", "")
+    imports = imports.select("site", "family", "spec", near.alias("near"), F.when(near, base).alias("base"))
+    path = lambda *parts: F.concat(F.lit("=:"), *parts)
     dotted, module = F.regexp_replace("spec", r"\.", "/"), F.regexp_replace(F.regexp_replace("spec", "^crate::|^self::", ""), "::", "/")
     named = (
-        F.when(F.col("family") == "py", F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))
-        .when(F.col("family") == "rs", F.array(F.concat(F.lit("src/"), module, F.lit(".rs")), F.concat(module, F.lit(".rs"))))
+        F.when(F.col("family") == "py", F.array(path(dotted, F.lit(".py")), path(dotted, F.lit("/__init__.py"))))
+        .when(F.col("family") == "rs", F.array(path(F.lit("src/"), module, F.lit(".rs")), path(module, F.lit(".rs"))))
         .otherwise(F.array().cast("array<string>"))
     )
-    return imports.select("site", F.posexplode(F.when(near, relative).otherwise(named)).alias("priority", "path"))
+    relative = F.array(F.concat("family", F.lit(":"), "base"), path("base"))
+    return imports.select("site", F.posexplode(F.when(F.col("near"), relative).otherwise(named)).alias("place", "key")).where("key IS NOT NULL")
+
+
+def path_keys(files: DataFrame) -> DataFrame:
+    """(key, rank, target): each file by its path, and for its family without its ending, or without its index and ending.
+
+    The endings are taken from the files: added to the imports, they would make seventeen paths of every TypeScript one.
+    """
+    short = lambda ending: F.left("file", F.length("file") - len(ending))
+    keys = [F.struct(F.concat(F.lit("=:"), "file").alias("key"), F.lit(0).alias("rank"))]
+    for family, endings in ENDINGS.items():
+        for k, ending in enumerate(x for e in endings for x in (e, "/index" + e)):
+            keys.append(F.when(F.endswith("file", F.lit(ending)), F.struct(F.concat(F.lit(family + ":"), short(ending)).alias("key"), F.lit(k).alias("rank"))))
+    return files.select(F.col("file").alias("target"), F.explode(F.array_compact(F.array(*keys))).alias("x")).select("x.key", "x.rank", "target")
 
 
 def go_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,7 +76,7 @@ def only_tails(imports: DataFrame, files: DataFrame) -> DataFrame:
     script = files.where(F.col("file").endswith(".ts")).select("file", F.split(whole, "/").alias("parts"), F.col("file").endswith("/index.ts").alias("index"))
     script = script.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("parts", -k, k), "/").alias("tail")))).alias("x"), F.size("parts").alias("n"))
     script = script.where("x.k < n").select(F.concat(F.lit("ts:"), "x.tail").alias("key"), "file")
-    keys = rust.unionByName(script).groupBy("key").agg(F.count_distinct("file").alias("n"), F.min("file").alias("target")).where("n = 1")
+    keys = rust.unionByName(script).groupBy("key").agg(F.min("file").alias("target"), F.max("file").alias("last")).where("target = last").select("key", "target")
     module = F.regexp_replace(F.regexp_replace("spec", "^crate::|^self::", ""), "::", "/")
     bare = F.array_join(F.filter(F.split("spec", "/"), lambda s: s != ""), "/")
     asked = imports.where(~F.col("spec").rlike(r"^\.\.?/") & ~F.col("family").isin("py", "go"))
@@ -79,10 +94,10 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     Joins are merges: imports and paths are made by exploding, which Spark's estimates of size do not see, so left to
     itself it sends whole tables through the driver.
     """
-    tasks = tasks_for(imports, 50_000)
+    tasks = tasks_for(imports, 100_000)
     imports = imports.select("site", "file", "spec", P.family(F.col("file")).alias("family"))
     files = files.select("file").distinct()
-    found = exact_paths(imports).repartition(tasks, "path").join(files.select(F.col("file").alias("path")).hint("merge"), "path").select("site", "priority", F.col("path").alias("target"))
+    found = exact_keys(imports).repartition(tasks, "key").join(path_keys(files).hint("merge"), "key").select("site", (F.col("place") * PLACE + F.col("rank")).alias("priority"), "target")
     found = found.unionByName(go_targets(imports, files)).unionByName(only_tails(imports, files))
     best = found.groupBy("site").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))
     return imports.join(best.hint("merge"), "site").where("file <> target").select("site", "file", "target")

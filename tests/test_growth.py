@@ -29,6 +29,17 @@ def test_edges_of_tests_never_broadcast(spark, capsys, tmp_path):
     assert {(r.src, r.dst) for r in got.collect()} == {(f"file:src/p{k}.test.ts", f"file:src/p{k + 1}.ts") for k in range(1, 49) if (k + 1) % 7}
 
 
+def test_edges_of_tests_resolve_what_tests_import_and_shuffle_two_keys_of_each(spark, monkeypatch, tmp_path):
+    spark.range(1, 50).selectExpr("id p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    asked, dealt, kind = [], [], type(spark.range(0))
+    resolve, repartition = imports.resolve, kind.repartition
+    monkeypatch.setattr(imports, "resolve", lambda rows, tree: asked.extend(r.file for r in rows.collect()) or resolve(rows, tree))
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: (dealt.append(self.count()) if "site" in self.columns else None) or repartition(self, *a))
+    assert plans.tests_edges(spark, str(tmp_path)).count() == 41
+    assert sorted(asked) == sorted(f"src/p{k}.test.ts" for k in range(1, 50))
+    assert dealt == [2 * 49]
+
+
 def test_sources_are_lexed_once_and_many_to_a_batch(spark, capsys):
     rows = spark.createDataFrame([(f"f{k}", "TypeScript", f'@Controller("/c{k}")\nclass A {{\n @Get("/x")\n f() {{}}\n}}') for k in range(100)], "file string, lang string, text string")
     found = anchors.matches(rows)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import posixpath
+import random
+import re
 import subprocess
 
 import pytest
@@ -104,6 +107,30 @@ def test_imports_of_all_families(spark):
     assert [got.get(str(k)) for k in range(len(asked))] == [t for _, _, t in asked]
 
 
+def test_imports_by_name_are_those_of_every_path_tried_in_order(spark):
+    ends = {"ts": [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"], "py": [".py"], "rs": [".rs"]}
+    of = {e[1:]: family for family, each in ends.items() for e in each}
+    rng = random.Random(3)
+    some = lambda: rng.choice(["a", "b", "index", "a.d", "é", ".ts", "mod"])
+    tree = {"/".join(rng.choices(["a", "b", "src", "index"], k=rng.randrange(3)) + [some() + rng.choice([".ts", ".tsx", ".mts", ".js", ".cjs", ".py", ".rs", ".rb", ".TS", ""])]) for _ in range(400)}
+    asked = []
+    for k in range(1500):
+        file = rng.choice(["", "a/", "src/b/"]) + "x" + rng.choice([".ts", ".jsx", ".TSX", ".py", ".rs", ".rb", ""])
+        family = of.get(file.rpartition(".")[2].lower()) if "." in file else None
+        up, rest = rng.choice(["./", "../", "./../b/"]), "/".join([*rng.choices(["a", "b", "index", "src"], k=rng.randrange(2)), some() + rng.choice(["", "", "", ".js", ".mjs", ".ts", ".py"])])
+        if family == "py" and k % 2:
+            spec = rest.replace("/", ".")
+            tries = [spec.replace(".", "/") + e for e in (".py", "/__init__.py")]
+        else:
+            spec = up + rest
+            base = re.sub(r"\.([cm]?js|jsx)$", "", posixpath.normpath(posixpath.join(posixpath.dirname(file), spec)))
+            tries = [base + x for e in ends.get(family, []) for x in (e, "/index" + e)] + [base]
+        asked.append((str(k), file, spec, next((t for t in tries if t in tree), None)))
+    rows = spark.createDataFrame([x[:3] for x in asked] + [("null", None, "./a"), ("none", "a/x.ts", None)], "site string, file string, spec string")
+    got = {r.site: r.target for r in imports.resolve(rows, spark.createDataFrame([(f,) for f in [*tree, None]], "file string")).collect()}
+    assert len({t for _, _, _, t in asked}) > 40 and got == {site: t for site, _, _, t in asked if t}
+
+
 def test_first_paths(spark):
     edges = spark.createDataFrame([("a", "b", "contains", 1.0), ("b", "c", "invokes", 0.7), ("a", "c2", "imports", 0.3), ("c2", "d", "tests", 0.6), ("c", "d", "invokes", 0.7), ("d", "e", "invokes", 0.2), ("x", "y", "join", 0.5)], "src string, dst string, kind string, w double")
     got = {r.node: (r.hop, r.reasons) for r in graph.path_reasons(edges, spark.createDataFrame([("a",)], "node string")).collect()}
