@@ -80,6 +80,52 @@ def test_index_over_batches(spark):
     assert index.judge(1).collect()[0].kept == "start end" and index.judge(1).collect()[0].spans == [1, 51]
 
 
+def test_windows_of_copies_are_compared_once(spark, monkeypatch):
+    """What is written to be compared grows with the texts that differ, not with their copies."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 400, n))
+    shared, tails, ends = word(80), [word(50) for _ in range(3)], [word(6) for _ in range(40)]
+    written = {}
+    table = Workspace.table
+
+    def spied(self, df, name):
+        out = table(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "table", spied)
+    counts = []
+    for n in (2, 8):
+        texts = [f"{shared} {t}" for t in tails for _ in range(n)] + [f"{shared} {tails[0]} {tails[1]} {ends[0]}", shared + " x"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted((r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect())
+        assert got == sorted(brute_substring(texts, 35))
+        counts.append(written["windows-1"])
+    assert counts[0] == counts[1] > 0
+    # near copies: each has an end of its own, the anchors before it read alike
+    texts = [f"{shared} {tails[k % 2]} {e}" for k, e in enumerate(ends)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == sorted(brute_substring(texts, 35))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_with_copies_of_each_other(spark, seed):
+    """Copies within a batch and in earlier ones, whose windows are partly shared with other texts."""
+    rng = np.random.default_rng(seed)
+    word = lambda n: " ".join(rng.choice(list("abcdefgh"), n))
+    pieces = [word(rng.integers(3, 16)) for _ in range(8)]
+    pool = [" ".join(rng.choice(pieces, rng.integers(1, 6))) for _ in range(12)]
+    batches = [[str(t) for t in rng.choice(pool, 8)] for _ in range(3)]
+    index = substring_dedup.FingerprintIndex(Workspace(spark, "test"), window=10, gram=4, most_runs=2)
+    for b, part in enumerate(batches):
+        index.append(spark.createDataFrame([(100 * b + k, t) for k, t in enumerate(part)], "id long, text string"))
+    want = brute_substring([t for p in batches for t in p], 10)
+    for b in (None, 1):
+        got = {r.id: (r.n_words, r.n_removed, r.kept) for r in index.judge(b).collect()}
+        assert got == {100 * (k // 8) + k % 8: w for k, w in enumerate(want) if b is None or k // 8 == b}
+
+
 def test_texts_without_repeats_stay(spark):
     docs = spark.createDataFrame([(1, "a  b\n c", "en"), (2, "x " * 80, "de"), (3, None, "fr")], "doc_id long, text string, lang string")
     assert {tuple(r) for r in substring_dedup.without_repeats(docs).collect()} == {(1, "a  b\n c", "en"), (3, None, "fr")}
