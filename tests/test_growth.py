@@ -65,6 +65,29 @@ def test_diffusion_of_large_graphs_writes_a_number_a_node_and_round(spark, monke
     assert {spark.read.parquet(p).selectExpr("sum(length(y)) n").first().n for p in made} == {3001 * 2 * 8, 3001 * 8}
 
 
+def test_diffusion_tasks_read_the_values_of_a_part_of_the_nodes_at_a_time(spark, monkeypatch):
+    ids = spark.range(1500)
+    edges = ids.selectExpr("concat('n', id) src", "concat('n', (id * 7 + 3) % 1500) dst", "'a' kind", "0.7D w").unionByName(ids.selectExpr("concat('n', id) src", "concat('n', (id * id) % 1499) dst", "'a' kind", "1.0D w"))
+    both = keeping.kept(graph.conductance(edges))
+    seeds = spark.createDataFrame([("n5", 1.0), ("n9", 0.5), ("far", 1.0)], "node string, mass double")
+    want = {r.node: r.heat for r in heat.heat(both, seeds, 0.5, 3, kernel=True).collect()}
+    terms = {r.node: r.tk for r in heat.basis(both, seeds, 3).collect()}
+    read = heat._values
+
+    def bounded(*asked):
+        got = read(*asked)
+        assert sum(v.size for v in (got.values() if isinstance(got, dict) else [got])) <= 750
+        return got
+
+    monkeypatch.setattr(heat, "BLOCK_EDGES", 300)
+    monkeypatch.setattr(heat, "KERNEL_EDGES", 0)
+    monkeypatch.setattr(heat, "_values", bounded)
+    got = {r.node: r.heat for r in heat.heat(both, seeds, 0.5, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+    got = {r.node: r.tk for r in heat.basis(both, seeds, 3).collect()}
+    assert got.keys() == terms.keys() and all(abs(x - y) < 1e-12 for n in terms for x, y in zip(got[n], terms[n], strict=True))
+
+
 def test_pairs_of_commits_take_no_join_with_themselves(spark, capsys, monkeypatch):
     commits = spark.createDataFrame([(c, c, i) for c in range(40) for i in range(c % 26 + 1)] + [(1, 99, None), (2, 50, 0)], "commit long, ts long, item long")
     monkeypatch.setattr(keeping, "tasks_for", lambda df, rows=0: 7)
