@@ -131,3 +131,8 @@ def test_seed_literals_find_the_route_of_every_page(spark, tmp_path):
     spark.range(30).selectExpr("id page_id", "concat('https://x.org/shop/all/p', id) url", """'<a href="/shop/all">' html""").write.parquet(f"{tmp_path}/pages.parquet")
     got = plans.seed_literals(spark, str(tmp_path)).where("q = '/shop/all' and node >= 1000000000")
     assert {(r.node, r.score) for r in got.collect()} == {(1000000000 + k, 0.9) for k in range(30)}
+
+
+def test_heat_of_customers_is_made_once(spark, capsys):
+    for name in ("impact_by_nation", "reveal_capped"):
+        assert "MapIn" not in plan(plans.QUERIES[name](spark, "/root/testdata/sf0.001"), capsys)
